@@ -138,7 +138,7 @@ STATE_COUNTS = ", ".join(f"count(*) FILTER (st = '{s}')::INTEGER AS \"{s}\"" for
     WITH w AS (SELECT job_id, CASE WHEN status = 'Ready' AND NOT ready THEN NULL ELSE status END AS st FROM v_podstatus),
     c AS (SELECT job_id, {STATE_COUNTS} FROM w GROUP BY 1)
     SELECT j.job_id, {", ".join(
-        f'CASE WHEN j.failed > 0 THEN {"4" if s == "Failed" else "0"} ELSE coalesce("{s}", 0) END::INTEGER AS "{s}"'
+        f'CASE WHEN j.failed > 0 THEN {"4" if s == "Failed" else "0"} ELSE coalesce(c."{s}", 0) END::INTEGER AS "{s}"'
         for s in jobs.WORKER_STATES)}
     FROM (SELECT DISTINCT o_orderkey % 120 AS job_id, (o_orderkey % 120) % 6 // 5 AS failed FROM orders) j LEFT JOIN c USING (job_id)
     """,
