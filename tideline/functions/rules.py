@@ -55,24 +55,28 @@ class Field:
     variants: dict[str, Sequence[Field]] = field(default_factory=dict)
 
 
-def _quoted(name: str) -> str:
-    return "$." + name if name.replace("_", "").isalnum() else f"$['{name}']"
+# JSON kinds by the name Spark gives their type.
+KINDS = {
+    "VOID": "null",
+    "STRING": "string",
+    "BOOLEAN": "bool",
+    "BIGINT": "int",
+    "DECIMAL": "float",
+    "DOUBLE": "float",
+    "FLOAT": "float",
+    "OBJECT": "struct",
+    "ARRAY": "list",
+}
+
+
+def _step(name: str) -> str:
+    return "." + name if name.replace("_", "").isalnum() else f"['{name}']"
 
 
 def type_of(value: Column) -> Column:
     """JSON kind of a variant: string, bool, int, float, struct, list, null; SQL null if absent."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), None)
-        .when(F.is_variant_null(value), "null")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind == "BIGINT", "int")
-        .when(F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT"), "float")
-        .when(F.startswith(kind, F.lit("OBJECT")), "struct")
-        .when(F.startswith(kind, F.lit("ARRAY")), "list")
-        .otherwise(F.lower(kind))
-    )
+    names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return F.try_element_at(names, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def seconds(text: Column) -> Column:
@@ -90,43 +94,29 @@ def seconds(text: Column) -> Column:
     return F.when(valid, F.aggregate(F.transform(parts, one), F.lit(0.0), lambda a, x: a + x))
 
 
-def value_of(record: Column, rule: Field) -> Column:
-    """The field's value in its SQL type, if the JSON kind fits without loss; else null."""
-    raw = F.try_variant_get(record, _quoted(rule.name), "variant")
-    return _cast(raw, rule)
-
-
-def _cast(raw: Column, rule: Field) -> Column:
-    kind = type_of(raw)
-    if rule.type in ("string", "duration"):
-        return F.when(kind == "string", F.try_variant_get(raw, "$", "string"))
-    if rule.type == "bool":
-        return F.when(kind == "bool", F.try_variant_get(raw, "$", "boolean"))
-    if rule.type == "float":
-        return F.when(kind.isin("int", "float"), F.try_variant_get(raw, "$", "double"))
-    return F.when(kind == "int", F.try_variant_get(raw, "$", SQL_TYPES[rule.type]))
+def _typed(raw: Column, kind: Column, rule: Field) -> Column:
+    """The value in its SQL type, if the JSON kind fits without loss; else null."""
+    kinds = {"string": ["string"], "duration": ["string"], "bool": ["bool"], "float": ["int", "float"]}
+    return F.when(kind.isin(kinds.get(rule.type, ["int"])), F.try_variant_get(raw, "$", SQL_TYPES[rule.type]))
 
 
 def _violation(path: Column, rule: str) -> Column:
     return F.struct(path.alias("path"), F.lit(rule).alias("rule"))
 
 
-def _checks(raw: Column, rule: Field, path: Column) -> list[Column]:
-    """A violation or null for each rule of a field whose variant value is ``raw``."""
-    kind = type_of(raw)
+def _checks(raw: Column, kind: Column, value: Column | None, rule: Field, path: Column) -> list[Column]:
+    """A violation or null for each rule of one field, given its variant, kind and typed value."""
     out = []
     fail = lambda cond, name: out.append(F.when(cond, _violation(path, name)))
     if rule.required:
         fail(raw.isNull(), "required")
     if not rule.allow_null:
         fail(kind == "null", "null")
-    if rule.type in SQL_TYPES:
-        value = _cast(raw, rule)
+    if value is not None:
         fail(kind.isNotNull() & (kind != "null") & value.isNull(), "type")
-        out += _value_checks(value, rule, path)
-    else:
-        wrong = {"struct": "struct", "map": "struct", "list": "list"}[rule.type]
-        fail(kind.isNotNull() & ~kind.isin(wrong, "null"), "type")
+        return out + _value_checks(value, rule, path)
+    wrong = {"struct": "struct", "map": "struct", "list": "list"}[rule.type]
+    fail(kind.isNotNull() & ~kind.isin(wrong, "null"), "type")
     return out
 
 
@@ -172,64 +162,47 @@ def _value_checks(value: Column, rule: Field, path: Column) -> list[Column]:
     return out
 
 
-def _flat(checks: Sequence[Column]) -> Column:
-    return F.filter(F.array(*checks), lambda v: v.isNotNull()) if checks else F.lit(None).cast(VIOLATION)
+def _present(checks: Sequence[Column]) -> Column:
+    return F.filter(F.array(*checks), lambda v: v.isNotNull())
 
 
-def _struct_violations(record: Column, fields: Sequence[Field], path: Column, allow_unknown: bool) -> Column:
-    """All violations of a struct value: its fields, what they nest, and unknown keys."""
-    simple: list[Column] = []
-    nested: list[Column] = []
-    for rule in fields:
-        raw = F.try_variant_get(record, _quoted(rule.name), "variant")
-        here = F.concat(path, F.lit(rule.name))
-        simple += _checks(raw, rule, here)
-        inner = F.concat(here, F.lit("."))
-        kind = type_of(raw)
-        if rule.type == "struct":
-            found = _struct_violations(raw, rule.fields, inner, rule.allow_unknown or bool(rule.tag))
-            nested.append(F.when(kind == "struct", found))
-            if rule.tag is not None:
-                tag = F.try_variant_get(raw, _quoted(rule.tag), "string")
-                tag_path = F.concat(inner, F.lit(rule.tag))
-                known = tag.isin(list(rule.variants))
-                bad_tag = (kind == "struct") & (tag.isNull() | ~known)
-                simple.append(F.when(bad_tag, _violation(tag_path, "tag")))
-                for name, variant in rule.variants.items():
-                    whole = [Field(rule.tag), *variant]
-                    nested.append(F.when(tag == name, _struct_violations(raw, whole, inner, rule.allow_unknown)))
-        elif rule.type == "list":
-            items = F.when(kind == "list", F.try_variant_get(raw, "$", "array<variant>"))
-            if rule.min_length is not None:
-                simple.append(F.when(F.size(items) < rule.min_length, _violation(here, "min_length")))
-            if rule.max_length is not None:
-                simple.append(F.when(F.size(items) > rule.max_length, _violation(here, "max_length")))
-            if rule.item is not None:
-                nested.append(F.flatten(F.transform(items, _item_checker(rule.item, here))))
-    parts = [F.coalesce(_flat(simple), F.array().cast(VIOLATION))]
-    parts += [F.coalesce(n, F.array().cast(VIOLATION)) for n in nested]
-    if not allow_unknown:
-        parts.append(_unknown(record, [f.name for f in fields], path))
-    return F.concat(*parts)
+def _none() -> Column:
+    return F.array().cast(VIOLATION)
 
 
-def _item_checker(rule: Field, here: Column):
-    def check(item: Column, i: Column) -> Column:
-        path = F.concat(here, F.lit("["), i.cast("string"), F.lit("]"))
-        found = F.coalesce(_flat(_checks(item, rule, path)), F.array().cast(VIOLATION))
-        if rule.type != "struct":
-            return found
-        inner = _struct_violations(item, rule.fields, F.concat(path, F.lit(".")), rule.allow_unknown)
-        return F.concat(found, F.when(type_of(item) == "struct", inner).otherwise(F.array().cast(VIOLATION)))
+@dataclass
+class _Node:
+    """A field found while walking the rules: where it lies and when it is looked at."""
 
-    return check
+    rule: Field
+    path: str
+    json_path: str
+    parent: str | None  # column with the parent's kind
+    guard: tuple[str, str] | None  # column with the tag, wanted tag
+    names: tuple[str, ...] | None  # known keys, if unknown ones are flaws
+    raw: str = ""
+    kind: str = ""
+    value: str = ""
 
 
-def _unknown(record: Column, names: Sequence[str], path: Column) -> Column:
-    keys = F.map_keys(F.try_variant_get(record, "$", "map<string,variant>"))
-    extra = F.array_except(keys, F.array(*[F.lit(n) for n in names]).cast("array<string>"))
-    found = F.transform(extra, lambda k: F.struct(F.concat(path, k).alias("path"), F.lit("unknown").alias("rule")))
-    return F.coalesce(found, F.array().cast(VIOLATION))
+def _walk(fields, path, json_path, parent, guard, nodes):
+    for rule in fields:
+        node = _Node(rule, path + rule.name, json_path + _step(rule.name), parent, guard, None)
+        n = len(nodes)
+        node.raw, node.kind, node.value = f"_raw{n}", f"_kind{n}", f"_value{n}"
+        nodes.append(node)
+        if rule.type != "struct":
+            continue
+        if rule.tag is None:
+            if not rule.allow_unknown:
+                node.names = tuple(f.name for f in rule.fields)
+            _walk(rule.fields, node.path + ".", node.json_path, node.kind, None, nodes)
+            continue
+        tag = Field(rule.tag, allowed=list(rule.variants))
+        _walk([tag], node.path + ".", node.json_path, node.kind, None, nodes)
+        tag_node = nodes[-1]
+        for name, variant in rule.variants.items():
+            _walk(variant, node.path + ".", node.json_path, node.kind, (tag_node.value, name), nodes)
 
 
 def check_records(
@@ -239,27 +212,133 @@ def check_records(
     allow_unknown: bool = False,
     first_only: bool = False,
 ) -> DataFrame:
-    """Adds ``violations``, all of them or (``first_only``) at most the first."""
-    found = _struct_violations(F.col(record), fields, F.lit(""), allow_unknown)
-    not_struct = F.array(_violation(F.lit(""), "type"))
-    whole = F.when(type_of(F.col(record)) == "struct", found).otherwise(not_struct)
-    return rows.withColumn("violations", F.slice(whole, 1, 1) if first_only else whole)
+    """Adds ``violations``, all of them or (``first_only``) at most the first.
+
+    Values, their kinds and their typed forms are columns of their own, one projection after
+    the other, so each is worked out once per row however many rules look at it.
+    """
+    root = _Node(Field("", "struct"), "", "$", None, None, None, "_raw", "_kind", "")
+    root.names = None if allow_unknown else tuple(f.name for f in fields)
+    nodes: list[_Node] = []
+    _walk(fields, "", "$", "_kind", None, nodes)
+    staged = rows.withColumns(
+        {"_raw": F.col(record), **{n.raw: F.try_variant_get(record, n.json_path, "variant") for n in nodes}}
+    )
+    staged = staged.withColumns({n.kind: type_of(F.col(n.raw)) for n in [root, *nodes]})
+    values = {}
+    for n in nodes:
+        if n.rule.type in SQL_TYPES:
+            values[n.value] = _typed(F.col(n.raw), F.col(n.kind), n.rule)
+        elif n.rule.type == "list":
+            values[n.value] = F.when(F.col(n.kind) == "list", F.try_variant_get(n.raw, "$", "array<variant>"))
+    for n in [root, *nodes]:
+        if n.rule.type == "struct" and (n.names is not None or n.rule.tag):
+            keys = F.map_keys(F.try_variant_get(n.raw, "$", "map<string,variant>"))
+            values[n.kind + "_keys"] = F.when(F.col(n.kind) == "struct", keys)
+    staged = staged.withColumns(values)
+    parts = [_violations_of(n) for n in nodes]
+    parts += [_unknown(n) for n in [root, *nodes] if n.names is not None or n.rule.tag]
+    whole = F.when(F.col("_kind") == "struct", F.concat(*parts)).otherwise(F.array(_violation(F.lit(""), "type")))
+    checked = staged.withColumn("violations", F.slice(whole, 1, 1) if first_only else whole)
+    return checked.select(*rows.columns, "violations")
+
+
+def violation_rows(checked: DataFrame, *keep: str) -> DataFrame:
+    """One row per violation.
+
+    The outer form keeps Spark from inferring a filter on the whole array, which would be
+    pushed below the staged columns and evaluate every rule anew.
+    """
+    return checked.select(*keep, F.inline_outer("violations")).filter(F.col("rule").isNotNull())
+
+
+def _violations_of(n: _Node) -> Column:
+    path, rule = F.lit(n.path), n.rule
+    value = F.col(n.value) if rule.type in SQL_TYPES else None
+    checks = _checks(F.col(n.raw), F.col(n.kind), value, rule, path)
+    items = None
+    if rule.type == "list":
+        size = F.size(n.value)
+        if rule.min_length is not None:
+            checks.append(F.when(F.col(n.value).isNotNull() & (size < rule.min_length), _violation(path, "min_length")))
+        if rule.max_length is not None:
+            checks.append(F.when(F.col(n.value).isNotNull() & (size > rule.max_length), _violation(path, "max_length")))
+        if rule.item is not None:
+            kinds = F.transform(n.value, lambda x: F.struct(x.alias("raw"), type_of(x).alias("kind")))
+            items = F.coalesce(F.flatten(F.transform(kinds, _item_checker(rule.item, n.path))), _none())
+    if rule.tag is not None:
+        tag = F.try_variant_get(n.raw, "$" + _step(rule.tag), "string")
+        absent = (F.col(n.kind) == "struct") & tag.isNull()
+        checks.append(F.when(absent, _violation(F.lit(f"{n.path}.{rule.tag}"), "tag")))
+    found = _present(checks) if items is None else F.concat(_present(checks), items)
+    seen = F.lit(True)
+    if n.parent is not None and n.parent != "_kind":
+        seen = seen & (F.col(n.parent) == "struct")
+    if n.guard is not None:
+        seen = seen & (F.col(n.guard[0]) == n.guard[1])
+    return F.when(seen, found).otherwise(_none())
+
+
+def _item_checker(rule: Field, path: str):
+    """Checks of one list item; items that are structs are looked into, to any depth."""
+
+    def check(item: Column, i: Column) -> Column:
+        here = F.concat(F.lit(path + "["), i.cast("string"), F.lit("]"))
+        return _inline(item["raw"], item["kind"], rule, here)
+
+    return check
+
+
+def _inline(raw: Column, kind: Column, rule: Field, here: Column) -> Column:
+    value = _typed(raw, kind, rule) if rule.type in SQL_TYPES else None
+    parts = [_present(_checks(raw, kind, value, rule, here))]
+    if rule.type == "struct":
+        for inner in rule.fields:
+            inner_raw = F.try_variant_get(raw, "$" + _step(inner.name), "variant")
+            inner_path = F.concat(here, F.lit("." + inner.name))
+            parts.append(
+                F.when(kind == "struct", _inline(inner_raw, type_of(inner_raw), inner, inner_path)).otherwise(_none())
+            )
+        if not rule.allow_unknown:
+            keys = F.map_keys(F.try_variant_get(raw, "$", "map<string,variant>"))
+            parts.append(F.when(kind == "struct", _extra(keys, [f.name for f in rule.fields], here)).otherwise(_none()))
+    return F.concat(*parts)
+
+
+def _extra(keys: Column, names: Sequence[str], path: Column) -> Column:
+    prefix = F.when(path == "", "").otherwise(F.concat(path, F.lit(".")))
+    extra = F.array_except(keys, F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    return F.transform(extra, lambda k: F.struct(F.concat(prefix, k).alias("path"), F.lit("unknown").alias("rule")))
+
+
+def _unknown(n: _Node) -> Column:
+    """Keys that no rule names; for tagged structs those of the tag's own variant count."""
+    keys, path = F.col(n.kind + "_keys"), F.lit(n.path)
+    if n.rule.tag is None:
+        return F.coalesce(_extra(keys, n.names, path), _none())
+    tag = F.try_variant_get(n.raw, "$" + _step(n.rule.tag), "string")
+    found = _none()
+    for name, variant in n.rule.variants.items():
+        known = [n.rule.tag, *[f.name for f in variant]]
+        found = F.when(tag == name, _extra(keys, known, path)).otherwise(found)
+    return F.coalesce(found, _none())
 
 
 def resolved(rows: DataFrame, fields: Sequence[Field], record: str = "record") -> DataFrame:
     """Adds each plain field as a typed column, absent ones filled from their default or default field."""
+    plain = [f for f in fields if f.type in SQL_TYPES]
+    staged = rows.withColumns({f"_raw_{f.name}": F.try_variant_get(record, "$" + _step(f.name), "variant") for f in plain})
+    staged = staged.withColumns({f"_kind_{f.name}": type_of(F.col(f"_raw_{f.name}")) for f in plain})
     columns: dict[str, Column] = {}
-    for rule in fields:
-        if rule.type not in SQL_TYPES:
-            continue
-        raw = F.try_variant_get(F.col(record), _quoted(rule.name), "variant")
-        value = _cast(raw, rule)
+    for rule in plain:
+        raw = F.col(f"_raw_{rule.name}")
+        value = _typed(raw, F.col(f"_kind_{rule.name}"), rule)
         if rule.default_field is not None:
             value = F.when(raw.isNull(), columns[rule.default_field]).otherwise(value)
         elif rule.default is not None:
             value = F.when(raw.isNull(), F.lit(rule.default)).otherwise(value)
         columns[rule.name] = value
-    return rows.withColumns(columns)
+    return staged.select(*rows.columns, *[c.alias(name) for name, c in columns.items()])
 
 
 def duration_seconds(rows: DataFrame, *names: str) -> DataFrame:

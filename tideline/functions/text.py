@@ -105,10 +105,10 @@ def truncate(text: Column, max_length: int) -> Column:
 
 
 def byte_size(size: Column) -> Column:
-    """``17 B``, ``1.5 KiB``, ... in powers of 1024."""
+    """``17 B``, ``1.5 KiB``, ... in powers of 1024, ties to the even digit."""
     shown = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for power, unit in enumerate("KMGTPE", start=1):
-        text = F.format_string(f"%.1f {unit}iB", size.cast("double") / float(1024**power))
+        text = F.format_string(f"%.1f {unit}iB", F.bround(size.cast("double") / float(1024**power), 1))
         shown = shown.otherwise(text) if unit == "E" else shown.when(size < 1024 ** (power + 1), text)
     return shown
 

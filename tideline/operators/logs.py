@@ -23,7 +23,11 @@ def read_logs(lines: DataFrame, column: str = "line", max_bytes: int = MAX_LINE_
 
 
 def _field(record: str, name: str) -> Column:
-    return F.try_variant_get(record, f"$.{name}", "string")
+    """A text field of the JSON payload inside the record's ``log``, else of the record itself."""
+    payload = F.try_parse_json(F.try_variant_get(record, "$.log", "string"))
+    return F.coalesce(
+        F.try_variant_get(payload, f"$.{name}", "string"), F.try_variant_get(record, f"$.{name}", "string")
+    )
 
 
 def normalise_logs(logs: DataFrame, record: str = "record") -> DataFrame:
