@@ -55,17 +55,17 @@ class Field:
     variants: dict[str, Sequence[Field]] = field(default_factory=dict)
 
 
-# JSON kinds by the name Spark gives their type.
+# JSON kinds by the first letters of the name Spark gives their type.
 KINDS = {
-    "VOID": "null",
-    "STRING": "string",
-    "BOOLEAN": "bool",
-    "BIGINT": "int",
-    "DECIMAL": "float",
-    "DOUBLE": "float",
-    "FLOAT": "float",
-    "OBJECT": "struct",
-    "ARRAY": "list",
+    "VOI": "null",
+    "STR": "string",
+    "BOO": "bool",
+    "BIG": "int",
+    "DEC": "float",
+    "DOU": "float",
+    "FLO": "float",
+    "OBJ": "struct",
+    "ARR": "list",
 }
 
 
@@ -76,7 +76,7 @@ def _step(name: str) -> str:
 def type_of(value: Column) -> Column:
     """JSON kind of a variant: string, bool, int, float, struct, list, null; SQL null if absent."""
     names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    return F.try_element_at(names, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+    return F.try_element_at(names, F.substring(F.schema_of_variant(value), 1, 3))
 
 
 def seconds(text: Column) -> Column:
@@ -104,7 +104,9 @@ def _violation(path: Column, rule: str) -> Column:
     return F.struct(path.alias("path"), F.lit(rule).alias("rule"))
 
 
-def _checks(raw: Column, kind: Column, value: Column | None, rule: Field, path: Column) -> list[Column]:
+def _checks(
+    raw: Column, kind: Column, value: Column | None, rule: Field, path: Column, number: Column | None = None
+) -> list[Column]:
     """A violation or null for each rule of one field, given its variant, kind and typed value."""
     out = []
     fail = lambda cond, name: out.append(F.when(cond, _violation(path, name)))
@@ -114,18 +116,20 @@ def _checks(raw: Column, kind: Column, value: Column | None, rule: Field, path:
         fail(kind == "null", "null")
     if value is not None:
         fail(kind.isNotNull() & (kind != "null") & value.isNull(), "type")
-        return out + _value_checks(value, rule, path)
+        return out + _value_checks(value, rule, path, number)
     wrong = {"struct": "struct", "map": "struct", "list": "list"}[rule.type]
     fail(kind.isNotNull() & ~kind.isin(wrong, "null"), "type")
     return out
 
 
-def _value_checks(value: Column, rule: Field, path: Column) -> list[Column]:
+def _value_checks(value: Column, rule: Field, path: Column, number: Column | None = None) -> list[Column]:
+    """Checks of a typed value; ``number`` are the seconds of a duration, if known already."""
     out = []
     fail = lambda cond, name: out.append(F.when(cond, _violation(path, name)))
-    number = value
-    if rule.type == "duration":
-        number = seconds(value)
+    if rule.type != "duration":
+        number = value
+    else:
+        number = seconds(value) if number is None else number
         fail(value.isNotNull() & number.isNull(), "duration")
     if rule.gt is not None:
         fail(number <= rule.gt, "gt")
@@ -236,7 +240,16 @@ def check_records(
             keys = F.map_keys(F.try_variant_get(n.raw, "$", "map<string,variant>"))
             values[n.kind + "_keys"] = F.when(F.col(n.kind) == "struct", keys)
     staged = staged.withColumns(values)
-    parts = [_violations_of(n) for n in nodes]
+    timed = [n for n in nodes if n.rule.type == "duration"]
+    staged = staged.withColumns({n.value + "_s": seconds(F.col(n.value)) for n in timed}) if timed else staged
+    checks: list[Column] = []
+    parts: list[Column] = []
+    for n in nodes:
+        found, items = _violations_of(n)
+        checks += found
+        parts += items
+    # One array holds the outcome of every plain rule, so the row is filtered once.
+    parts = [_present(checks), *parts]
     parts += [_unknown(n) for n in [root, *nodes] if n.names is not None or n.rule.tag]
     whole = F.when(F.col("_kind") == "struct", F.concat(*parts)).otherwise(F.array(_violation(F.lit(""), "type")))
     checked = staged.withColumn("violations", F.slice(whole, 1, 1) if first_only else whole)
@@ -252,11 +265,18 @@ def violation_rows(checked: DataFrame, *keep: str) -> DataFrame:
     return checked.select(*keep, F.inline_outer("violations")).filter(F.col("rule").isNotNull())
 
 
-def _violations_of(n: _Node) -> Column:
+def _violations_of(n: _Node) -> tuple[list[Column], list[Column]]:
+    """Checks of one field, each a violation or null, and arrays of violations in its items."""
     path, rule = F.lit(n.path), n.rule
     value = F.col(n.value) if rule.type in SQL_TYPES else None
-    checks = _checks(F.col(n.raw), F.col(n.kind), value, rule, path)
-    items = None
+    number = F.col(n.value + "_s") if rule.type == "duration" else None
+    checks = _checks(F.col(n.raw), F.col(n.kind), value, rule, path, number)
+    items: list[Column] = []
+    seen = F.lit(True)
+    if n.parent is not None and n.parent != "_kind":
+        seen = seen & (F.col(n.parent) == "struct")
+    if n.guard is not None:
+        seen = seen & (F.col(n.guard[0]) == n.guard[1])
     if rule.type == "list":
         size = F.size(n.value)
         if rule.min_length is not None:
@@ -265,18 +285,14 @@ def _violations_of(n: _Node) -> Column:
             checks.append(F.when(F.col(n.value).isNotNull() & (size > rule.max_length), _violation(path, "max_length")))
         if rule.item is not None:
             kinds = F.transform(n.value, lambda x: F.struct(x.alias("raw"), type_of(x).alias("kind")))
-            items = F.coalesce(F.flatten(F.transform(kinds, _item_checker(rule.item, n.path))), _none())
+            found = F.flatten(F.transform(kinds, _item_checker(rule.item, n.path)))
+            items.append(F.coalesce(F.when(seen, found), _none()))
     if rule.tag is not None:
         tag = F.try_variant_get(n.raw, "$" + _step(rule.tag), "string")
         absent = (F.col(n.kind) == "struct") & tag.isNull()
         checks.append(F.when(absent, _violation(F.lit(f"{n.path}.{rule.tag}"), "tag")))
-    found = _present(checks) if items is None else F.concat(_present(checks), items)
-    seen = F.lit(True)
-    if n.parent is not None and n.parent != "_kind":
-        seen = seen & (F.col(n.parent) == "struct")
-    if n.guard is not None:
-        seen = seen & (F.col(n.guard[0]) == n.guard[1])
-    return F.when(seen, found).otherwise(_none())
+    nested = n.guard is not None or n.parent not in (None, "_kind")
+    return [F.when(seen, c) for c in checks] if nested else checks, items
 
 
 def _item_checker(rule: Field, path: str):

@@ -10,7 +10,8 @@ from tideline.operators import cost, panels
 from tideline.operators.panels import Term
 from tideline.plans import boards
 from tideline.plans.q_control import COST_SQL, COST_VIEWS, fitted, priced_nodes
-from tideline.plans.q_timeseries import grid_sql, instant_sql, quantile_sql, rate_sql, rounded
+from tideline.plans.q_timeseries import grid_sql, instant_sql, quantile_sql, rate_sql
+from tideline.plans.q_timeseries import rounded as rounded_columns
 from tideline.plans.registry import query
 from tideline.plans.views_sql import view
 
@@ -39,6 +40,16 @@ def board_vectors(spark, sf_dir, name):
     return panels.vectors(boards.board(spark, sf_dir, name), labels, counters, gauges, ranged, RANGE, STEP, LOOKBACK)
 
 
+NUDGE = 1e-9  # settles exact ties, which engines round differently
+
+
+def rounded(df, digits=6, *names):
+    """Rounded to compare; ``value`` unless names are given."""
+    if names:
+        return rounded_columns(df, digits, *names)
+    return df.withColumn("value", F.round(F.col("value") + NUDGE, digits))
+
+
 def _listed(names):
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
@@ -58,7 +69,7 @@ for _name, (_labels, _samples) in boards.BOARDS.items():
 def panel_sql(parts: list[tuple[str, str, str]]) -> str:
     """UNION of (panel, series, query giving ts and value with the series' labels)."""
     return " UNION ALL ".join(
-        f"SELECT '{panel}' AS panel, {series} AS series, ts, round(value, 6) AS value FROM ({sql})"
+        f"SELECT '{panel}' AS panel, {series} AS series, ts, round(value + {NUDGE}, 6) AS value FROM ({sql})"
         for panel, series, sql in parts
     )
 

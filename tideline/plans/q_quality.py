@@ -10,6 +10,7 @@ from tideline.operators import logs, sets
 from tideline.plans import views
 from tideline.plans.registry import query
 from tideline.plans.views_sql import view
+from tideline.session import materialise
 from tideline.sources import offers
 
 
@@ -99,7 +100,7 @@ def fun_2(spark, sf_dir):
              || right(o_orderpriority, least(4, length(o_orderpriority) // 2)) AS masked,
       CASE WHEN length(o_orderpriority) > 7 THEN left(o_orderpriority, 3) || ' ...' ELSE o_orderpriority END AS short,
       CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576)
-           ELSE printf('%.1f GiB', b / 1073741824) END AS bytes,
+           WHEN b < 1099511627776 THEN printf('%.1f GiB', b / 1073741824) ELSE printf('%.1f TiB', b / 1099511627776) END AS bytes,
       '$' || printf('%.2f', o_totalprice) AS dollars,
       CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || (s % 60) || 's' WHEN s < 172800 THEN (s // 3600) || 'h' || (s % 3600 // 60) || 'm'
            ELSE (s // 86400) || 'd' || (s % 86400 // 3600) || 'h' END AS took,
@@ -416,7 +417,7 @@ def offer_documents(spark, sf_dir):
     """,
 )
 def src_10(spark, sf_dir):
-    products = offers.priced_products(offer_documents(spark, sf_dir))
+    products = materialise(offers.priced_products(offer_documents(spark, sf_dir)), "products")
     instances = offers.instance_prices(products).select(
         "region", F.lit("instance").alias("kind"), F.col("instance_type").alias("name"), "price", "mem_mi"
     )
