@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.timeseries import aggregate_by, histogram_quantile, instant, over_time, rate
+from tideline.operators.timeseries import aggregate_by, histogram_quantiles, instant, over_time, rate
 
 
 @dataclass(frozen=True)
@@ -111,8 +111,5 @@ def quantiles(rows: DataFrame, where: str, by: Sequence[str], wanted: dict[str,
         .groupBy("series", "ts", "le")
         .agg(F.sum("value").alias("value"))
     )
-    out = None
-    for panel, q in wanted.items():
-        one = histogram_quantile(q, buckets, ["series", "ts"]).withColumn("panel", F.lit(panel))
-        out = one if out is None else out.unionByName(one)
-    return out.select("panel", "series", "ts", "value")
+    found = histogram_quantiles(wanted, buckets, ["series", "ts"], name="panel")
+    return found.select("panel", "series", "ts", "value")

@@ -259,15 +259,17 @@ def histogram(
     return totals.select(*labels, "count", "sum", F.inline(pairs).alias("le", "bucket_count"))
 
 
-def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Quantile per label set from cumulative bucket counts (``le`` as double), linear within a bucket.
+def histogram_quantiles(
+    wanted: dict[str, float], buckets: DataFrame, by: Sequence[str], value: str = "value", name: str = "quantile"
+) -> DataFrame:
+    """Quantiles per label set from cumulative bucket counts (``le`` as double), linear within a bucket.
 
     The first bucket starts at 0; a quantile in the infinite bucket gives the last finite bound;
-    no observations, or no infinite bucket, give NaN. A group holds one entry per bound.
+    no observations, or no infinite bucket, give NaN. A group holds one entry per bound, and all
+    quantiles are read off the same groups: one row per label set and ``name``.
     """
     sums = buckets.groupBy(*by, "le").agg(F.sum(F.col(value).cast("double")).alias("c"))
     entries = F.sort_array(F.collect_list(F.struct("le", "c")))
-    grouped = sums.groupBy(*by).agg(entries.alias("_e"))
     # Counts may dip through scrape races: make them rise.
     rising = F.transform(
         "_e",
@@ -275,24 +277,36 @@ def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], value: s
             e["le"].alias("le"), F.array_max(F.transform(F.slice("_e", 1, i + 1), lambda x: x["c"])).alias("c")
         ),
     )
-    grouped = grouped.withColumn("_e", rising).withColumn("_n", F.size("_e"))
+    asked = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in wanted.items()])
     total = F.element_at("_e", -1)["c"]
-    rank = F.lit(float(q)) * total
     below = F.size(F.filter(F.slice("_e", 1, F.greatest(F.col("_n") - 1, F.lit(0))), lambda e: e["c"] < F.col("_rank")))
-    grouped = grouped.withColumn("_rank", rank).withColumn("_i", below)
+    grouped = (
+        sums.groupBy(*by)
+        .agg(entries.alias("_e"))
+        .withColumn("_e", rising)
+        .withColumn("_n", F.size("_e"))
+        .withColumn("_asked", F.explode(asked))
+        .withColumn("_rank", F.col("_asked.q") * total)
+        .withColumn("_i", below)
+    )
     here, before = F.get("_e", F.col("_i")), F.get("_e", F.col("_i") - 1)
     start = F.when(F.col("_i") > 0, before["le"]).otherwise(0.0)
     counted = F.when(F.col("_i") > 0, before["c"]).otherwise(0.0)
     inside = start + (here["le"] - start) * ieee_div(F.col("_rank") - counted, here["c"] - counted)
     quantile = (
-        F.when((F.element_at("_e", -1)["le"] != INF) | (F.col("_n") < 2) | (total == 0), F.lit(NAN))
+        F.when(F.col("_asked.q") < 0, F.lit(-INF))
+        .when(F.col("_asked.q") > 1, F.lit(INF))
+        .when((F.element_at("_e", -1)["le"] != INF) | (F.col("_n") < 2) | (total == 0), F.lit(NAN))
         .when(F.col("_i") == F.col("_n") - 1, F.get("_e", F.col("_n") - 2)["le"])
         .when((F.col("_i") == 0) & (here["le"] <= 0), here["le"])
         .otherwise(inside)
     )
-    if q < 0 or q > 1:
-        quantile = F.lit(-INF if q < 0 else INF)
-    return grouped.select(*by, quantile.alias("value"))
+    return grouped.select(*by, F.col("_asked.name").alias(name), quantile.alias("value"))
+
+
+def histogram_quantile(q: float, buckets: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """One quantile per label set; see :func:`histogram_quantiles`."""
+    return histogram_quantiles({"q": q}, buckets, by, value).drop("quantile")
 
 
 OPERATORS = {

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.plans import views
 from tideline.plans.views_sql import view
+from tideline.session import spread
 
 Sample = tuple[str, dict[str, str], str]
 
@@ -123,7 +124,7 @@ def _columns(concat) -> dict[str, str]:
 def board(spark, sf_dir, name: str) -> DataFrame:
     """``metric, labels..., ts, value`` of a board; unused labels are empty."""
     labels, samples = BOARDS[name]
-    events = views.table(spark, sf_dir, "events")
+    events = spread(views.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props"))
     texts = _columns(lambda prefix, number: f"concat({prefix}, cast({number} as string))")
     k = F.get_json_object("props", "$.k").cast("long")
     minutes = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)

@@ -14,6 +14,7 @@ from tideline.plans.q_timeseries import grid_sql, instant_sql, quantile_sql, rat
 from tideline.plans.q_timeseries import rounded as rounded_columns
 from tideline.plans.registry import query
 from tideline.plans.views_sql import view
+from tideline.session import materialise
 
 HOUR = 3600
 RANGE = STEP = LOOKBACK = 12 * HOUR
@@ -37,7 +38,10 @@ def board_vectors(spark, sf_dir, name):
     gauges = sorted({metric for metric, _, _ in samples} - set(counters) - set(ranged))
     # CPU series are counted as instants besides their rate.
     gauges += ["cpu_seconds"] if name == "nodes" else []
-    return panels.vectors(boards.board(spark, sf_dir, name), labels, counters, gauges, ranged, RANGE, STEP, LOOKBACK)
+    samples = boards.board(spark, sf_dir, name)
+    rows = panels.vectors(samples, labels, counters, gauges, ranged, RANGE, STEP, LOOKBACK)
+    # Recorded once, as recording rules are: a board reads its vectors several times.
+    return materialise(rows, "vectors")
 
 
 NUDGE = 1e-9  # settles exact ties, which engines round differently

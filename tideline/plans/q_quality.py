@@ -10,7 +10,7 @@ from tideline.operators import logs, sets
 from tideline.plans import views
 from tideline.plans.registry import query
 from tideline.plans.views_sql import view
-from tideline.session import materialise
+from tideline.session import materialise, spread
 from tideline.sources import offers
 
 
@@ -222,7 +222,8 @@ def records(spark, sf_dir):
     }
     pairs = [F.when(value.isNotNull(), F.concat(F.lit(f'"{name}": '), value)) for name, value in parts.items()]
     json_text = F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
-    return views.table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(json_text).alias("record"))
+    orders = spread(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
+    return orders.select("o_orderkey", F.parse_json(json_text).alias("record"))
 
 
 @query(
@@ -347,9 +348,8 @@ def fun_8(spark, sf_dir):
             ).alias("file_path_lister"),
         )
     )
-    rows = views.table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.parse_json(submission).alias("record"), (key % 13).alias("n_files")
-    )
+    orders = spread(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    rows = orders.select("o_orderkey", F.parse_json(submission).alias("record"), (key % 13).alias("n_files"))
     return rules.violation_rows(presets.check_submission(rows, n_files="n_files"), "o_orderkey")
 
 
@@ -400,7 +400,8 @@ def offer_documents(spark, sf_dir):
         F.map_from_entries(F.array(*products)).alias("products"),
         F.struct(F.map_from_entries(F.array(*[term(i, s) for i, s in enumerate(skus)])).alias("OnDemand")).alias("terms"),
     )
-    return views.table(spark, sf_dir, "part").select(region.alias("region"), F.to_json(document).alias("offer"))
+    parts = spread(views.table(spark, sf_dir, "part"))
+    return parts.select(region.alias("region"), F.to_json(document).alias("offer"))
 
 
 @query(

@@ -323,11 +323,8 @@ def quantile_sql(q: float, source: str, keys: str) -> str:
 
 
 def _quantiles(buckets, by, value, qs=(0.99, 0.9, 0.5)):
-    out = None
-    for q in qs:
-        one = timeseries.histogram_quantile(q, buckets, by, value).withColumn("q", F.lit(q))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = timeseries.histogram_quantiles({str(q): q for q in qs}, buckets, by, value, "q")
+    return found.withColumn("q", F.col("q").cast("double"))
 
 
 @query(

@@ -147,28 +147,34 @@ def parse_keys(paths: DataFrame) -> DataFrame:
     Job keys end in ``.../jobs/<kind>/<version>/<api>/<job>/<file>``; in-progress keys in
     ``.../jobs/<kind>/in_progress/<api>/<job>``. Paths without scheme and bucket are invalid.
     """
-    path = F.col("path")
-    key = F.regexp_extract(path, JOB_KEY, 3)
-    valid = path.rlike(JOB_KEY)
-    job_key = r"(?:^|/)jobs/([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^/]+)$"
-    progress_key = r"(?:^|/)jobs/([^/]+)/in_progress/([^/]+)/([^/]+)$"
-    in_progress = key.rlike(progress_key)
-    is_job = ~in_progress & key.rlike(job_key)
-
-    def part(group_progress: int | None, group_job: int) -> Column:
-        from_progress = F.regexp_extract(key, progress_key, group_progress) if group_progress else F.lit(None)
-        return F.when(in_progress, from_progress).when(is_job, F.regexp_extract(key, job_key, group_job))
-
-    return paths.select(
+    split = paths.withColumn("_key", F.regexp_extract("path", JOB_KEY, 3)).withColumn("_parts", F.split("_key", "/"))
+
+    def part(n: int) -> Column:
+        return F.try_element_at("_parts", F.lit(-n))
+
+    def filled(n: int) -> Column:
+        return F.forall(F.slice("_parts", -n, n), lambda p: p != "")
+
+    valid = F.col("_key") != ""
+    long_enough = F.size("_parts") >= 5
+    split = split.withColumn(
+        "_progress", long_enough & (part(5) == "jobs") & (part(3) == "in_progress") & F.when(long_enough, filled(5))
+    ).withColumn("_progress", F.coalesce("_progress", F.lit(False)))
+    deep = F.size("_parts") >= 6
+    split = split.withColumn(
+        "_job", ~F.col("_progress") & F.coalesce(deep & (part(6) == "jobs") & F.when(deep, filled(6)), F.lit(False))
+    )
+    either = lambda a, b: F.when(F.col("_progress"), a).when(F.col("_job"), b)
+    return split.select(
         *paths.columns,
         valid.alias("valid"),
-        F.when(valid, F.regexp_extract(path, JOB_KEY, 2)).alias("bucket"),
-        F.when(valid, key).alias("key"),
-        in_progress.alias("in_progress"),
-        part(1, 1).alias("kind"),
-        part(2, 3).alias("api_name"),
-        part(3, 4).alias("job_id"),
-        part(None, 5).alias("file"),
+        F.when(valid, F.split_part("path", F.lit("/"), F.lit(3))).alias("bucket"),
+        F.when(valid, F.col("_key")).alias("key"),
+        F.col("_progress").alias("in_progress"),
+        either(part(4), part(5)).alias("kind"),
+        either(part(2), part(3)).alias("api_name"),
+        either(part(1), part(2)).alias("job_id"),
+        F.when(F.col("_job"), part(1)).alias("file"),
     )
 
 
