@@ -54,12 +54,19 @@ def run_batches(
     return batches.mapInPandas(work, schema)
 
 
+def _plain(value):
+    """Arrays and numbers of numpy as JSON holds them."""
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    raise TypeError(f"{type(value).__name__} is not JSON")
+
+
 def _attempt(handler: Handler, row: dict, max_attempts: int) -> tuple:
     error = None
     for attempt in range(1, max_attempts + 1):
         start = time.perf_counter()
         try:
-            result = json.dumps(handler(row))
+            result = json.dumps(handler(row), default=_plain)
             return result, True, attempt, time.perf_counter() - start, None
         except Exception as failure:  # the batch fails, never the job
             error = f"{type(failure).__name__}: {failure}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,12 +28,27 @@ def local_session(app: str = "tideline", cpus: str | int = "*", partitions: int
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the time zone, so that NTZ columns and epoch values agree on any machine."""
+    """Pin the time zone, so that NTZ columns and epoch values agree on any machine, and send this
+    package to the Python workers, which need its helpers wherever they run."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship(spark.sparkContext.applicationId, spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship(application: str, spark: SparkSession) -> None:
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="tideline-"), "tideline")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
