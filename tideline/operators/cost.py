@@ -110,14 +110,10 @@ def cost_breakdown(priced_nodes: DataFrame, fitted_pods: DataFrame, system_price
             "cost",
         )
     )
-    everything = shares.filter("scope = 'all'").select(F.col("cost").alias("_all"))  # one row
-    ratio = F.when(F.col("_all") > 0, (F.col("total") - F.col("system")) / F.col("_all")).otherwise(1.0)
-    scaled = (
-        shares.filter("scope <> 'all'")
-        .crossJoin(F.broadcast(totals))
-        .crossJoin(F.broadcast(everything))
-        .select("scope", "component", (F.col("cost") * ratio).alias("cost"))
-    )
+    everything = shares.filter("scope = 'all'").select("cost").scalar()
+    workload = totals.select(F.col("total") - F.col("system")).scalar()
+    ratio = F.when(everything > 0, workload / everything).otherwise(1.0)
+    scaled = shares.filter("scope <> 'all'").select("scope", "component", (F.col("cost") * ratio).alias("cost"))
     fixed = totals.select(
         F.explode(
             F.array(

@@ -167,9 +167,9 @@ def train_classifier(
     if path is not None:
         model.write().overwrite().save(path)
     scored = model.transform(test)
-    counts = train.agg(F.count(F.lit(1)).alias("n_train"))
+    n_train = train.agg(F.count(F.lit(1))).scalar()
     held_out = scored.agg(
         F.count(F.lit(1)).alias("n_test"),
         F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
     )
-    return counts.crossJoin(held_out)
+    return held_out.select(n_train.alias("n_train"), "n_test", "accuracy")

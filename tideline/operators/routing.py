@@ -96,6 +96,6 @@ def missing_targets(splits: DataFrame, *deployed: DataFrame) -> DataFrame:
 
 
 def used_by(apis: DataFrame, splits: DataFrame) -> DataFrame:
-    """Splitters that refer to each API (which blocks its deletion)."""
-    users = splits.groupBy(F.col("target").alias("api_name")).agg(F.sort_array(F.collect_set("splitter")).alias("splitters"))
-    return apis.select("api_name").distinct().join(users, "api_name")
+    """Splitters that refer to each API (which blocks its deletion), one row each."""
+    users = splits.select(F.col("target").alias("api_name"), "splitter").distinct()
+    return users.join(apis.select("api_name"), "api_name", "left_semi")

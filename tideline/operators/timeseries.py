@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tideline.functions.numeric import INF, NAN, ieee_div
 
 MICROS = 1_000_000
+DAY = 86_400 * MICROS
 LOOKBACK_S = 300
 # Default histogram bounds in seconds.
 DEFAULT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -43,10 +44,11 @@ def with_context(df: DataFrame, us: Column, horizon_s: float, chunk_s: float | N
     """Assign rows to time chunks and lend each chunk the rows of the ``horizon_s`` before it.
 
     Adds ``_chunk`` and ``_lent``. Work by key and chunk, look back at most ``horizon_s``, then
-    drop lent rows.
+    drop lent rows. Chunks are sixteen horizons long but at most a day (or one horizon): short
+    enough to spread a busy series, long enough that few rows are lent.
     """
     horizon = int(horizon_s * MICROS)
-    width = max(int(chunk_s * MICROS) if chunk_s else 16 * horizon, horizon)
+    width = max(int(chunk_s * MICROS) if chunk_s else min(16 * horizon, DAY), horizon)
     own = us - F.pmod(us, F.lit(width))
     lend = (us + horizon) >= own + width
     places = F.array_compact(
@@ -333,7 +335,7 @@ def vector_op_group_left(many: DataFrame, one: DataFrame, op: str, on: Sequence[
 def scalar_op(vector: DataFrame, scalar: DataFrame, op: str, on: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Arithmetic with one number (``scalar`` has one row), or one per evaluation time (``on``)."""
     other = scalar.select(*on, F.col(value).alias("_b"))
-    joined = vector.join(other, list(on)) if on else vector.crossJoin(F.broadcast(other))
+    joined = vector.join(other, list(on)) if on else vector.withColumn("_b", other.scalar())
     return joined.select(
         *[c for c in vector.columns if c != value], OPERATORS[op](F.col(value), F.col("_b")).alias(value)
     )

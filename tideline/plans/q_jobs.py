@@ -261,14 +261,19 @@ def exe_4(spark, sf_dir):
 
 @query(
     "exe_5",
-    "SELECT job_id, batch_id, sum(x)::BIGINT AS total FROM (SELECT l_orderkey AS job_id, (l_linenumber - 1) // 2 AS batch_id, l_partkey AS x FROM lineitem) GROUP BY 1, 2",
+    """
+    SELECT job_id, batch_id, sum(x)::BIGINT AS total FROM (
+      SELECT l_orderkey AS job_id, l_partkey AS x, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
+             l_suppkey, l_shipdate, l_extendedprice, l_quantity) - 1) // 2 AS batch_id FROM lineitem)
+    GROUP BY 1, 2
+    """,
 )
 def exe_5(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "lineitem")
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    lists = rows.groupBy(
-        F.col("l_orderkey").alias("job_id"), F.floor((F.col("l_linenumber") - 1) / 2).cast("int").alias("batch_id")
-    ).agg(F.transform(F.sort_array(F.collect_list(item)), lambda s: s["l_partkey"]).alias("items"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), *order)
+    bucket = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 1000).alias("p"))
+    placed = ordering.numbered(rows, ["job_id"], order, bucket)
+    lists = batching.collect_batches(batching.assign_batches(placed, 2), "l_partkey", ["job_id"])
     return execute.sum_items(lists).select("job_id", "batch_id", "total")
 
 
@@ -282,7 +287,8 @@ def exe_5(spark, sf_dir):
     """,
 )
 def exe_6(spark, sf_dir):
-    """Batches of vectors classified by the centroid with the highest score."""
+    """Batches of vectors classified by the centroid with the highest score; ids are unique, so a
+    batch is at most 32 vectors."""
     vectors = views.vectors(spark, sf_dir)
     setup = execute.centroid_scorer(execute.centroids(vectors))
     placed = vectors.withColumn("batch_id", F.floor(F.col("vec_id") / 32)).groupBy("batch_id")

@@ -164,7 +164,7 @@ def nodes(spark, sf_dir) -> DataFrame:
 
 def pods(spark, sf_dir) -> DataFrame:
     key = F.col("c_custkey")
-    n_nodes = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n_nodes"))
+    n_nodes = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n_nodes")).scalar()
     kind = (
         F.when(F.col("c_nationkey") % 3 == 0, "RealtimeAPI")
         .when(F.col("c_nationkey") % 3 == 1, "AsyncAPI")
@@ -175,10 +175,9 @@ def pods(spark, sf_dir) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "customer")
-        .crossJoin(F.broadcast(n_nodes))  # one row
         .select(
             key.alias("pod_id"),
-            F.when(key % 11 != 0, 1 + key % F.col("n_nodes")).alias("node_id"),
+            F.when(key % 11 != 0, 1 + key % n_nodes).alias("node_id"),
             F.col("c_mktsegment").alias("api_name"),
             kind.alias("kind"),
             (100 + 50 * (key % 6)).alias("cpu_m"),
