@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TERMINAL = ["completed", "failed"]
 STATUSES = ["in_queue", "in_progress", "completed", "failed"]
 
 
 def status_columns(marker: Column) -> dict[str, Column]:
-    """Aggregates from which :func:`status_from` reads a status; mergeable, so usable in streams."""
+    """Aggregates from which :func:`status_from` reads a status. Flags and a count only, so they
+    merge in hash tables and make small streaming state."""
+    unknown = ~marker.isin(STATUSES)
     return {
-        "_terminal": F.min(F.when(marker.isin(TERMINAL), marker)),
+        "_completed": F.max(marker == "completed"),
+        "_failed": F.max(marker == "failed"),
         "_progress": F.max(marker == "in_progress"),
-        "_unknown": F.min(F.when(~marker.isin(STATUSES), marker)),
+        "_odd_first": F.max(unknown & (marker < "completed")),
+        "_odd_second": F.max(unknown & (marker < "failed")),
+        "_odd": F.max(unknown),
         "_n": F.count(marker),
     }
 
@@ -22,16 +26,17 @@ def status_columns(marker: Column) -> dict[str, Column]:
 def status_from() -> tuple[Column, Column]:
     """Status and invalid flag. Markers are read in name order up to the first terminal one, so
     ``completed`` beats ``failed`` and only an unknown name before it spoils the status."""
-    terminal, unknown = F.col("_terminal"), F.col("_unknown")
-    invalid = unknown.isNotNull() & (terminal.isNull() | (unknown < terminal))
+    odd = F.when(F.col("_completed"), F.col("_odd_first")).when(F.col("_failed"), F.col("_odd_second"))
+    invalid = F.coalesce(odd.otherwise(F.col("_odd")), F.lit(False))
     status = (
         F.when(F.coalesce("_n", F.lit(0)) == 0, "not_found")
         .when(invalid, F.lit(None))
-        .when(terminal.isNotNull(), terminal)
+        .when(F.col("_completed"), "completed")
+        .when(F.col("_failed"), "failed")
         .when(F.col("_progress"), "in_progress")
         .otherwise("in_queue")
     )
-    return status, F.coalesce(invalid, F.lit(False))
+    return status, invalid
 
 
 def async_status(requests: DataFrame, markers: DataFrame, key: str = "request_id") -> DataFrame:

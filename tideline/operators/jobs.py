@@ -91,14 +91,14 @@ def job_state(markers: DataFrame, keys: Sequence[str], precedence: Sequence[str]
     One partial aggregate, no join and no window.
     """
     rank = _lookup({name: i for i, name in enumerate(precedence)}, F.col("marker"))
-    winner = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "marker")))
-    status = F.coalesce(F.col("w.marker"), F.lit("unknown"))
-    final_time = F.max(F.when(rank.isNotNull(), F.struct((-rank).alias("r"), "mtime")))
+    names = F.array(*[F.lit(name) for name in precedence])
+    status = F.coalesce(F.get(names, F.col("_rank")), F.lit("unknown"))
     return (
-        markers.groupBy(*keys)
+        markers.withColumn("_r", rank)
+        .groupBy(*keys)
         .agg(
-            winner.alias("w"),
-            final_time.alias("f"),
+            F.min("_r").alias("_rank"),
+            F.min_by("mtime", "_r").alias("_final"),
             F.min("mtime").alias("created_at"),
             F.max("mtime").alias("updated_at"),
         )
@@ -107,7 +107,7 @@ def job_state(markers: DataFrame, keys: Sequence[str], precedence: Sequence[str]
             status.alias("status"),
             "created_at",
             "updated_at",
-            F.when(status.isin(COMPLETED), F.col("f.mtime")).alias("ended_at"),
+            F.when(status.isin(COMPLETED), F.col("_final")).alias("ended_at"),
         )
     )
 
@@ -148,9 +148,10 @@ def batch_status(jobs: DataFrame, metrics: DataFrame) -> DataFrame:
 
     ``jobs``: job_id, enqueuing (not_started | in_progress | failed | done), workers,
     workers_failed, workers_succeeded, workers_active, deadline_exceeded, any_oom, status
-    (the previous one, kept when nothing applies). ``metrics`` as of :func:`batch_metrics`.
+    (the previous one, kept when nothing applies). ``metrics`` as of :func:`batch_metrics`; its
+    columns stay in the result.
     """
-    joined = jobs.join(metrics.select("job_id", "failed"), "job_id", "left")
+    joined = jobs.join(metrics, "job_id", "left")
     all_failed = F.col("workers_failed") == F.col("workers")
     all_done = F.col("workers_succeeded") == F.col("workers")
     enqueue = (
@@ -171,7 +172,7 @@ def batch_status(jobs: DataFrame, metrics: DataFrame) -> DataFrame:
         .when(F.col("workers_active") > 0, "running")
         .otherwise(enqueue)
     )
-    return joined.withColumn("status", status).drop("failed")
+    return joined.withColumn("status", status)
 
 
 def reconcile_tasks(jobs: DataFrame, workers: DataFrame, now: Column, grace_seconds: int = 10) -> DataFrame:

@@ -44,11 +44,11 @@ def with_context(df: DataFrame, us: Column, horizon_s: float, chunk_s: float | N
     """Assign rows to time chunks and lend each chunk the rows of the ``horizon_s`` before it.
 
     Adds ``_chunk`` and ``_lent``. Work by key and chunk, look back at most ``horizon_s``, then
-    drop lent rows. Chunks are sixteen horizons long but at most a day (or one horizon): short
+    drop lent rows. Chunks are sixteen horizons long but at most a day (or four horizons): short
     enough to spread a busy series, long enough that few rows are lent.
     """
     horizon = int(horizon_s * MICROS)
-    width = max(int(chunk_s * MICROS) if chunk_s else min(16 * horizon, DAY), horizon)
+    width = max(int(chunk_s * MICROS), horizon) if chunk_s else min(16 * horizon, max(4 * horizon, DAY))
     own = us - F.pmod(us, F.lit(width))
     lend = (us + horizon) >= own + width
     places = F.array_compact(

@@ -586,8 +586,8 @@ def job_report(spark, sf_dir):
     metrics = jobs.batch_metrics(views.batch_runs(spark, sf_dir)).withColumn(
         "n_batches", F.col("succeeded") + F.col("failed")
     )
-    status = jobs.batch_status(_job_table(spark, sf_dir), metrics)
-    return status.select("job_id", "api_name", "status").join(metrics, "job_id", "left")
+    report = jobs.batch_status(_job_table(spark, sf_dir), metrics)
+    return report.select("job_id", "api_name", "n_batches", "succeeded", "failed", "avg_secs", "status")
 
 
 @query(
