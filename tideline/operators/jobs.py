@@ -272,12 +272,17 @@ def recent_jobs(files: DataFrame, n: int, api: str = "api_name", job: str = "job
 
 
 def latest_job(jobs: DataFrame, api: str = "api_name") -> DataFrame:
-    """Per API: running jobs, and the job that started last."""
-    last = F.max(F.struct("started_at", "job_id"))
-    return (
-        jobs.groupBy(api)
-        .agg(F.count_if(F.col("status") == "running").alias("running"), last.alias("last"))
-        .select(api, "running", F.col("last.job_id").alias("latest_job"), F.col("last.started_at").alias("latest_start"))
+    """Per API: running jobs, and the job that started last (the greatest id among ties).
+
+    Ties are settled per start time first, so both steps are hash aggregates.
+    """
+    per_start = jobs.groupBy(api, "started_at").agg(
+        F.count_if(F.col("status") == "running").alias("_running"), F.max("job_id").alias("job_id")
+    )
+    return per_start.groupBy(api).agg(
+        F.sum("_running").alias("running"),
+        F.max_by("job_id", "started_at").alias("latest_job"),
+        F.max("started_at").alias("latest_start"),
     )
 
 

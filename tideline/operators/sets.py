@@ -61,16 +61,24 @@ def compare_keyed(left: DataFrame, right: DataFrame, key: str, element: str, pre
     )
 
 
-def distinct_first(rows: DataFrame, value: str, order: Sequence[str], ignore: str | None = None) -> DataFrame:
-    """The first row, in ``order``, of each value; ``ignore`` is a pattern removed before comparing."""
-    key = F.col(value) if ignore is None else F.regexp_replace(value, ignore, "")
-    whole = F.struct(*order, *[c for c in rows.columns if c not in order])
-    return rows.groupBy(key.alias("_key")).agg(F.min(whole).alias("_row")).select("_row.*").select(*rows.columns)
+def _digest(value: str, ignore: str | None) -> Column:
+    """Values are compared by SHA-256, so that long texts are hashed in the scan and never shuffled."""
+    return F.sha2(F.col(value) if ignore is None else F.regexp_replace(value, ignore, ""), 256)
 
 
-def duplicate_values(rows: DataFrame, value: str, ignore: str | None = None) -> DataFrame:
-    key = F.col(value) if ignore is None else F.regexp_replace(value, ignore, "")
-    return rows.groupBy(key.alias(value)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+def distinct_first(rows: DataFrame, value: str, position: str, ignore: str | None = None) -> DataFrame:
+    """The row with the smallest (unique) ``position`` of each value; ``ignore`` is a pattern removed
+    before comparing."""
+    firsts = rows.groupBy(_digest(value, ignore).alias("_digest")).agg(F.min(position).alias(position))
+    return rows.join(firsts.select(position), position, "left_semi")
+
+
+def duplicate_values(rows: DataFrame, value: str, position: str, ignore: str | None = None) -> DataFrame:
+    """How often each repeated value occurs, with the position of its first occurrence."""
+    counts = rows.groupBy(_digest(value, ignore).alias("_digest")).agg(
+        F.min(position).alias(position), F.count(F.lit(1)).alias("n")
+    )
+    return counts.filter(F.col("n") > 1).drop("_digest")
 
 
 def multiset_match(left: DataFrame, right: DataFrame, key: Sequence[str], element: str) -> DataFrame:

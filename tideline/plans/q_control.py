@@ -37,12 +37,12 @@ def settings(df):
     return df.withColumn("target_in_flight", F.lit(TARGET)).withColumn("max_replicas", F.lit(MAX_REPLICAS))
 
 
-def recommend_sql(current: str) -> str:
+def recommend_sql(current: str, down: float = 0.75, low: int = 1) -> str:
     raw = f"(avg_in_flight / {TARGET})"
     return f"""least(greatest(least(greatest(
         CASE WHEN ({raw} < {current} AND {raw} > {current} * (1 - 0.05::DOUBLE)) OR ({raw} > {current} AND {raw} < {current} * (1 + 0.05::DOUBLE))
              THEN {current} ELSE ceil({raw}) END,
-        least({current} - 1, ceil({current} * 0.75))), greatest({current} + 1, ceil({current} * 1.5))), 1), {MAX_REPLICAS})::INTEGER"""
+        least({current} - 1, ceil({current} * {down}::DOUBLE))), greatest({current} + 1, ceil({current} * 1.5))), {low}), {MAX_REPLICAS})::INTEGER"""
 
 
 @query(
@@ -121,7 +121,26 @@ def aut_2(spark, sf_dir):
     return decisions.select("api_name", "ts", "current", "recommendation", "request")
 
 
-@query("aut_3")
+@query(
+    "aut_3",
+    f"""
+    WITH RECURSIVE e AS (
+      SELECT api_name, ts, 'tick' AS event, CASE WHEN day(ts) % 3 = 0 THEN 0.0::DOUBLE ELSE avg_in_flight END AS avg_in_flight FROM v_load
+      UNION ALL
+      SELECT api_name, min(ts), 'wake', NULL FROM v_requests GROUP BY api_name, epoch_us(ts) // {STEP * 1_000_000}),
+    t AS (SELECT *, row_number() OVER (PARTITION BY api_name ORDER BY ts, event) AS i FROM e),
+    f AS (
+      SELECT DISTINCT api_name, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, 'start' AS event, 0 AS before, 0 AS request FROM t
+      UNION ALL
+      SELECT f.api_name, t.i, t.ts, t.event, f.request,
+        CASE WHEN t.event = 'wake' THEN CASE WHEN f.request = 0 THEN 1 ELSE f.request END
+             ELSE {recommend_sql("f.request", 0.0, 0).replace("avg_in_flight", "t.avg_in_flight")} END
+      FROM f JOIN t ON t.api_name = f.api_name AND t.i = f.i + 1)
+    SELECT api_name, ts, event, before AS current, request AS recommendation, request FROM f
+    WHERE event = 'tick' OR (event = 'wake' AND before = 0)
+    """,
+    "v_load v_requests",
+)
 def aut_3(spark, sf_dir):
     """APIs that sleep every third day, woken by the first request of a tick."""
     ticks = load(spark, sf_dir).withColumn(
@@ -215,15 +234,15 @@ def many_splits(spark, sf_dir):
 @query(
     "agg_17",
     """
-    SELECT splitter, total_weight, list_filter([CASE WHEN total_weight <> 100 THEN 'weights' END,
-        CASE WHEN n <> u THEN 'not_unique' END, CASE WHEN s > 1 THEN 'shadows' END], lambda x: x IS NOT NULL) AS violations
+    SELECT splitter, total_weight, array_to_string(list_filter([CASE WHEN total_weight <> 100 THEN 'weights' END,
+        CASE WHEN n <> u THEN 'not_unique' END, CASE WHEN s > 1 THEN 'shadows' END], lambda x: x IS NOT NULL), ',') AS violations
     FROM (SELECT splitter, coalesce(sum(weight) FILTER (NOT shadow), 0)::BIGINT AS total_weight, count(*) AS n,
                  count(DISTINCT target) AS u, count(*) FILTER (shadow) AS s FROM v_many_splits GROUP BY 1)
     """,
     "v_many_splits",
 )
 def agg_17(spark, sf_dir):
-    return routing.validate_splits(many_splits(spark, sf_dir))
+    return routing.validate_splits(many_splits(spark, sf_dir)).withColumn("violations", F.array_join("violations", ","))
 
 
 @query(

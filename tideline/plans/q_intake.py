@@ -254,7 +254,7 @@ def win_1(spark, sf_dir):
 @query(
     "win_1_files",
     """
-    SELECT batch_id, list(path ORDER BY pos) AS items
+    SELECT batch_id, string_agg(path, ' ' ORDER BY pos) AS items
     FROM (SELECT path, pos, pos // 16 AS batch_id
           FROM (SELECT path, row_number() OVER (ORDER BY path, page_id) - 1 AS pos FROM v_files))
     GROUP BY 1
@@ -265,7 +265,8 @@ def win_1_files(spark, sf_dir):
     """Batches of file paths in key order, straddling folders; positions come from ranges."""
     files = views.files(spark, sf_dir).select("path", "page_id")
     placed = ordering.numbered_by_range(files, ["path", "page_id"])
-    return batching.collect_batches(batching.assign_batches(placed, 16), "path")
+    batches = batching.collect_batches(batching.assign_batches(placed, 16), "path")
+    return batches.withColumn("items", F.array_join("items", " "))
 
 
 @query(

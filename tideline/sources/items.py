@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.ordering import numbered
+from tideline.session import materialise
 
 MAX_MESSAGE_BYTES = 250 * 1024
 
@@ -103,29 +104,32 @@ def read_json_stream(
     is thus split like any other text file. A group over ``max_bytes`` that spans lines is an
     oversized (or never closed) value: it becomes one invalid row without its text.
     """
-    lines = _lines(spark, paths)
     bare = F.regexp_replace(F.regexp_replace("line", r"\\.", ""), r'"[^"]*"', "")
     opened = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
     closed = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
-    lines = lines.withColumn("delta", (opened - closed).cast("long"))
-    lines = _running(lines, "delta", "depth_after")
-    lines = lines.withColumn("starts", (F.col("depth_after") - F.col("delta") <= 0).cast("long"))
-    lines = _running(lines, "starts", "group_no")
-    groups = (
-        lines.groupBy("file", "group_no")
-        .agg(F.sum(F.octet_length("line")).alias("bytes"), F.count(F.lit(1)).alias("n_lines"))
-        .withColumn("too_big", (F.col("n_lines") > 1) & (F.col("bytes") > max_bytes))
-    )
-    big = groups.filter("too_big").select("file", "group_no", F.lit(None).cast("string").alias("text"))
-    kept = lines.join(groups.filter("too_big").select("file", "group_no"), ["file", "group_no"], "left_anti")
-    whole = kept.groupBy("file", "group_no").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("block", "line_id", "line"))), lambda s: s["line"]), "\n"
-        ).alias("text")
+    delta = (opened - closed).cast("long")
+    # The text is parsed once; all that follows up to the join reads numbers only.
+    lines = materialise(_lines(spark, paths).withColumns({"delta": delta, "bytes": F.octet_length("line")}), "lines")
+    place = ["file", "block", "line_id"]
+    depth = _running(lines.select(*place, "delta", "bytes"), "delta", "depth_after")
+    starts = (F.col("depth_after") - F.col("delta") <= 0).cast("long")
+    grouped = _running(depth.withColumn("starts", starts), "starts", "group_no")
+    grouped = materialise(grouped.select(*place, "group_no", "bytes"), "groups")
+    sizes = grouped.groupBy("file", "group_no").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n"))
+    big = sizes.filter((F.col("n") > 1) & (F.col("total") > max_bytes)).select("file", "group_no")
+    small = grouped.join(big, ["file", "group_no"], "left_anti").select(*place, "group_no")
+    ordered = F.sort_array(F.collect_list(F.struct("block", "line_id", "line")))
+    whole = (
+        lines.select(*place, "line")
+        .join(small, place)
+        .groupBy("file", "group_no")
+        .agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text"))
     )
-    decoded = whole.unionByName(big).mapInPandas(
+    oversized = big.withColumn("text", F.lit(None).cast("string"))
+    decoded = whole.unionByName(oversized).mapInPandas(
         _decode_groups, "file string, group_no long, value_no int, item string, valid boolean"
     )
+    decoded = materialise(decoded, "items")
     indexed = numbered(decoded, ["file"], ["group_no", "value_no"], F.floor(F.col("group_no") / 10_000), "item_index")
     return _check_valid(indexed.select("file", "item_index", "item", "valid"), on_error)
 
