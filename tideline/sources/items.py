@@ -48,7 +48,13 @@ def reject_oversize(
     if mode == "reject":
         return sized
     message = F.concat(F.lit("item size "), F.col("bytes").cast("string"), F.lit(f" exceeds the limit of {max_bytes}"))
-    return sized.withColumn("accepted", F.when(F.col("accepted"), True).otherwise(F.raise_error(message).cast("boolean")))
+    return sized.filter(_or_fail(F.col("accepted"), message))
+
+
+def _or_fail(holds: Column, message: Column) -> Column:
+    """A filter condition that fails the job where it does not hold. As a filter it is evaluated
+    whatever columns are read later."""
+    return F.when(holds, True).otherwise(F.raise_error(message).cast("boolean"))
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -88,9 +94,7 @@ def _check_valid(items: DataFrame, on_error: str) -> DataFrame:
     if on_error == "flag":
         return items
     message = F.concat(F.lit("item "), F.col("item_index").cast("string"), F.lit(" of "), F.col("file"))
-    return items.withColumn(
-        "valid", F.when(F.col("valid"), True).otherwise(F.raise_error(message).cast("boolean"))
-    )
+    return items.filter(_or_fail(F.col("valid"), message))
 
 
 def read_json_stream(
