@@ -108,7 +108,7 @@ def _shrunk_sql(groups: str, parent: str) -> str:
      FROM (SELECT (CASE WHEN total - squares / total > 0 THEN greatest(spread, 0.0) / (total - squares / total) END)
                   / nullif(noise / total, 0) AS share
            FROM (SELECT sum(n * pow(bad / n - {parent}, 2) - {parent} * (1 - {parent})) AS spread,
-                        sum({parent} * (1 - {parent})) AS noise, sum(n)::DOUBLE AS total,
+                        sum(n * {parent} * (1 - {parent})) AS noise, sum(n)::DOUBLE AS total,
                         sum(n::DOUBLE * n) AS squares
                  FROM {groups} WHERE n > 0)))"""
 
