@@ -279,36 +279,76 @@ def fit(labelled: DataFrame, label: str, clip: int = 3, ridge: float = 0.1) -> t
     return float(w[0]), w[1:]
 
 
-def score(
+def taught(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, sample: int) -> Grammar:
+    """The grammar with the stems of at most ``sample`` labelled training rows, those of the lowest key digests."""
+    known = labels.select(F.col(key), F.col(label).alias("_label")).filter(
+        F.col(key).isNotNull() & F.col(label).isNotNull()
+    )
+    # Bounded by ``sample``, so it may be broadcast: the texts are not shuffled.
+    chosen = known.filter(train).orderBy(F.xxhash64(key), F.col(key)).limit(sample)
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "_label")
+    return Grammar(stems=learn_stems(materialise(rows, "taught"), text, "_label"))
+
+
+class Model:
+    """A grammar with its stems, and the weights of its readings."""
+
+    def __init__(self, grammar: Grammar, bias: float, weights: np.ndarray, clip: int):
+        self.grammar, self.bias, self.weights, self.clip = grammar, bias, weights, clip
+
+    def value(self) -> Column:
+        """The score of a row that has the clause counts."""
+        total = F.lit(self.bias)
+        for name, weight in zip(FEATURES, self.weights, strict=True):
+            total = total + F.lit(float(weight)) * F.least(F.col(name), F.lit(self.clip))
+        return 1 / (1 + F.exp(-total))
+
+
+def learn(
     docs: DataFrame,
     labels: DataFrame,
     key: str,
     text: str,
     label: str,
     train: Column,
-    limit: float = 0.7,
     clip: int = 3,
     sample: int = 20_000,
+) -> tuple[Model, DataFrame]:
+    """The model, and ``docs`` without its text but with clause counts, written to the shared folder.
+
+    Rows with a label (joined by ``key``) where ``train`` holds are learned from: stems from at most ``sample`` of
+    them, weights from all. Null keys and labels are left out.
+    """
+    own = docs.drop("_label")
+    grammar = taught(own, labels, key, text, label, train, sample)
+    counted = materialise(clause_counts(own, text, grammar).drop(text), "clauses")
+    known = labels.select(F.col(key), F.col(label).alias("_label"))
+    bias, weights = fit(counted.select(key, *FEATURES).filter(train).join(known, key), "_label", clip)
+    return Model(grammar, bias, weights, clip), counted
+
+
+def score(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, limit: float = 0.7
 ) -> DataFrame:
     """``docs`` without its text, with clause counts, ``score`` (0 to 1) and ``predicted`` (1 from ``limit`` on).
 
-    Rows with a label (joined by ``key``) where ``train`` holds are learned from; nothing but the text
-    enters a score. Texts without a matched clause, null and empty ones among them, all get the score of no finding.
-    Stems are learned from at most ``sample`` labelled training rows, those of the lowest key digests; the
-    weights from all of them. Rows are kept one for one. The counts are written to the shared folder once and serve both the
-    fit and the scores; the joined label rows are grouped before they leave the executors.
+    The model is that of :func:`learn`; nothing but the text enters a score. Texts without a matched clause,
+    null and empty ones among them, all get the score of no finding. Rows are kept one for one; columns named
+    like a result are replaced.
     """
-    known = labels.select(F.col(key), F.col(label).alias("_label")).filter(
-        F.col(key).isNotNull() & F.col(label).isNotNull()
-    )
-    # Bounded by ``sample``, so it may be broadcast: the texts are not shuffled.
-    chosen = known.filter(train).orderBy(F.xxhash64(key), F.col(key)).limit(sample)
-    taught = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "_label")
-    grammar = Grammar(stems=learn_stems(materialise(taught, "taught"), text, "_label"))
-    counted = materialise(clause_counts(docs.drop("score", "predicted"), text, grammar).drop(text), "clauses")
-    bias, weights = fit(counted.filter(train).join(known, key), "_label", clip)
-    total = F.lit(bias)
-    for name, weight in zip(FEATURES, weights, strict=True):
-        total = total + F.lit(float(weight)) * F.least(F.col(name), F.lit(clip))
-    value = 1 / (1 + F.exp(-total))
+    model, counted = learn(docs.drop("score", "predicted"), labels, key, text, label, train)
+    value = model.value()
     return counted.withColumn("score", value).withColumn("predicted", (value >= limit).cast("int"))
+
+
+def keep_clean(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, limit: float = 0.7
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`score` doesn't reject, as they are.
+
+    The texts are read by the grammar again, in place, rather than joined with their scores.
+    """
+    model, _ = learn(docs.select(key, text), labels, key, text, label, train)
+    marked = docs.withColumns({f"_own_{n}": F.col(n) for n in docs.columns if n in (*FEATURES, "clauses")})
+    kept = clause_counts(marked, text, model.grammar).filter(model.value() < limit)
+    return kept.select(*[F.col(f"_own_{n}").alias(n) if f"_own_{n}" in kept.columns else F.col(n) for n in docs.columns])
