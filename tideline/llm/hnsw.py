@@ -374,12 +374,12 @@ def links(
     parts = F.lit(1)
     for size, c in chunks.items():
         parts = F.when(F.col("size") == size, c).otherwise(parts)
-    pieces = F.when(F.col("size").isNotNull(), parts)
+    pieces = F.when(F.col("size").isNotNull(), parts).cast("int")
     asked = (
         nodes.withColumn("shards", count)
         .select(
             "size",
-            F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
+            F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"),
             F.pmod(F.hash("id"), pieces).cast("int").alias("chunk"),
             F.lit(1).alias("role"),
             "id",
@@ -390,7 +390,7 @@ def links(
     answering = graphs.select(
         "size",
         "shard",
-        F.explode(F.sequence(F.lit(0), pieces - 1)).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"),
         F.lit(0).alias("role"),
         F.lit(None).cast(kind).alias("id"),
         F.col("graph").alias("raw"),
