@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Exit codes of SIGKILL, SIGTERM, SIGINT, SIGHUP.
 KILL_CODES = [137, 143, 130, 129]
+# Waiting reasons, the exit reason and the eviction message that decide a state.
 IMAGE_ERRORS = ["ErrImagePull", "ImagePullBackOff", "RegistryUnavailable"]
 CREATING_REASONS = ["ContainerCreating", "PodInitializing"]
 OOM_REASON = "OOMKilled"
@@ -76,7 +77,12 @@ def containers_status(containers: Column) -> Column:
 
 
 def _condition(kind: str, status: str) -> Column:
-    return F.exists("conditions", lambda c: (c["type"] == kind) & (c["status"] == status))
+    return F.coalesce(F.exists("conditions", lambda c: (c["type"] == kind) & (c["status"] == status)), F.lit(False))
+
+
+def _containers(name: str) -> Column:
+    """The list of containers; a pod without one has none."""
+    return F.coalesce(F.col(name), F.array().cast(f"array<struct<{CONTAINER}>>"))
 
 
 def pod_status(now: Column) -> Column:
@@ -100,13 +106,14 @@ def pod_status(now: Column) -> Column:
         return F.when(reason == OOM_REASON, "KilledOOM").when(code.isin(KILL_CODES), "Killed")
 
     # The first container with a telling exit decides.
-    deaths = F.array_compact(F.transform("containers", death))
+    deaths = F.array_compact(F.transform(_containers("containers"), death))
     evicted = (F.col("reason") == "Evicted") & F.col("message").rlike(EVICTED_FOR_MEMORY)
-    running = containers_status(F.col("containers"))
+    running = containers_status(_containers("containers"))
+    every = F.concat(_containers("init_containers"), _containers("containers"))
     return (
         F.when(
             F.col("phase") == "Pending",
-            F.when(stalled, "Stalled").otherwise(containers_status(F.concat("init_containers", "containers"))),
+            F.when(stalled, "Stalled").otherwise(containers_status(every)),
         )
         .when(F.col("phase") == "Succeeded", "Succeeded")
         .when(
@@ -115,7 +122,7 @@ def pod_status(now: Column) -> Column:
         )
         .when(
             F.col("phase") == "Running",
-            F.when(F.col("deleted"), "Terminating")
+            F.when(F.coalesce(F.col("deleted"), F.lit(False)), "Terminating")
             .when(_condition("Ready", "True"), "Ready")
             .when(running == "Ready", "NotReady")
             .otherwise(running),
@@ -137,4 +144,4 @@ def was_oom_killed() -> Column:
         return F.coalesce(reason, F.lit("")) == OOM_REASON
 
     evicted = (F.col("reason") == "Evicted") & F.col("message").rlike(EVICTED_FOR_MEMORY)
-    return F.coalesce(evicted, F.lit(False)) | F.exists("containers", ended_oom)
+    return F.coalesce(evicted, F.lit(False)) | F.exists(_containers("containers"), ended_oom)

@@ -86,10 +86,21 @@ def evaluate(rows: DataFrame, terms: Sequence[Term]) -> DataFrame:
     return sums.select("term", "series", "ts", value.alias("value"))
 
 
+def over(a: str, b: str) -> str:
+    """SQL text of ``a / b`` on doubles as metric queries divide: x/0 is infinite, 0/0 is not a number."""
+    a, b = f"CAST(({a}) AS DOUBLE)", f"CAST(({b}) AS DOUBLE)"
+    by_zero = (
+        f"CASE WHEN isnan({a}) OR {a} = 0 THEN CAST('NaN' AS DOUBLE) WHEN {a} > 0 THEN CAST('Infinity' AS DOUBLE)"
+        f" WHEN {a} < 0 THEN CAST('-Infinity' AS DOUBLE) END"
+    )
+    return f"(CASE WHEN {b} = 0 THEN {by_zero} ELSE try_divide({a}, {b}) END)"
+
+
 def formulas(terms: DataFrame, names: Sequence[str], panels: dict[str, str]) -> DataFrame:
     """``panel, series, ts, value``: arithmetic over terms with the same series and time.
 
-    A panel is a SQL expression over the term ``names``; it has no value where a term is missing.
+    A panel is a SQL expression over the term ``names``, with :func:`over` for divisions; it has no value
+    where a term is missing.
     """
     lined = terms.groupBy("series", "ts").agg(
         *[F.max(F.when(F.col("term") == n, F.col("value"))).alias(n) for n in names]

@@ -6,6 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
+from tideline.functions.numeric import ieee_div
 from tideline.operators import cost, panels
 from tideline.operators.panels import Term
 from tideline.plans import boards
@@ -110,7 +111,7 @@ REQUEST_TERMS = [
 REQUEST_PANELS = {
     **{n: n for n in ["rate_total", "rate_2xx", "rate_4xx", "rate_5xx", "in_flight", "replicas", "active", "queued", "available"]},
     "async_in_flight": "active + queued",
-    "mean_latency": "try_divide(lat_sum, lat_count)",
+    "mean_latency": panels.over("lat_sum", "lat_count"),
 }
 
 
@@ -127,7 +128,7 @@ def request_sql():
         ("queued", S_API, simple("queued", "AsyncAPI")),
         ("available", S_API, simple("replicas_available", "AsyncAPI")),
         ("async_in_flight", S_API, ratio(simple("active", "AsyncAPI"), simple("queued", "AsyncAPI"), "kind, api", "a.value + b.value")),
-        ("mean_latency", S_API, f"SELECT * FROM ({ratio(agg(rate, f'metric = {chr(39)}latency_sum{chr(39)} AND {SCALED}', 'kind, api'), agg(rate, f'metric = {chr(39)}latency_count{chr(39)} AND {SCALED}', 'kind, api'), 'kind, api', 'a.value / nullif(b.value, 0)')}) WHERE value IS NOT NULL"),
+        ("mean_latency", S_API, ratio(agg(rate, f"metric = 'latency_sum' AND {SCALED}", "kind, api"), agg(rate, f"metric = 'latency_count' AND {SCALED}", "kind, api"), "kind, api")),
     ]
     buckets = f"(SELECT kind, api, ts, CASE le WHEN '+Inf' THEN 'inf'::DOUBLE ELSE le::DOUBLE END AS le, value AS c FROM {rate} WHERE metric = 'latency_bucket' AND {SCALED})"
     parts += [(f"p{int(q * 100)}", S_API, quantile_sql(q, buckets, "kind, api, ts")) for q in (0.99, 0.9, 0.5)]
@@ -165,27 +166,32 @@ RESOURCE_TERMS = [
     Term("pods", "instant", "metric = 'pod_info'", API),
     Term("gpu_pods", "grouped", "metric = 'gpu_util'", API, "count"),
 ]
-TOTALS = {
-    "cpu_used": "cpu",
-    "cpu_requested": "cpu_requested",
-    "memory_used": f"mem_sum / mem_n / {MIB}",
-    "memory_requested": f"mem_requested / {MIB}",
-    "gpu_used": "gpu_util / 100",
-    "gpu_count": "gpus",
-    "gpu_memory_used": "fb_used",
-    "gpu_memory_total": "fb_free + fb_used",
-}
-PER_REPLICA = {
-    "cpu_used_per_replica": "cpu / pods",
-    "cpu_requested_per_replica": "cpu_requested / pods",
-    "memory_used_per_replica": f"mem_sum / mem_n / {MIB} / pods",
-    "memory_requested_per_replica": f"mem_requested / {MIB} / pods",
-    "gpu_used_per_gpu": "gpu_util / 100 / gpus",
-    "gpus_per_replica": "gpus / gpu_pods",
-    "gpu_memory_used_per_gpu": "fb_used / fb_used_n",
-    "gpu_memory_total_per_gpu": "(fb_free + fb_used) / fb_used_n",
-}
-RESOURCE_PANELS = {**TOTALS, **PER_REPLICA}
+def resource_panels(div):
+    """The sixteen formulas; ``div`` writes a division."""
+    memory, requested = div(div("mem_sum", "mem_n"), MIB), div("mem_requested", MIB)
+    return {
+        "cpu_used": "cpu",
+        "cpu_requested": "cpu_requested",
+        "memory_used": memory,
+        "memory_requested": requested,
+        "gpu_used": "gpu_util / 100",
+        "gpu_count": "gpus",
+        "gpu_memory_used": "fb_used",
+        "gpu_memory_total": "fb_free + fb_used",
+        "cpu_used_per_replica": div("cpu", "pods"),
+        "cpu_requested_per_replica": div("cpu_requested", "pods"),
+        "memory_used_per_replica": div(memory, "pods"),
+        "memory_requested_per_replica": div(requested, "pods"),
+        "gpu_used_per_gpu": div("gpu_util / 100", "gpus"),
+        "gpus_per_replica": div("gpus", "gpu_pods"),
+        "gpu_memory_used_per_gpu": div("fb_used", "fb_used_n"),
+        "gpu_memory_total_per_gpu": div("fb_free + fb_used", "fb_used_n"),
+    }
+
+
+RESOURCE_PANELS = resource_panels(panels.over)
+# DuckDB divides doubles that way by itself.
+RESOURCE_SQL = resource_panels(lambda a, b: f"(({a})::DOUBLE / ({b})::DOUBLE)")
 
 
 def resource_sql():
@@ -209,7 +215,7 @@ def resource_sql():
       UNION ALL SELECT 'pods', kind, api, ts, sum(value) FROM v_now_resources WHERE metric = 'pod_info' GROUP BY ALL
     ) GROUP BY ALL"""
     return "WITH w AS (" + sums + ") " + panel_sql(
-        [(p, S_API, f"SELECT kind, api, ts, {e} AS value FROM w WHERE {e} IS NOT NULL") for p, e in RESOURCE_PANELS.items()]
+        [(p, S_API, f"SELECT kind, api, ts, {e} AS value FROM w WHERE {e} IS NOT NULL") for p, e in RESOURCE_SQL.items()]
     )
 
 
@@ -237,21 +243,20 @@ JOB_TERMS = [
 ]
 JOB_PANELS = {
     **{n: n for n in ["succeeded", "failed", "active_jobs", "active_workers"]},
-    "mean_time": "CASE WHEN time_count = 0 THEN CASE WHEN time_sum > 0 THEN double('Infinity') ELSE double('NaN') END ELSE time_sum / time_count END",
+    "mean_time": panels.over("time_sum", "time_count"),
 }
 
 
 def job_sql():
     now = "v_now_jobs"
     part = lambda m: agg(now, f"metric = '{m}' AND {JOBS}", "kind, api")
-    divided = "CASE WHEN b.value = 0 THEN CASE WHEN a.value > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END ELSE a.value / b.value END"
     return panel_sql(
         [
             ("succeeded", S_API, part("succeeded")),
             ("failed", S_API, part("failed")),
             ("active_jobs", S_API, agg(now, f"metric = 'job_active' AND {JOBS} AND value <> 0", "kind, api", "count(*)::DOUBLE")),
             ("active_workers", S_API, agg(now, "metric = 'job_active' AND kind = 'BatchAPI'", "kind, api")),
-            ("mean_time", S_API, ratio(part("time_sum"), part("time_count"), "kind, api", divided)),
+            ("mean_time", S_API, ratio(part("time_sum"), part("time_count"), "kind, api")),
         ]
     )
 
@@ -342,8 +347,8 @@ RULE_TERMS = [
 NODE_RULES = {
     "instance:num_cpu": "num_cpu",
     "instance:cpu_utilisation": "1 - idle",
-    "instance:load1_per_cpu": "load1 / num_cpu",
-    "instance:memory_utilisation": "1 - mem_available / mem_total",
+    "instance:load1_per_cpu": panels.over("load1", "num_cpu"),
+    "instance:memory_utilisation": "1 - " + panels.over("mem_available", "mem_total"),
     "instance:pgmajfault": "faults",
     "instance_device:disk_io_time": "io_time",
     "instance_device:disk_io_weighted": "io_weighted",
@@ -380,7 +385,7 @@ def recording_rules(spark, sf_dir):
         return total(name) / F.nullif(F.count_if(F.col("panel") == name), F.lit(0))
 
     cluster = {
-        "cluster:cpu_utilization": total("cpu_weighted") / total("instance:num_cpu"),
+        "cluster:cpu_utilization": ieee_div(total("cpu_weighted"), total("instance:num_cpu")),
         "cluster:load1": mean("instance:load1_per_cpu"),
         "cluster:memory_utilization": mean("instance:memory_utilisation"),
         "cluster:pgmajfault": total("instance:pgmajfault"),
@@ -390,7 +395,7 @@ def recording_rules(spark, sf_dir):
         "cluster:transmit_drop": total("instance:transmit_drop"),
         "cluster:disk_io_utilization": mean("instance_device:disk_io_time"),
         "cluster:disk_io_saturation": mean("instance_device:disk_io_weighted"),
-        "cluster:disk_space_utilization": total("fs_used") / total("fs_size"),
+        "cluster:disk_space_utilization": ieee_div(total("fs_used"), total("fs_size")),
     }
     lined = per_node.groupBy("ts").agg(*[c.alias(f"c{i}") for i, c in enumerate(cluster.values())])
     pairs = [F.struct(F.lit(n).alias("panel"), F.col(f"c{i}").alias("value")) for i, n in enumerate(cluster)]
@@ -466,7 +471,7 @@ NODE_TERMS = [
     Term("fs_free", "fs_free", "true", NODE),
 ]
 NODE_PANELS = {
-    "cpu_usage": "(1 - idle_rate) / idle_count",
+    "cpu_usage": panels.over("1 - idle_rate", "idle_count"),
     "load1": "load1",
     "load5": "load5",
     "load15": "load15",
@@ -475,7 +480,7 @@ NODE_PANELS = {
     "memory_buffers": "mem_buffers",
     "memory_cached": "mem_cached",
     "memory_free": "mem_free",
-    "memory_usage_percent": "100 - mem_available / mem_total * 100",
+    "memory_usage_percent": "100 - " + panels.over("mem_available", "mem_total") + " * 100",
     "disk_read": "disk_read",
     "disk_written": "disk_written",
     "disk_io_time": "disk_io_time",
