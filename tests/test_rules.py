@@ -14,7 +14,22 @@ def check(spark, record, fields, **kw):
     return [(v["path"], v["rule"]) for v in found]
 
 
+NUMBERS = Field("", "list", item=Field("", "int", ge=0), max_length=2)
+UNION = Field("", "struct", tag="type", variants={"x": [Field("v", "int", gt=0)], "y": [Field("w", "list", item=Field("", "int", ge=0))]})
+DEEP = Field("", "struct", fields=[Field("c", "list", item=Field("", "struct", fields=[Field("d", "list", item=Field("", "int", ge=0))]))])
+
 RULE_CASES = [
+    ('{"a": [[1, -1], [2]]}', [Field("a", "list", item=NUMBERS)], [("a[0][1]", "ge")]),
+    ('{"a": [[1, 2, 3], "x"]}', [Field("a", "list", item=NUMBERS)], [("a[0]", "max_length"), ("a[1]", "type")]),
+    ('{"a": [{"b": [-1, 1, "z"]}]}', [Field("a", "list", item=Field("", "struct", fields=[Field("b", "list", item=Field("", "int", ge=0))]))], [("a[0].b[0]", "ge"), ("a[0].b[2]", "type")]),
+    ('{"a": [{"type": "x", "v": 1}, {"type": "y", "w": [3]}]}', [Field("a", "list", item=UNION)], []),
+    ('{"a": [{"type": "x", "v": 0, "q": 1}, {"type": "z"}, {"v": 1}]}', [Field("a", "list", item=UNION)], [("a[0].v", "gt"), ("a[0].q", "unknown"), ("a[1].type", "allowed"), ("a[2].type", "tag")]),
+    ('{"a": [{"type": "y", "w": [0, -2]}]}', [Field("a", "list", item=UNION)], [("a[0].w[1]", "ge")]),
+    ('{"a": [{"c": [{"d": [1, [2]]}, {"d": [-3]}]}]}', [Field("a", "list", item=DEEP)], [("a[0].c[0].d[1]", "type"), ("a[0].c[1].d[0]", "ge")]),
+    ('{"a": null}', [Field("a", null_as_empty=True)], []),
+    ('{"a": null}', [Field("a", null_as_empty=True, allow_empty=False)], [("a", "empty")]),
+    ('{"a": null}', [Field("a", "list", null_as_empty=True, item=NUMBERS)], []),
+    ('{"a": null}', [Field("a", "list", null_as_empty=True, min_length=1)], [("a", "min_length")]),
     ('{"a": "x"}', [Field("a")], []),
     ("{}", [Field("a", required=True)], [("a", "required")]),
     ('{"a": null}', [Field("a")], [("a", "null")]),

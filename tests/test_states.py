@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import pods
-from tideline.operators import asyncreq, jobs, routing
+from tideline.operators import asyncreq, jobs, panels, routing
 
 # (avg, succeeded) partials and their merged average.
 MERGES = [
@@ -148,3 +148,30 @@ def test_validate_splits(spark):
     rows += [("bad", "a", 30, False), ("bad", "a", 30, False), ("bad", "b", 1, True), ("bad", "c", 1, True)]
     got = {r["splitter"]: r["violations"] for r in routing.validate_splits(spark.createDataFrame(rows, SPLITS)).collect()}
     assert got == {"ok": [], "bad": ["weights", "not_unique", "shadows"]}
+
+
+def pod(spark, **given):
+    """The status of a pod with every column null but the given ones."""
+    values = {n: None for n in ("reason", "message", "deleted", "conditions", "init_containers", "containers")}
+    row = {"pod_id": 1, **values, **given}
+    names = ["pod_id", "phase", "reason", "message", "deleted", "conditions", "init_containers", "containers"]
+    df = spark.createDataFrame([tuple(row[n] for n in names)], pods.POD_SCHEMA)
+    return df.select(pods.pod_status(F.expr("timestamp_ntz'2024-01-01'"))).first()[0]
+
+
+def test_pods_without_lists(spark):
+    waiting = [(False, False, "ErrImagePull", None, None, None, None)]
+    assert pod(spark, phase="Pending") == "Pending"
+    assert pod(spark, phase="Running") == "Pending"
+    assert pod(spark, phase="Failed") == "Failed"
+    assert pod(spark, phase="Pending", containers=waiting) == "ErrImagePull"
+    assert pod(spark, phase="Pending", init_containers=waiting) == "ErrImagePull"
+    assert pod(spark, phase="Running", containers=[(True, True, None, None, None, None, None)]) == "NotReady"
+
+
+def test_panel_divisions(spark):
+    rows = [(a, b) for a in (0.0, 1.0, -1.0, float("nan"), None) for b in (0.0, 2.0, None)]
+    got = spark.createDataFrame(rows, "a double, b double").selectExpr("a", "b", f"{panels.over('a', 'b')} as q").collect()
+    nan, inf = float("nan"), float("inf")
+    want = [nan, 0.0, None, inf, 0.5, None, -inf, -0.5, None, nan, nan, None, None, None, None]
+    assert [repr(r.q) for r in got] == [repr(w) for w in want]

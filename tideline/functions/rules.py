@@ -26,12 +26,16 @@ VIOLATION = "array<struct<path string, rule string>>"
 
 @dataclass(frozen=True)
 class Field:
-    """Rules for one field; ``type`` is string, bool, int, int32, float, duration, struct, list or map."""
+    """Rules for one field; ``type`` is string, bool, int, int32, float, duration, struct, list or map.
+
+    With ``null_as_empty`` a null string is the empty string, and a null list or map has no entries.
+    """
 
     name: str
     type: str = "string"
     required: bool = False
     allow_null: bool = False
+    null_as_empty: bool = False
     allow_empty: bool = True
     default: Any = None
     default_field: str | None = None
@@ -97,7 +101,8 @@ def seconds(text: Column) -> Column:
 def _typed(raw: Column, kind: Column, rule: Field) -> Column:
     """The value in its SQL type, if the JSON kind fits without loss; else null."""
     kinds = {"string": ["string"], "duration": ["string"], "bool": ["bool"], "float": ["int", "float"]}
-    return F.when(kind.isin(kinds.get(rule.type, ["int"])), F.try_variant_get(raw, "$", SQL_TYPES[rule.type]))
+    value = F.when(kind.isin(kinds.get(rule.type, ["int"])), F.try_variant_get(raw, "$", SQL_TYPES[rule.type]))
+    return F.when(kind == "null", "").otherwise(value) if rule.null_as_empty and rule.type == "string" else value
 
 
 def _violation(path: Column, rule: str) -> Column:
@@ -112,7 +117,7 @@ def _checks(
     fail = lambda cond, name: out.append(F.when(cond, _violation(path, name)))
     if rule.required:
         fail(raw.isNull(), "required")
-    if not rule.allow_null:
+    if not rule.allow_null and not rule.null_as_empty:
         fail(kind == "null", "null")
     if value is not None:
         fail(kind.isNotNull() & (kind != "null") & value.isNull(), "type")
@@ -279,10 +284,12 @@ def _violations_of(n: _Node) -> tuple[list[Column], list[Column]]:
         seen = seen & (F.col(n.guard[0]) == n.guard[1])
     if rule.type == "list":
         size = F.size(n.value)
+        if rule.null_as_empty:
+            size = F.when(F.col(n.kind) == "null", 0).otherwise(size)
         if rule.min_length is not None:
-            checks.append(F.when(F.col(n.value).isNotNull() & (size < rule.min_length), _violation(path, "min_length")))
+            checks.append(F.when((size >= 0) & (size < rule.min_length), _violation(path, "min_length")))
         if rule.max_length is not None:
-            checks.append(F.when(F.col(n.value).isNotNull() & (size > rule.max_length), _violation(path, "max_length")))
+            checks.append(F.when(size > rule.max_length, _violation(path, "max_length")))
         if rule.item is not None:
             kinds = F.transform(n.value, lambda x: F.struct(x.alias("raw"), type_of(x).alias("kind")))
             found = F.flatten(F.transform(kinds, _item_checker(rule.item, n.path)))
@@ -306,21 +313,62 @@ def _item_checker(rule: Field, path: str):
 
 
 def _inline(raw: Column, kind: Column, rule: Field, here: Column) -> Column:
+    """All violations of a value at ``here`` and of everything in it, to any depth."""
     value = _typed(raw, kind, rule) if rule.type in SQL_TYPES else None
     parts = [_present(_checks(raw, kind, value, rule, here))]
+    if rule.type == "list":
+        parts.append(F.when(kind == "list", _list_inline(raw, rule, here)).otherwise(_none()))
     if rule.type == "struct":
-        for inner in rule.fields:
-            inner_raw = F.try_variant_get(raw, "$" + _step(inner.name), "variant")
-            inner_path = F.concat(here, F.lit("." + inner.name))
-            parts.append(
-                F.when(kind == "struct", _inline(inner_raw, type_of(inner_raw), inner, inner_path)).otherwise(_none())
-            )
-        if not rule.allow_unknown:
-            keys = F.map_keys(F.try_variant_get(raw, "$", "map<string,variant>"))
-            parts.append(F.when(kind == "struct", _extra(keys, [f.name for f in rule.fields], here)).otherwise(_none()))
+        inside = [_field_inline(raw, inner, here) for inner in rule.fields]
+        if rule.tag is not None:
+            inside.append(_union_inline(raw, rule, here))
+        elif not rule.allow_unknown:
+            inside.append(_extra(_keys(raw), [f.name for f in rule.fields], here))
+        if inside:
+            parts.append(F.when(kind == "struct", F.concat(*inside)).otherwise(_none()))
     return F.concat(*parts)
 
 
+def _keys(raw: Column) -> Column:
+    return F.map_keys(F.try_variant_get(raw, "$", "map<string,variant>"))
+
+
+def _field_inline(raw: Column, rule: Field, here: Column) -> Column:
+    inner = F.try_variant_get(raw, "$" + _step(rule.name), "variant")
+    return _inline(inner, type_of(inner), rule, F.concat(here, F.lit("." + rule.name)))
+
+
+def _list_inline(raw: Column, rule: Field, here: Column) -> Column:
+    values = F.try_variant_get(raw, "$", "array<variant>")
+    checks = []
+    if rule.min_length is not None:
+        checks.append(F.when(F.size(values) < rule.min_length, _violation(here, "min_length")))
+    if rule.max_length is not None:
+        checks.append(F.when(F.size(values) > rule.max_length, _violation(here, "max_length")))
+    parts = [_present(checks)] if checks else []
+    if rule.item is not None:
+        kinds = F.transform(values, lambda x: F.struct(x.alias("raw"), type_of(x).alias("kind")))
+
+        def check(item: Column, i: Column) -> Column:
+            inner = F.concat(here, F.lit("["), i.cast("string"), F.lit("]"))
+            return _inline(item["raw"], item["kind"], rule.item, inner)
+
+        parts.append(F.flatten(F.transform(kinds, check)))
+    return F.concat(*parts) if parts else _none()
+
+
+def _union_inline(raw: Column, rule: Field, here: Column) -> Column:
+    """A tagged union: the tag names the variant, whose fields are checked and are the only ones known."""
+    tag = F.try_variant_get(raw, "$" + _step(rule.tag), "string")
+    found = _field_inline(raw, Field(rule.tag, allowed=list(rule.variants)), here)
+    for name, variant in rule.variants.items():
+        own = [_field_inline(raw, inner, here) for inner in variant]
+        own.append(_extra(_keys(raw), [rule.tag, *[f.name for f in variant]], here))
+        found = F.concat(found, F.when(tag == name, F.concat(*own)).otherwise(_none()))
+    absent = F.when(tag.isNull(), _violation(F.concat(here, F.lit("." + rule.tag)), "tag"))
+    return F.concat(found, _present([absent]))
+
+
 def _extra(keys: Column, names: Sequence[str], path: Column) -> Column:
     prefix = F.when(path == "", "").otherwise(F.concat(path, F.lit(".")))
     extra = F.array_except(keys, F.array(*[F.lit(n) for n in names]).cast("array<string>"))
