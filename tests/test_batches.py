@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tideline.operators import batching, execute, ordering
+from tideline.operators import batching, execute, ordering, logs
 from tideline.session import fresh_path
 from tideline.sources import items, listing, sinks
 
@@ -115,6 +115,45 @@ def test_json_stream_truncated_tail(spark, tmp_path):
         items.read_json_stream(spark, path).collect()
 
 
+@pytest.mark.parametrize(
+    "text, valid, good",
+    [
+        ('{"a":1}\n{"b": [\n 2\n{"c":\n 3}\n[6]', [True, False, True, True], [{"a": 1}, {"c": 3}, [6]]),
+        ('{"a":1}}\n{"d":\n4}\n[6]', [True, False, True, True], [{"a": 1}, {"d": 4}, [6]]),
+    ],
+)
+def test_json_stream_goes_on_after_broken_values(spark, tmp_path, text, valid, good):
+    path = write_text(tmp_path / "x.json", text)
+    got = items.read_json_stream(spark, path, on_error="flag").orderBy("item_index").collect()
+    assert [r["valid"] for r in got] == valid
+    assert [json.loads(r["item"]) for r in got if r["valid"]] == good
+
+
+@pytest.mark.parametrize("size", [249 * 1024, 250 * 1024, 251 * 1024, 1_200_000])
+@pytest.mark.parametrize("gap", ["", "\n"])
+def test_json_stream_of_large_values(spark, tmp_path, size, gap):
+    path = write_text(tmp_path / "x.json", f'{{"a":{gap}"{"x" * size}"}}\n{{"b":1}}')
+    got = items.read_json_stream(spark, path).orderBy("item_index").collect()
+    assert [len(json.loads(r["item"]).get("a", "")) for r in got] == [size, 0] and all(r["valid"] for r in got)
+
+
+def test_logs_flag_long_lines(spark):
+    sizes = [32 * 1024 - 1, 32 * 1024, 32 * 1024 + 1]
+    rows = [('{"time": "2024-01-01T00:00:00.000", "log": "' + "x" * (n - 46) + '"}',) for n in sizes] + [("no json",), (None,)]
+    assert [len(r[0]) for r in rows[:3]] == sizes
+    read = logs.read_logs(spark.createDataFrame(rows, "line string"))
+    assert [r["too_long"] for r in read.collect()] == [False, False, True, False, False]
+    assert tuple(logs.skipped_lines(read).first()) == (5, 1, 2)
+
+
+def test_classify_has_no_label_limit(spark):
+    means = spark.createDataFrame([(i, [1.0, i / 10_000]) for i in range(10_050)], "label long, mean array<double>")
+    vectors = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, -1.0]), (2, None)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["class"] for r in execute.classify(vectors, means).collect()}
+    assert got == {0: 10_049, 1: 0, 2: None}
+    assert execute.classify(vectors, means.limit(0)).first()["class"] is None
+
+
 def test_json_stream_splits_files(spark, tmp_path):
     text = "".join(json.dumps({"i": i, "t": "x" * 40}, indent=1) + "\n" for i in range(200))
     path = write_text(tmp_path / "x.json", text)
@@ -182,16 +221,20 @@ def test_stored_listing_reads_no_content(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[1]
 
 
-def test_fingerprint_small_group_is_plain_md5(spark):
-    import hashlib
+def fingerprints(spark, rows, parts=3):
+    df = spark.createDataFrame(rows, "k string, path string, etag string").repartition(parts)
+    return dict(listing.fingerprint(df, keys=["k"]).collect())
+
 
-    rows = spark.createDataFrame([(f"p{i:03d}", f"h{i}") for i in range(30)], "path string, etag string")
-    want = hashlib.md5("".join(f"h{i}" for i in range(30)).encode()).hexdigest()
-    assert listing.fingerprint(rows, fan_out=100).collect()[0]["fingerprint"] == want
-    assert listing.fingerprint(rows, fan_out=7).collect()[0]["fingerprint"] != want
-    swapped = rows.withColumn("etag", F.when(F.col("path") == "p003", "x").otherwise(F.col("etag")))
-    a, b = (listing.fingerprint(r, fan_out=7).collect()[0]["fingerprint"] for r in (rows, swapped))
-    assert a != b
+@pytest.mark.parametrize("n", [1, 30, 9_999, 10_001])
+def test_fingerprint_is_one_definition_at_every_size(spark, n):
+    rows = [("a", f"p{i:05d}", f"h{i}") for i in range(n)]
+    whole = fingerprints(spark, rows)
+    assert whole == fingerprints(spark, rows[::-1], 7)
+    for other in (rows[1:], [("a", "p00000", "x"), *rows[1:]], [("a", "q", "h0"), *rows[1:]], [*rows, rows[0]]):
+        assert fingerprints(spark, other) != whole
+    swapped = [("a", "p00000", "h1"), ("a", "p00001", "h0"), *rows[2:]] if n > 1 else []
+    assert fingerprints(spark, swapped) != whole
 
 
 def test_failures_are_isolated_and_dead_lettered(spark):

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,36 +113,32 @@ def sum_items(batches: DataFrame, items: str = "items") -> DataFrame:
     return batches.withColumn("total", F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x))
 
 
-def centroid_scorer(centroids: dict[int, list[float]], vector: str = "embedding"):
-    """A handler set-up: label of the best-scoring centroid for each vector of a batch."""
-    import numpy as np
-
-    def setup(_config: dict) -> Handler:
-        labels = np.array(sorted(centroids))
-        matrix = np.array([centroids[label] for label in labels], dtype=np.float64)
-
-        def classify(row: dict) -> list[int]:
-            batch = np.array([list(v) for v in row[vector]], dtype=np.float64)
-            return labels[(batch @ matrix.T).argmax(axis=1)].tolist()
-
-        return classify
-
-    return setup
-
-
-def centroids(vectors: DataFrame, vector: str = "embedding", label: str = "label", max_labels: int = 10_000) -> dict:
-    """Mean vector per label. Averages are taken per dimension before anything is gathered, and
-    the number of labels, which bounds the result, is checked."""
-    if vectors.select(label).distinct().limit(max_labels + 1).count() > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    means = (
+def centroids(vectors: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(label, mean): the mean vector of each label, averaged per dimension before anything is gathered."""
+    return (
         vectors.select(label, F.posexplode(vector).alias("i", "x"))
         .groupBy(label, "i")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
         .groupBy(label)
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     )
-    return {row[label]: list(row["mean"]) for row in means.collect()}
+
+
+def classify(vectors: DataFrame, means: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
+    """``vectors`` with ``class``, the label of the centroid of the highest dot product (the larger label of equals).
+
+    The centroids are one array value of the plan, so vectors are scored where they are read. A null
+    vector, and any vector when there are no centroids, has a null class.
+    """
+    model = means.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "mean")))).scalar()
+
+    def dot(mean: Column) -> Column:
+        products = F.zip_with(vector, mean, lambda x, y: x.cast("double") * y)
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    scores = F.transform("_model", lambda c: F.struct(dot(c["mean"]).alias("score"), c["label"].alias("label")))
+    held = vectors.withColumn("_model", model)
+    return held.withColumn("class", F.when(F.col(vector).isNotNull(), F.array_max(scores)["label"])).drop("_model")
 
 
 def train_classifier(

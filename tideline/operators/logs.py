@@ -12,14 +12,27 @@ RECENT_SECONDS = 3600
 
 
 def read_logs(lines: DataFrame, column: str = "line", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """Parse JSON log lines: adds ``record`` (variant) and ``ts``; over-long lines are skipped.
+    """Parse JSON log lines: adds ``too_long``, ``record`` (variant) and ``ts``; no line is dropped.
 
-    The ``time`` field stays in the record. Lines that are no JSON keep a null record.
+    The ``time`` field stays in the record. Lines that are no JSON keep a null record, and so do lines of more than
+    ``max_bytes``, which are not parsed but flagged; :func:`skipped_lines` counts them.
     """
-    record = F.try_parse_json(column)
-    kept = lines.filter(F.octet_length(column) <= max_bytes).withColumn("record", record)
+    too_long = F.coalesce(F.octet_length(column) > max_bytes, F.lit(False))
+    read = lines.withColumn("too_long", too_long).withColumn(
+        "record", F.when(F.col("too_long"), F.lit(None)).otherwise(F.try_parse_json(column))
+    )
     time = F.try_variant_get("record", "$.time", "string")
-    return kept.withColumn("ts", F.try_to_timestamp(time, F.lit(TIME_FORMAT)).cast("timestamp_ntz"))
+    return read.withColumn("ts", F.try_to_timestamp(time, F.lit(TIME_FORMAT)).cast("timestamp_ntz"))
+
+
+def skipped_lines(read: DataFrame, *by: str) -> DataFrame:
+    """``lines``, ``skipped`` (over-long) and ``malformed`` of what :func:`read_logs` read, by the given columns."""
+    long = F.col("too_long")
+    return read.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(long).alias("skipped"),
+        F.count_if(~long & F.col("record").isNull()).alias("malformed"),
+    )
 
 
 def _field(record: str, name: str) -> Column:

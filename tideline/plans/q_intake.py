@@ -11,6 +11,7 @@ from tideline.session import fresh_path
 from tideline.sources import items as src
 from tideline.sources import listing, sinks
 
+MESSAGE_LIMIT = 256 * 1024
 LIMIT = 4096
 
 
@@ -201,13 +202,10 @@ def src_8(spark, sf_dir):
     """
     WITH o AS (SELECT split_part(path, '/', 3) AS host, path || '#' || page_id AS path, md5(path || size) AS h FROM v_files),
     p AS (SELECT '' AS host, path, h FROM o UNION ALL SELECT host, path, h FROM o),
-    l0 AS (SELECT host, h, (row_number() OVER (PARTITION BY host ORDER BY path) - 1) // 50 AS run, path FROM p),
-    l1 AS (SELECT host, run, md5(string_agg(h, '' ORDER BY path)) AS h FROM l0 GROUP BY 1, 2),
-    l2 AS (SELECT host, run // 50 AS run, CASE WHEN count(*) > 1 THEN md5(string_agg(h, '' ORDER BY run)) ELSE min(h) END AS h
-           FROM l1 GROUP BY 1, run // 50),
-    l3 AS (SELECT host, run // 50 AS run, CASE WHEN count(*) > 1 THEN md5(string_agg(h, '' ORDER BY run)) ELSE min(h) END AS h
-           FROM l2 GROUP BY 1, run // 50)
-    SELECT host, h AS fingerprint FROM l3
+    d AS (SELECT host, md5(path || chr(10) || h) AS h FROM p)
+    SELECT host, md5(concat_ws(',', count(*), sum(('0x' || substr(h, 1, 8))::BIGINT), sum(('0x' || substr(h, 9, 8))::BIGINT),
+                               sum(('0x' || substr(h, 17, 8))::BIGINT), sum(('0x' || substr(h, 25, 8))::BIGINT))) AS fingerprint
+    FROM d GROUP BY host
     """,
     "v_files",
 )
@@ -218,9 +216,7 @@ def src_9(spark, sf_dir):
         F.concat("path", F.lit("#"), F.col("page_id").cast("string")).alias("path"),
         F.md5(F.concat("path", F.col("size").cast("string"))).alias("etag"),
     )
-    return listing.fingerprint(
-        objects.withColumn("host", F.lit("")).unionByName(objects), keys=["host"], fan_out=50
-    )
+    return listing.fingerprint(objects.withColumn("host", F.lit("")).unionByName(objects), keys=["host"])
 
 
 @query(
@@ -274,24 +270,24 @@ def win_1_files(spark, sf_dir):
     """
     WITH RECURSIVE b AS (
       SELECT source, row_number() OVER (PARTITION BY source ORDER BY item_id) - 1 AS batch_id, strlen(body) AS bytes
-      FROM v_items WHERE strlen(body) <= 9000),
+      FROM v_items),
     g AS (
       SELECT source, batch_id, bytes AS total, 1 AS n, 0::BIGINT AS group_id FROM b WHERE batch_id = 0
       UNION ALL
       SELECT b.source, b.batch_id,
-             CASE WHEN g.total + b.bytes > 9000 OR g.n = 4 THEN b.bytes ELSE g.total + b.bytes END,
-             CASE WHEN g.total + b.bytes > 9000 OR g.n = 4 THEN 1 ELSE g.n + 1 END,
-             CASE WHEN g.total + b.bytes > 9000 OR g.n = 4 THEN g.group_id + 1 ELSE g.group_id END
+             CASE WHEN g.total + b.bytes > 262144 OR g.n = 64 THEN b.bytes ELSE g.total + b.bytes END,
+             CASE WHEN g.total + b.bytes > 262144 OR g.n = 64 THEN 1 ELSE g.n + 1 END,
+             CASE WHEN g.total + b.bytes > 262144 OR g.n = 64 THEN g.group_id + 1 ELSE g.group_id END
       FROM g JOIN b ON b.source = g.source AND b.batch_id = g.batch_id + 1)
     SELECT source, batch_id, group_id FROM g
     """,
     "v_items",
 )
 def win_2(spark, sf_dir):
-    items = src.reject_oversize(views.items(spark, sf_dir), "body", 9000, mode="reject").filter("accepted")
-    items = items.select("source", "item_id", "bytes")
+    """All documents, in messages of at most 256 KiB and 64 bodies."""
+    items = views.items(spark, sf_dir).select("source", "item_id", F.octet_length("body").cast("long").alias("bytes"))
     placed = ordering.numbered(items, ["source"], ["item_id"], F.floor(F.col("item_id") / 10_000), "batch_id")
-    packed = batching.pack(placed, "source", max_bytes=9000, max_count=4, chunk=64)
+    packed = batching.pack(placed, "source", max_bytes=MESSAGE_LIMIT, max_count=64, chunk=256)
     return packed.select("source", "batch_id", "group_id")
 
 

@@ -287,20 +287,10 @@ def exe_5(spark, sf_dir):
     """,
 )
 def exe_6(spark, sf_dir):
-    """Batches of vectors classified by the centroid with the highest score; ids are unique, so a
-    batch is at most 32 vectors."""
+    """Vectors classified by the centroid with the highest score."""
     vectors = views.vectors(spark, sf_dir)
-    setup = execute.centroid_scorer(execute.centroids(vectors))
-    placed = vectors.withColumn("batch_id", F.floor(F.col("vec_id") / 32)).groupBy("batch_id")
-    ordered = F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))
-    batches = placed.agg(ordered.alias("rows")).select(
-        "batch_id",
-        F.col("rows.vec_id").alias("vec_ids"),
-        F.col("rows.embedding").alias("embedding"),
-    )
-    runs = execute.run_batches(batches, setup, keep=("batch_id", "vec_ids"))
-    pairs = F.arrays_zip("vec_ids", F.from_json("result", "array<long>").alias("class"))
-    return runs.select(F.explode(pairs).alias("p")).select("p.vec_ids", "p.class").toDF("vec_id", "class")
+    scored = execute.classify(vectors, execute.centroids(vectors))
+    return scored.select("vec_id", F.col("class").cast("long").alias("class"))
 
 
 @query("exe_7")

@@ -97,40 +97,37 @@ def _check_valid(items: DataFrame, on_error: str) -> DataFrame:
     return items.filter(_or_fail(F.col("valid"), message))
 
 
-def read_json_stream(
-    spark: SparkSession, paths: str | list[str], on_error: str = "fail", max_bytes: int = MAX_MESSAGE_BYTES
-) -> DataFrame:
+def read_json_stream(spark: SparkSession, paths: str | list[str], on_error: str = "fail") -> DataFrame:
     """As :func:`read_ndjson`, for values that share a line or span several.
 
     A raw line break cannot occur inside a JSON string, so each line's change of nesting
     depth is known by itself; running sums per file block give the depth at every line,
-    and lines from one depth-0 point to the next form a group that is decoded alone. A file
-    is thus split like any other text file. A group over ``max_bytes`` that spans lines is an
-    oversized (or never closed) value: it becomes one invalid row without its text.
+    and lines from one base-depth point to the next form a group that is decoded alone. A file
+    is thus split like any other text file. The base depth is 0; a bracket too many lowers it
+    from there on. One that is never closed raises it at the next line that begins with a bracket in its first
+    column, so such a value costs its own group and the values after it are read. The size of a value
+    doesn't matter here, whatever its layout.
     """
     bare = F.regexp_replace(F.regexp_replace("line", r"\\.", ""), r'"[^"]*"', "")
     opened = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
     closed = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
     delta = (opened - closed).cast("long")
     # The text is parsed once; all that follows up to the join reads numbers only.
-    lines = materialise(_lines(spark, paths).withColumns({"delta": delta, "bytes": F.octet_length("line")}), "lines")
+    opens = F.col("line").rlike(r"^[{\[]")
+    lines = materialise(_lines(spark, paths).withColumns({"delta": delta, "opens": opens}), "lines")
     place = ["file", "block", "line_id"]
-    depth = _running(lines.select(*place, "delta", "bytes"), "delta", "depth_after")
-    starts = (F.col("depth_after") - F.col("delta") <= 0).cast("long")
-    grouped = _running(depth.withColumn("starts", starts), "starts", "group_no")
-    grouped = materialise(grouped.select(*place, "group_no", "bytes"), "groups")
-    sizes = grouped.groupBy("file", "group_no").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n"))
-    big = sizes.filter((F.col("n") > 1) & (F.col("total") > max_bytes)).select("file", "group_no")
-    small = grouped.join(big, ["file", "group_no"], "left_anti").select(*place, "group_no")
+    depth = _extremes(_running(lines.select(*place, "delta", "opens"), "delta", "depth_after"), "depth_after")
+    before = F.col("depth_after") - F.col("delta")
+    starts = ((before <= F.col("lowest_before")) | (F.col("opens") & (before <= F.col("lowest_after")))).cast("long")
+    grouped = _running(depth.withColumn("starts", starts), "starts", "group_no").select(*place, "group_no")
     ordered = F.sort_array(F.collect_list(F.struct("block", "line_id", "line")))
     whole = (
         lines.select(*place, "line")
-        .join(small, place)
+        .join(grouped, place)
         .groupBy("file", "group_no")
         .agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text"))
     )
-    oversized = big.withColumn("text", F.lit(None).cast("string"))
-    decoded = whole.unionByName(oversized).mapInPandas(
+    decoded = whole.mapInPandas(
         _decode_groups, "file string, group_no long, value_no int, item string, valid boolean"
     )
     decoded = materialise(decoded, "items")
@@ -138,6 +135,31 @@ def read_json_stream(
     return _check_valid(indexed.select("file", "item_index", "item", "valid"), on_error)
 
 
+def _extremes(lines: DataFrame, column: str) -> DataFrame:
+    """``lowest_before`` and ``lowest_after``: the least value on earlier lines of the file, 0 at most, and from the line on."""
+    blocks = lines.groupBy("file", "block").agg(F.min(column).alias("_low"))
+    by_file = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.select(
+        "file",
+        "block",
+        F.min("_low").over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("_low").over(by_file.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    inside = Window.partitionBy("file", "block").orderBy("line_id")
+    local = lines.withColumns(
+        {
+            "_before": F.min(column).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
+            "_after": F.min(column).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+        }
+    )
+    return (
+        local.join(blocks, ["file", "block"])
+        .withColumn("lowest_before", F.least(F.lit(0), F.col("_before"), F.col("_earlier")))
+        .withColumn("lowest_after", F.least("_after", "_later"))
+        .drop("_before", "_after", "_earlier", "_later")
+    )
+
+
 def _running(lines: DataFrame, column: str, name: str) -> DataFrame:
     """Inclusive running sum of a column along a file, block by block."""
     blocks = lines.groupBy("file", "block").agg(F.sum(column).alias("_n"))
@@ -159,9 +181,6 @@ def _decode_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for file, group_no, text in zip(frame["file"], frame["group_no"], frame["text"]):
-            if text is None:
-                out.append((file, group_no, 0, None, False))
-                continue
             at, value_no = 0, 0
             while True:
                 while at < len(text) and text[at] in " \t\r\n":

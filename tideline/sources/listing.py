@@ -178,29 +178,22 @@ def parse_keys(paths: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(listing: DataFrame, hash_col: str = "etag", keys: Sequence[str] = (), fan_out: int = 10_000) -> DataFrame:
-    """One md5 over the object hashes of each key group, in path order.
+#: Hex digits of each of the four sums that make a fingerprint.
+PART = 8
 
-    Up to ``fan_out`` objects give the md5 of the joined hashes; above that the hashes are
-    digested in runs of ``fan_out`` and the digests again, so no group ever exceeds it.
-    Paths must be unique within a group.
+
+def fingerprint(listing: DataFrame, hash_col: str = "etag", keys: Sequence[str] = ()) -> DataFrame:
+    """One digest per key group over the paths and hashes of its objects, whatever their number or order.
+
+    Every object's (path, hash) has an md5; its four quarters are summed over the group, and the
+    fingerprint is the md5 of the count and the sums. Sums merge, so partial aggregates meet in the shuffle and no group
+    is ever gathered. An object that is added, removed, renamed or changed changes the fingerprint; a null hash
+    counts as empty, and repeated objects count each.
     """
-    keys = list(keys)
-    level = numbered_by_range(listing.select(*keys, "path", F.col(hash_col).alias("h")), ["path"], keys)
-    largest = level.agg(F.max("pos")).first()[0]
-    rounds = 1
-    while largest is not None and largest >= fan_out**rounds:
-        rounds += 1
-    for number in range(rounds):
-        run = F.floor(F.col("pos") / fan_out)
-        ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda s: s["h"]), "")
-        level = (
-            level.groupBy(*keys, run.alias("_run"))
-            .agg(ordered.alias("_joined"), F.count(F.lit(1)).alias("_n"))
-            .select(
-                *keys,
-                F.col("_run").alias("pos"),
-                (F.md5("_joined") if number == 0 else F.when(F.col("_n") > 1, F.md5("_joined")).otherwise(F.col("_joined"))).alias("h"),
-            )
-        )
-    return level.select(*keys, F.col("h").alias("fingerprint"))
+    digest = F.md5(F.concat("path", F.lit("\n"), F.coalesce(hash_col, F.lit(""))))
+    quarters = [F.conv(F.substring(digest, 1 + PART * i, PART), 16, 10).cast("long") for i in range(4)]
+    sums = listing.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(q).alias(f"_s{i}") for i, q in enumerate(quarters)]
+    )
+    parts = [F.col(n).cast("string") for n in ("_n", "_s0", "_s1", "_s2", "_s3")]
+    return sums.select(*keys, F.md5(F.concat_ws(",", *parts)).alias("fingerprint"))
