@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.operators.autoscale import decide
 from tideline.session import fresh_path
-from tideline.streaming import batches, dedupe, requests
+from tideline.streaming import autoscale, batches, dedupe, requests
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "ts timestamp_ntz, message string"
@@ -41,10 +42,52 @@ CASES = [
 @pytest.mark.parametrize("seconds, want", CASES)
 def test_cooldown(spark, seconds, want):
     assert reported(dedupe.dedupe_errors(errors(spark, seconds))) == want
-    stream = dedupe.stream_dedupe_errors(as_stream(spark, errors(spark, seconds)))
+    stream = dedupe.stream_dedupe_errors(as_stream(spark, errors(spark, seconds).unionByName(HEARTBEAT(spark))))
     assert reported(batches.run_to_end(stream)) == want
 
 
+def HEARTBEAT(spark):
+    return errors(spark, [400 * DAY], None)
+
+
+def in_turn(spark, frames):
+    """A stream that reads the frames one after the other."""
+    path = fresh_path(spark, "turns")
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_late_errors_within_the_delay(spark):
+    """Times 0 and 100, then 95 and 90: the stream reports what the batch form does."""
+    turns = [errors(spark, [0, 100]), errors(spark, [95, 90]), HEARTBEAT(spark)]
+    stream = dedupe.stream_dedupe_errors(in_turn(spark, turns), delay="1 minute")
+    want = reported(dedupe.dedupe_errors(errors(spark, [0, 100, 95, 90])))
+    assert reported(batches.run_to_end(stream)) == want == [0, 90]
+
+
+def test_shuffled_errors_over_many_micro_batches(spark):
+    rng = random.Random(8)
+    times = sorted(rng.choice([1, 3, 7, 20, 400]) * rng.random() + i * 11 for i in range(300))
+    frame = errors(spark, times, "a").unionByName(errors(spark, times[::3], "b"))
+    stream = batches.out_of_order_stream(frame, fresh_path(spark, "shuffled"), 600, 300)
+    got = batches.run_to_end(dedupe.stream_dedupe_errors(stream, delay="300 seconds"))
+    want = dedupe.dedupe_errors(frame)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_ticks_within_the_delay(spark):
+    schema = "api_name string, ts timestamp_ntz, avg_in_flight double"
+    def ticks(*seconds):
+        return spark.createDataFrame([("a", T0 + dt.timedelta(seconds=s), 1.0 + s / 7) for s in seconds], schema)
+
+    beat = spark.createDataFrame([(None, T0 + dt.timedelta(days=400), None)], schema)
+    turns = [ticks(0, 20), ticks(10, 40), ticks(30, 70), ticks(60, 50), beat]
+    got = batches.run_to_end(autoscale.stream_decisions(in_turn(spark, turns)))
+    want = decide(ticks(0, 10, 20, 30, 40, 50, 60, 70)).drop("event")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 8
+
+
 def brute(times):
     state, out = dedupe.Cooldown(), []
     for t in sorted(times):

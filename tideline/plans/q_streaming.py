@@ -116,11 +116,10 @@ def str_3(spark, sf_dir):
 
 @query("str_4", ORACLE["aut_2"])
 def str_4(spark, sf_dir):
-    """The ticks of the batch fold, stored as files and folded as a stream."""
-    path = fresh_path(spark, "ticks")
+    """The ticks of the batch fold as a stream of several micro-batches, some of them days late."""
     ticks = load(spark, sf_dir)
-    ticks.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(path)
-    stream = spark.readStream.schema(ticks.schema).parquet(path).withColumns(
+    days = 24 * HOUR
+    stream = batches.out_of_order_stream(ticks, fresh_path(spark, "ticks"), 8 * days, 2 * days).withColumns(
         {
             "target_in_flight": F.lit(TARGET),
             "max_replicas": F.lit(MAX_REPLICAS),
@@ -129,7 +128,7 @@ def str_4(spark, sf_dir):
             "upscale_stabilization_s": F.lit(8.0 * HOUR),
         }
     )
-    return batches.run_to_end(autoscale.stream_decisions(stream), name="decisions")
+    return batches.run_to_end(autoscale.stream_decisions(stream, delay="2 days"), name="decisions")
 
 
 view(
@@ -169,9 +168,11 @@ def str_5_any(spark, sf_dir):
 
 @query("str_5_stream", _cooldown_sql("v_errors"), "v_errors")
 def str_5_stream(spark, sf_dir):
-    schema = views.table(spark, sf_dir, "events").schema
-    stream = batches.read_table_stream(spark, sf_dir, "events.parquet", schema)
-    return batches.run_to_end(dedupe.stream_dedupe_errors(errors(stream)), name="reports")
+    """The errors as a stream of several micro-batches, some of them days late."""
+    days = 24 * HOUR
+    found = errors(views.table(spark, sf_dir, "events"))
+    stream = batches.out_of_order_stream(found, fresh_path(spark, "errors"), 8 * days, 2 * days)
+    return batches.run_to_end(dedupe.stream_dedupe_errors(stream, delay="2 days"), name="reports")
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tideline.operators.batching import assign_batches, collect_batches
 from tideline.operators.execute import Handler, run_batches
 from tideline.operators.ordering import numbered
-from tideline.session import fresh_path
+from tideline.session import fresh_path, materialise
 
 
 def read_table_stream(
@@ -24,6 +24,26 @@ def read_table_stream(
     return reader.parquet(folder)
 
 
+def out_of_order_stream(rows: DataFrame, path: str, span_s: float, jitter_s: float) -> DataFrame:
+    """Replay ``rows`` as a stream of one file per ``span_s`` of ``ts``, each row up to ``jitter_s`` late, and a heartbeat.
+
+    The delay of a row follows its content. The last file holds one row of nulls but for a ``ts`` far
+    ahead, which closes all windows.
+    """
+    spark = rows.sparkSession
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(1000)) / 1000.0 * jitter_s
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    parted = rows.withColumn("_part", F.floor((seconds + late) / span_s))
+    parted = materialise(parted, "replay")
+    for part in [r["_part"] for r in parted.select("_part").distinct().orderBy("_part").collect()]:
+        parted.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    ahead = rows.agg(F.max("ts") + F.make_dt_interval(days=F.lit(400))).first()[0]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    beat = spark.createDataFrame([tuple(ahead if n == "ts" else None for n in rows.columns)], schema)
+    beat.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def run_to_end(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Run a stream over what is there now and return what it wrote to the shared folder.
 

@@ -141,34 +141,52 @@ def _reports(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def stream_dedupe_errors(errors: DataFrame, any_message: bool = False, delay: str = "1 minute") -> DataFrame:
-    """The same on a stream of ``(ts, message)``; a key's state is dropped once it is unseen for 24 hours
-    of event time. Rows of a micro-batch are taken in time order."""
+    """The same on a stream of ``(ts, message)`` whose rows come at most ``delay`` out of order.
+
+    Rows wait in the state of their key until the watermark passes them and are then folded in time order, so the
+    reports are those of the batch form however the rows were dealt to micro-batches. Rows later than that are dropped
+    and counted by Spark (``numRowsDroppedByWatermark``). The reports of the last ``delay`` come when later rows move the
+    watermark; a row without a message is a heartbeat that does just this. A key's state holds its distinct
+    times of one delay, and goes once the key is unseen for 24 hours of event time.
+    """
     rows = errors.select(error_key(F.col("message"), any_message).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    if any_message:
+        rows = errors.select(F.when(F.col("message").isNotNull(), ANY_KEY).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     # Occurrences at one instant count as one: only the first can be reported.
     folded = (
         rows.withWatermark("ts", delay)
         .withColumn("us", F.unix_micros("ts"))
         .groupBy("key")
         .applyInPandasWithState(
-            _advance, "key string, us long, cooldown_s double", "reported long, seen long, period long", "append", "EventTimeTimeout"
+            _advance,
+            "key string, us long, cooldown_s double",
+            "reported long, seen long, period long, waiting array<long>",
+            "append",
+            "EventTimeTimeout",
         )
     )
     return folded.select("key", from_micros(F.col("us")).alias("ts"), "cooldown_s")
 
 
 def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
+    if key[0] is None:
         return
-    fold = Cooldown(*state.get) if state.exists else Cooldown()
+    *held, waiting = state.get if state.exists else (None, 0, 0, [])
+    fold, waiting = Cooldown(*held), set(waiting)
+    if not state.hasTimedOut:
+        for frame in frames:
+            waiting.update(int(us) for us in frame["us"])
+    passed = state.getCurrentWatermarkMs() * 1000
     out = []
-    for us in sorted(set(pd.concat([f["us"] for f in frames]).tolist())):
-        if fold.see(int(us)):
-            out.append((key[0], int(us), fold.period / MICROS))
-    state.update((fold.reported, fold.seen, fold.period))
-    expires = (fold.seen + EVICT_S * MICROS) // 1000 + 1
-    if expires > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(expires)
-    else:
+    for us in sorted(t for t in waiting if t <= passed):
+        if fold.see(us):
+            out.append((key[0], us, fold.period / MICROS))
+    waiting = sorted(t for t in waiting if t > passed)
+    # The state is looked at again when its next row is due, or when the key may be forgotten.
+    due = (waiting[0] if waiting else fold.seen + EVICT_S * MICROS) // 1000 + 1
+    if due * 1000 > passed:
+        state.update((fold.reported, fold.seen, fold.period, waiting))
+        state.setTimeoutTimestamp(due)
+    elif state.exists:
         state.remove()
     yield pd.DataFrame(out, columns=["key", "us", "cooldown_s"])
