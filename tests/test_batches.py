@@ -264,13 +264,30 @@ def test_failures_are_isolated_and_dead_lettered(spark):
 def test_on_complete(spark):
     calls = []
     path = fresh_path(spark, "done")
-    execute.on_complete(spark.range(5), path, lambda df: calls.append(df.count()), expected=5)
+    for rows in (5, 7):  # a second run neither stores nor calls again
+        execute.on_complete(spark.range(rows), path, lambda df: calls.append(df.count()), expected=5)
     assert calls == [5]
+    short = fresh_path(spark, "short")
     with pytest.raises(RuntimeError, match="1 batches remain"):
-        execute.on_complete(spark.range(5), path, calls.append, expected=6)
+        execute.on_complete(spark.range(5), short, calls.append, expected=6)
     assert calls == [5]
 
 
+def test_on_complete_after_a_failed_hook(spark):
+    path, calls = fresh_path(spark, "done"), []
+
+    def hook(stored):
+        calls.append(stored.count())
+        if len(calls) == 1:
+            raise ValueError("cut off")
+
+    with pytest.raises(ValueError):
+        execute.on_complete(spark.range(4), path, hook)
+    execute.on_complete(spark.range(9), path, hook)  # the stored results stand
+    execute.on_complete(spark.range(9), path, hook)
+    assert calls == [4, 4]
+
+
 def test_sum_example(spark):
     rows = spark.createDataFrame([([1, 2, 67, -2, 43],), ([9, 0, 1, 0, 0, -1],)], "items array<long>")
     assert sorted(r["total"] for r in execute.sum_items(rows).collect()) == [9, 111]

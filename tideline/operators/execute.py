@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.functions.numeric import hash_bucket
+
 Handler = Callable[[dict], Any]
 
 RUN_FIELDS = [
@@ -93,19 +96,39 @@ def split_dead_letters(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.filter(~F.col("dead_letter")), runs.filter("dead_letter")
 
 
+def _record(spark: SparkSession, path: str) -> bool:
+    """Whether the step that leaves a record at ``path`` was finished."""
+    try:
+        return spark.read.schema("done boolean").parquet(path).first() is not None
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def on_complete(results: DataFrame, path: str, hook: Callable[[DataFrame], Any], expected: int | None = None) -> Any:
-    """Write the results, then call ``hook`` once with the stored table.
+    """Write the results, then call ``hook`` with the stored table, once however often the job is run.
 
-    The write is the barrier: the hook runs only after every batch is done. If ``expected``
-    is given and batches are missing, the hook is withheld and an error raised.
+    The write is the barrier: the hook runs only after every batch is done. If ``expected`` is given and
+    batches are missing, the hook is withheld and an error raised. Both steps leave a record beside ``path`` when they
+    are through: a run that finds the results stored doesn't compute them again, and one that finds
+    the hook done returns None. A hook that was cut off is called again.
     """
-    results.write.mode("overwrite").parquet(path)
-    stored = results.sparkSession.read.parquet(path)
+    spark = results.sparkSession
+    if _record(spark, f"{path}-completed"):
+        return None
+    done = spark.range(1).selectExpr("true AS done")
+    if not _record(spark, f"{path}-stored"):
+        results.write.mode("overwrite").parquet(path)
+        done.write.mode("overwrite").parquet(f"{path}-stored")
+    stored = spark.read.schema(results.schema).parquet(path)
     if expected is not None:
         found = stored.count()
         if found != expected:
             raise RuntimeError(f"{expected - found} batches remain")
-    return hook(stored)
+    value = hook(stored)
+    done.write.mode("overwrite").parquet(f"{path}-completed")
+    return value
 
 
 def sum_items(batches: DataFrame, items: str = "items") -> DataFrame:
@@ -142,19 +165,23 @@ def classify(vectors: DataFrame, means: DataFrame, vector: str = "embedding", la
 
 
 def train_classifier(
-    vectors: DataFrame, path: str | None = None, features: str = "embedding", label: str = "label", seed: int = 42
+    vectors: DataFrame,
+    path: str | None = None,
+    key: str = "vec_id",
+    features: str = "embedding",
+    label: str = "label",
+    salt: str = "split",
 ) -> DataFrame:
     """Split, fit a multinomial logistic regression, score the held-out part, save the model.
 
-    One row: ``n_train, n_test, accuracy``.
+    A quarter of the rows is held out, by a digest of their key, so the split is the same in every evaluation and
+    engine. One row: ``n_train, n_test, accuracy``.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    # The split follows the row's content, so it is the same in every evaluation.
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col(features)), F.lit(4))
     rows = vectors.select(
-        part.alias("part"),
+        hash_bucket(F.col(key), salt, 4).alias("part"),
         array_to_vector(F.col(features).cast("array<double>")).alias("features"),
         F.col(label).cast("double").alias("label"),
     )
