@@ -1,13 +1,27 @@
-"""Connected components by alternating large-star and small-star."""
+"""Connected components: by alternating large-star and small-star, and within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.session import materialise
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, for links a-b among ``n`` nodes."""
+    labels = np.arange(n)
+    while True:
+        low = np.minimum(labels[a], labels[b])
+        np.minimum.at(labels, labels[a], low)
+        np.minimum.at(labels, labels[b], low)
+        while not np.array_equal(jumped := labels[labels], labels):
+            labels = jumped
+        if np.array_equal(labels[a], labels[b]):
+            return labels
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a, b), a > b.
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.components import connected_components
+from tideline.llm.components import connected_components, forest
 from tideline.session import materialise
 
 #: Queries that walk a graph side by side.
@@ -35,19 +35,6 @@ BATCH = 256
 SLACK = 1e-4
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component, for links a-b among ``n`` nodes."""
-    labels = np.arange(n)
-    while True:
-        low = np.minimum(labels[a], labels[b])
-        np.minimum.at(labels, labels[a], low)
-        np.minimum.at(labels, labels[b], low)
-        while not np.array_equal(jumped := labels[labels], labels):
-            labels = jumped
-        if np.array_equal(labels[a], labels[b]):
-            return labels
-
-
 def diverse(sims: np.ndarray, among: np.ndarray, keep: int) -> np.ndarray:
     """Which candidates become links: by falling similarity, those nearer to the node than to any link taken.
 

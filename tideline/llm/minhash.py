@@ -8,14 +8,15 @@
    members against its smallest one. Similarities are counted on the full sets and the links give
    components (large-star, small-star).
 4. What may be missing then are links between different components of one bucket. Buckets that
-   have come together, which all tight groups have, are done. In the others the signatures of members of
-   different components are compared in blocks inside the tasks, and the pairs that may reach the threshold
-   are counted on the full sets as well.
-
-No bucket is cut or sampled. A pair at the threshold is missed only if no band agrees: with the defaults
-7e-9 at a similarity of 0.85, less above. The block step compares members of a bucket that does not come
-together, pair by pair, without writing the pairs; that is quadratic for many texts that share bands but stay
-below the threshold.
+   have come together, which all tight groups have, are done. In the others, signatures tell which members of
+   different components may be linked; a spanning forest of those pairs, not the pairs, leaves the
+   tasks. Its trees are families. A family's texts meet in one task, or in one for every two of its blocks, where
+   pairs of different components whose signatures are near are counted on the full sets, and pairs
+   that a link has joined meanwhile are passed over.
+
+No bucket is cut or sampled, and no step writes pairs in number beyond the rows it read. A pair at the threshold is
+missed only if no band agrees: with the defaults 7e-9 at a similarity of 0.85, less above. Comparing inside a
+bucket or family that does not come together is quadratic in its members, in blocks.
 """
 
 from __future__ import annotations
@@ -139,32 +140,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, size: int
     return whole.mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def _between(blocks: pd.DataFrame, least: float, rows: int, bands: int) -> pd.DataFrame:
-    """Pairs of one block pair, of different components, whose signatures agree enough.
+def _sides(frame: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
+    """Which rows each row of a block pair is compared with: all later ones, or those of the other block."""
+    side = frame["side"].to_numpy()
+    if (side == 2).any():
+        other = np.flatnonzero(side == 2)
+        return [(i, other) for i in np.flatnonzero(side == 0).tolist()]
+    return [(i, np.arange(i + 1, len(side))) for i in range(len(side) - 1)]
+
+
+def _near(briefs: np.ndarray, i: int, others: np.ndarray, least: float) -> np.ndarray:
+    return others[(briefs[others] == briefs[i]).mean(axis=1) >= least]
+
+
+def _hopeful(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """A spanning forest of the pairs of different components whose signatures agree enough."""
+    briefs = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["brief"]])
+    part, ids = group["component"].to_numpy(), group["id"].to_numpy()
+    label = np.arange(len(ids))
+    for i, others in _sides(group):
+        near = _near(briefs, i, others[(part[others] != part[i]) & (label[others] != label[i])], least)
+        if len(near):
+            label[np.isin(label, label[near])] = label[i]
+    member = np.flatnonzero(label != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[member], "b": ids[label[member]]})
+
+
+def _settled(group: pd.DataFrame, least: float, size: int, percent: int) -> pd.DataFrame:
+    """Links between different components of a family, as far as they join something new."""
+    briefs = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["brief"]])
+    ids, texts, known = group["id"].to_numpy(), group["text"].tolist(), {}
+    label = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+    sets: dict[int, np.ndarray] = {}
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(word_hashes(texts[i], known), size)
+        return sets[i]
 
-    A pair is reported by the first band it shares only.
-    """
-    briefs = np.stack([np.frombuffer(x, dtype=np.uint8) for x in blocks["brief"]])
-    part, side = blocks["component"].to_numpy(), blocks["side"].to_numpy()
-    ids, band = blocks["id"].to_numpy(), int(blocks["band"].iloc[0])
-    both = bool((side == 2).any())
     out = []
-    for i in range(len(ids)):
-        if both and side[i] != 0:
-            continue
-        later = (side == 2) if both else np.arange(len(ids)) > i
-        others = np.flatnonzero(later & (part != part[i]))
-        if not len(others):
-            continue
-        same = briefs[others] == briefs[i]
-        near = others[same.mean(axis=1) >= least]
-        for j in near:
-            groups = (briefs[j] == briefs[i]).reshape(bands, rows).all(axis=1)
-            if not groups[:band].any():
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    for i, others in _sides(group):
+        for j in _near(briefs, i, others[label[others] != label[i]], least).tolist():
+            if label[j] == label[i]:
+                continue
+            a, b = full(i), full(j)
+            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                out.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def _dealt(members: DataFrame, keys: list[str], sizes: DataFrame, block: int) -> DataFrame:
+    """``members`` of the groups in ``sizes`` (keys, members) over pairs of blocks: first, second and side.
+
+    Members are dealt over blocks by a digest; each pair of blocks is one group of at most about two
+    blocks' size, whatever the group's. Side 1 marks a block paired with itself.
+    """
+    return (
+        members.join(sizes, keys)
+        .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("first", F.least("own", "other"))
+        .withColumn("second", F.greatest("own", "other"))
+        .withColumn("side", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2))
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str,
@@ -188,9 +233,8 @@ def near_duplicates(
     filled = sets.filter(F.col("set_key").isNotNull() & F.col(key).isNotNull())
     classes = materialise(filled.groupBy("set_key").agg(F.min(key).alias("id")), "classes")
     one_each = filled.join(classes.select("set_key", F.col("id").alias(key)), ["set_key", key])
-    banded = materialise(
-        one_each.select(F.col(key).alias("id"), "brief", F.posexplode("bands").alias("band", "mark")), "bands"
-    )
+    names = materialise(one_each.select(F.col(key).alias("id"), "brief", "bands"), "representatives")
+    banded = names.select("id", F.posexplode("bands").alias("band", "mark"))
     buckets = (
         banded.groupBy("band", "mark")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"))
@@ -199,10 +243,8 @@ def near_duplicates(
     )
     shared = materialise(banded.join(buckets, ["band", "mark"]), "shared")
     stars = shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    involved = shared.select("id").distinct()
-    texts = materialise(
-        docs.select(key, text).join(involved.withColumnRenamed("id", key), key, "left_semi"), "texts"
-    )
+    involved = shared.select(F.col("id").alias(key)).distinct()
+    texts = materialise(docs.select(key, text).join(involved, key, "left_semi"), "texts")
     links = materialise(_verified(stars, texts, key, text, size, percent), "links")
     joined = connected_components(links, "a", "b").withColumnRenamed("node", "id")
 
@@ -213,27 +255,35 @@ def near_duplicates(
         .filter("c0 <> c1")
         .select("band", "mark", "members")
     )
-    # Members are dealt over blocks by their digest; each pair of blocks is one group of at most about
-    # two blocks' size, whatever the bucket's.
-    dealt = (
-        parted.join(apart, ["band", "mark"])
-        .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("first", F.least("own", "other"))
-        .withColumn("second", F.greatest("own", "other"))
-        .withColumn("side", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2))
-    )
-    # Far below the threshold by five standard errors of a signature of this length.
+    # Below the threshold by five standard errors of a signature of this length.
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (rows * bands)) ** 0.5
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        return _between(group, least, rows, bands)
-
-    columns = ["band", "mark", "first", "second", "side", "id", "component", "brief"]
-    more = map_groups(dealt.select(*columns), columns[:4], compare, f"a {kind}, b {kind}").distinct()
-    added = materialise(_verified(more, texts, key, text, size, percent), "links")
+    def hopeful(group: pd.DataFrame) -> pd.DataFrame:
+        return _hopeful(group, least)
+
+    def settled(group: pd.DataFrame) -> pd.DataFrame:
+        return _settled(group, least, size, percent)
+
+    pair = f"a {kind}, b {kind}"
+    dealt = _dealt(parted, ["band", "mark"], apart, block).join(names.select("id", "brief"), "id")
+    spots = ["band", "mark", "first", "second"]
+    trees = map_groups(dealt.select(*spots, "side", "id", "component", "brief"), spots, hopeful, pair)
+    families = materialise(
+        connected_components(trees, "a", "b")
+        .withColumnsRenamed({"node": "id", "component": "family"})
+        .join(joined, "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
+        .join(names.select("id", "brief"), "id"),
+        "families",
+    )
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    own_texts = texts.select(F.col(key).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"])
+    gathered = _dealt(families, ["family"], sizes, block).join(own_texts, "id")
+    spots = ["family", "first", "second"]
+    added = materialise(
+        map_groups(gathered.select(*spots, "side", "id", "component", "brief", "text"), spots, settled, pair), "links"
+    )
     if added.head(1):
         joined = connected_components(links.unionByName(added), "a", "b").withColumnRenamed("node", "id")
     # Documents meet their class, and the class its component.
