@@ -1,6 +1,7 @@
 """Batching, packing, numbering, intake and execution: edge cases and properties."""
 
 import json
+import os
 import random
 
 import pytest
@@ -305,3 +306,12 @@ def test_job_state_upsert(spark):
     sinks.write_job_state(first.filter("job_id = 2"), path)
     got = {r["job_id"]: r["status"] for r in sinks.read_job_state(spark, path).collect()}
     assert got == {1: "running", 2: "succeeded", 3: "pending"}
+
+
+def test_release_deletes_stages(spark):
+    from tideline.session import materialise, release
+
+    release(spark)
+    stage = materialise(spark.range(5), "gone")
+    (file,) = {os.path.dirname(f.removeprefix("file://")) for f in stage.inputFiles()}
+    assert os.path.isdir(file) and release(spark) == 1 and not os.path.exists(file)

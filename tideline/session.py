@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,12 +52,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tideline-")
+    folder = tempfile.mkdtemp(prefix="tideline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+#: Paths below the shared folder that this process has handed out.
+_made: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; :func:`release` deletes what was written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the stages of this process: for callers who have read the results that rest on them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        deleted += bool(path.getFileSystem(conf).delete(path, True))
+    return deleted
 
 
 def spread(scan: DataFrame) -> DataFrame:
