@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.ordering import numbered
 
+# The parts of a spec that make a pod, and those that make the rest of it.
 POD_PARTS = ["resource", "pod"]
 SPEC_PARTS = ["apis", "networking", "autoscaling", "update_strategy", "node_groups"]
 

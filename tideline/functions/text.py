@@ -23,14 +23,9 @@ NAME_PATTERNS = {
     "tag": r"^[\sa-zA-Z0-9_\-\.:/+@]+$",
     "registry_url": r"(^[a-zA-Z0-9][a-zA-Z0-9-_]*)\.dkr\.ecr(\-fips)?\.([a-zA-Z0-9][a-zA-Z0-9-_]*)\.amazonaws\.com(\.cn)?",
 }
-# An image reference: optional host and port, path, optional tag, optional digest.
-_HOST_PART = r"(?:[a-z0-9]|[a-z0-9][a-z0-9-]*[a-z0-9])"
-_PATH_PART = r"[a-z0-9]+(?:(?:[._]|__|[-]*)[a-z0-9]+)*"
-IMAGE = (
-    rf"^(?:{_HOST_PART}(?:\.{_HOST_PART})*(?::[0-9]+)?/)?{_PATH_PART}(?:/{_PATH_PART})*"
-    r"(?::[a-zA-Z0-9_][a-zA-Z0-9_.-]{0,127})?"
-    r"(?:@[A-Za-z][A-Za-z0-9]*(?:[-_+.][A-Za-z][A-Za-z0-9]*)*:[0-9A-Fa-f]{32,})?$"
-)
+# Fixed value: the published pattern of image references. A run of dashes is written -+ where the published one has an
+# optional run, which means the same and which a backtracking matcher would try in too many ways.
+IMAGE = r"^(?:(?:[a-z0-9]|[a-z0-9][a-z0-9-]*[a-z0-9])(?:(?:\.(?:[a-z0-9]|[a-z0-9][a-z0-9-]*[a-z0-9]))+)?(?::[0-9]+)?/)?[a-z0-9]+(?:(?:(?:[._]|__|-+)[a-z0-9]+)+)?(?:(?:/[a-z0-9]+(?:(?:(?:[._]|__|-+)[a-z0-9]+)+)?)+)?(?::[a-zA-Z0-9_][a-zA-Z0-9_.-]{0,127})?(?:@[A-Za-z][A-Za-z0-9]*(?:[-_+.][A-Za-z][A-Za-z0-9]*)*:[0-9A-Fa-f]{32,})?$"
 
 
 def ensure_prefix(text: Column, prefix: str) -> Column:

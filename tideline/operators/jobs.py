@@ -22,6 +22,7 @@ STATUS_MESSAGES = {
     "stopped": "stopped",
     "unknown": "unknown",
 }
+# The statuses of a job that has ended.
 COMPLETED = [
     "enqueue_failed",
     "completed_with_failures",
@@ -48,6 +49,7 @@ BATCH_PRECEDENCE = [
 ]
 TASK_PRECEDENCE = ["stopped"] + [s for s in BATCH_PRECEDENCE if s != "stopped"]
 
+# The states workers are counted by.
 WORKER_STATES = [
     "Pending",
     "Creating",
@@ -234,6 +236,7 @@ def worker_counts(pods: DataFrame, jobs: DataFrame | None = None, job: str = "jo
     return joined.select(job, *[column(s) for s in WORKER_STATES])
 
 
+# The states replicas are counted by.
 REPLICA_STATES = ["Pending", "Stalled", "Creating", "NotReady", "ErrImagePull", "Failed", "Killed", "KilledOOM", "Unknown"]
 
 

@@ -82,6 +82,7 @@ NODE_SAMPLES: list[Sample] = [
     ("fs_size", _FS, "100000"),
     ("fs_avail", _FS, "90000 - k * 100"),
 ]
+# Fixed value: the device names that count as disks.
 DISK_PATTERN = "mmcblk.p.+|nvme.+|rbd.+|sd.+|vd.+|xvd.+|dm-.+|dasd.+"
 
 BOARDS = {
