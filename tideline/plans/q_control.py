@@ -165,29 +165,51 @@ def aut_3(spark, sf_dir):
 
 
 def split_requests(spark, sf_dir):
-    return views.requests(spark, sf_dir).select(
-        "request_id", "status_code", "duration_s", F.lit("split-a").alias("splitter")
-    )
+    """Requests that name one of three splitters."""
+    splitter = F.concat(F.lit("split-"), (F.col("request_id") % 3).cast("string"))
+    return views.requests(spark, sf_dir).select("request_id", "status_code", "duration_s", splitter.alias("splitter"))
+
+
+#: (splitter, target, weight, shadow)
+SHADOWED = [
+    ("split-0", "api-0", 30, False),
+    ("split-0", "api-1", 70, False),
+    ("split-0", "api-2", 40, True),
+    ("split-1", "api-1", 100, False),
+    ("split-2", "api-0", 10, False),
+    ("split-2", "api-1", 20, False),
+    ("split-2", "api-2", 70, False),
+    ("split-2", "api-3", 5, True),
+]
+
+
+def _ranges_sql(shadow: bool) -> str:
+    rows, at = [], {}
+    for splitter, target, weight, is_shadow in SHADOWED:
+        if is_shadow == shadow:
+            low = 0 if shadow else at.get(splitter, 0)
+            at[splitter] = low + weight
+            rows.append(f"('{splitter}', '{target}', {low}, {low + weight})")
+    return f"(VALUES {', '.join(rows)}) AS t(splitter, target, lo, hi)"
 
 
 view(
     "v_routed",
-    """
-    SELECT request_id, status_code, duration_s, 'split-a' AS splitter, CASE WHEN b < 30 THEN 'api-0' ELSE 'api-1' END AS target,
-           false AS is_shadow
-    FROM (SELECT *, ('0x' || substr(md5('route:' || request_id::VARCHAR), 1, 8))::BIGINT % 100 AS b FROM v_requests)
-    UNION ALL
-    SELECT request_id, status_code, duration_s, 'split-a', 'api-2', true
-    FROM (SELECT *, ('0x' || substr(md5('shadow:' || request_id::VARCHAR), 1, 8))::BIGINT % 100 AS b FROM v_requests) WHERE b < 40
+    f"""
+    SELECT request_id, status_code, duration_s, r.splitter, target, is_shadow
+    FROM (SELECT *, 'split-' || (request_id % 3)::VARCHAR AS splitter,
+                 ('0x' || substr(md5('route:' || request_id::VARCHAR), 1, 8))::BIGINT % 100 AS b,
+                 ('0x' || substr(md5('shadow:' || request_id::VARCHAR), 1, 8))::BIGINT % 100 AS c FROM v_requests) r
+    JOIN (SELECT *, false AS is_shadow FROM {_ranges_sql(False)} UNION ALL SELECT *, true FROM {_ranges_sql(True)}) t
+      ON r.splitter = t.splitter AND CASE WHEN is_shadow THEN c ELSE b END >= lo AND CASE WHEN is_shadow THEN c ELSE b END < hi
     """,
     "v_requests",
 )
-SHADOWED = [("split-a", "api-0", 30, False), ("split-a", "api-1", 70, False), ("split-a", "api-2", 40, True)]
 
 
 @query("jon_4", "SELECT request_id, splitter, target FROM v_routed WHERE NOT is_shadow", "v_routed")
 def jon_4(spark, sf_dir):
-    routed = routing.route(split_requests(spark, sf_dir), views.splits(spark))
+    routed = routing.route(split_requests(spark, sf_dir), views.splits(spark, SHADOWED))
     return routed.select("request_id", "splitter", "target")
 
 
