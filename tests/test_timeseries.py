@@ -184,3 +184,25 @@ def test_sleeping_api_wakes(spark):
         ("wake", 0, 1),
         ("tick", 1, 2),
     ]
+
+
+@pytest.mark.parametrize("range_s, step_s", [(60, 10), (60, 60), (45, 10), (10, 60), (300, 100)])
+def test_windows_by_panes_equal_brute_force(spark, range_s, step_s):
+    """Samples on and off the grid, at one time, and far apart; ranges of many steps, of parts, of less than one."""
+    rng = random.Random(range_s + step_s)
+    points = [(rng.choice([rng.randrange(0, 900, 5), rng.randrange(900_000) / 1000]), rng.randrange(9)) for _ in range(150)]
+    rows = [("s", T0 + dt.timedelta(seconds=t), float(v)) for t, v in points]
+    frame = spark.createDataFrame(rows, "series string, ts timestamp_ntz, value double").repartition(3)
+    got = {int((r["ts"] - T0).total_seconds()): r for r in timeseries.over_time(frame, ["series"], range_s, step_s).collect()}
+    now = {int((r["ts"] - T0).total_seconds()): r["value"] for r in timeseries.instant(frame, ["series"], step_s, range_s).collect()}
+    seen = {}
+    for at in range(-step_s, 900 + range_s + step_s, step_s):
+        held = [(t, v) for t, v in points if at - range_s <= t <= at]
+        if held:
+            seen[at] = held
+    assert set(got) == set(now) == set(seen)
+    for at, held in seen.items():
+        values = [v for _, v in held]
+        r = got[at]
+        assert (r["sum_v"], r["count_v"], r["min_v"], r["max_v"]) == (sum(values), len(values), min(values), max(values))
+        assert r["avg_v"] == pytest.approx(sum(values) / len(values)) and now[at] == max(held)[1]

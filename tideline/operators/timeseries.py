@@ -3,11 +3,15 @@
 Samples have label columns, ``ts`` (NTZ timestamp, UTC) and ``value``. Operators evaluate on
 a grid of times, multiples of ``step_s`` since the epoch, and return ``ts`` as the grid time.
 Ranges are closed at both ends. Series are cut into time chunks wherever order matters, so a
-busy series is never held by one task; everything else is a mergeable aggregate.
+busy series is never held by one task; everything else is a mergeable aggregate. Samples are first
+reduced to panes, the pieces between the times where a range can begin or end; only panes are
+multiplied by the evaluation times that see them. Of samples of a series at one time, the largest
+value counts as the last and the smallest as the first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,11 +36,20 @@ def from_micros(us: Column) -> Column:
 
 
 
-def eval_times(us: Column, range_s: float, step_s: float) -> Column:
-    """Grid times whose trailing range holds a sample taken at ``us``."""
+def pane(us: Column, range_s: float, step_s: float) -> Column:
+    """The pane of a sample, in time order: even for the instants where a range may begin or end, odd for what lies between."""
+    width = math.gcd(int(range_s * MICROS), int(step_s * MICROS))
+    end = us + F.pmod(-us, F.lit(width))
+    return 2 * end - (us != end).cast("long")
+
+
+def pane_times(part: Column, range_s: float, step_s: float) -> Column:
+    """Grid times whose trailing range holds a :func:`pane`."""
     step, reach = int(step_s * MICROS), int(range_s * MICROS)
-    first = us + F.pmod(-us, F.lit(step))
-    last = us + reach - F.pmod(us + reach, F.lit(step))
+    between = F.pmod(part, F.lit(2))
+    end = F.shiftright(part + between, 1)
+    latest = end + reach - between * math.gcd(reach, step)
+    first, last = end + F.pmod(-end, F.lit(step)), latest - F.pmod(latest, F.lit(step))
     return F.when(first <= last, F.sequence(first, last, F.lit(step)))
 
 
@@ -77,7 +90,7 @@ def rate(
     labels = list(labels)
     reach = int(range_s * MICROS)
     raw = samples.select(*labels, micros("ts").alias("_us"), F.col("value").cast("double").alias("_v"))
-    order = Window.partitionBy(*labels, "_chunk").orderBy("_us")
+    order = Window.partitionBy(*labels, "_chunk").orderBy("_us", "_v")
     steps = (
         with_context(raw, F.col("_us"), range_s)
         .withColumn("_prev_us", F.lag("_us").over(order))
@@ -85,16 +98,31 @@ def rate(
         .filter(~F.col("_lent"))
     )
     grew = F.when(F.col("_v") < F.col("_prev_v"), F.col("_v")).otherwise(F.col("_v") - F.col("_prev_v"))
-    windows = (
-        steps.select(*labels, "_us", "_v", "_prev_us", grew.alias("_grew"))
-        .withColumn("_at", F.explode(eval_times(F.col("_us"), range_s, step_s)))
-        .groupBy(*labels, "_at")
+    part = pane(F.col("_us"), range_s, step_s)
+    inside = F.when(pane(F.col("_prev_us"), range_s, step_s) == F.col("_part"), F.col("_grew"))
+    panes = (
+        steps.select(*labels, "_us", "_v", "_prev_us", grew.alias("_grew"), part.alias("_part"))
+        .groupBy(*labels, "_part")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min("_us").alias("first"),
             F.max("_us").alias("last"),
-            F.min_by("_v", "_us").alias("first_v"),
-            F.sum(F.when(F.col("_prev_us") >= F.col("_at") - reach, F.col("_grew"))).alias("grew"),
+            # The first sample, with its growth since the last one of an earlier pane.
+            F.min(F.struct("_us", "_v", "_prev_us", "_grew")).alias("first"),
+            F.sum(inside).alias("inside"),
+        )
+    )
+    border = F.when(F.col("first._prev_us") >= F.col("_at") - reach, F.col("first._grew"))
+    border = F.when(pane(F.col("first._prev_us"), range_s, step_s) != F.col("_part"), border)
+    windows = (
+        panes.withColumn("_at", F.explode(pane_times(F.col("_part"), range_s, step_s)))
+        .withColumn("border", border)
+        .groupBy(*labels, "_at")
+        .agg(
+            F.sum("n").alias("n"),
+            F.min("first._us").alias("first"),
+            F.max("last").alias("last"),
+            F.min(F.struct("first._us", "first._v"))["_v"].alias("first_v"),
+            (F.coalesce(F.sum("inside"), F.lit(0.0)) + F.coalesce(F.sum("border"), F.lit(0.0))).alias("grew"),
         )
         .filter((F.col("n") >= 2) & (F.col("last") > F.col("first")))
     )
@@ -125,29 +153,39 @@ def rate(
 def over_time(samples: DataFrame, labels: Sequence[str], range_s: float, step_s: float) -> DataFrame:
     """Sum, count, mean, min and max per series over a trailing range."""
     value = F.col("value").cast("double")
+    part = pane(micros("ts"), range_s, step_s)
+    panes = (
+        samples.select(*labels, part.alias("_part"), value.alias("_v"))
+        .groupBy(*labels, "_part")
+        .agg(F.sum("_v").alias("s"), F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    )
     return (
-        samples.select(*labels, micros("ts").alias("_us"), value.alias("_v"))
-        .withColumn("_at", F.explode(eval_times(F.col("_us"), range_s, step_s)))
+        panes.withColumn("_at", F.explode(pane_times(F.col("_part"), range_s, step_s)))
         .groupBy(*labels, "_at")
-        .agg(
-            F.sum("_v").alias("sum_v"),
-            F.count("_v").alias("count_v"),
-            F.avg("_v").alias("avg_v"),
-            F.min("_v").alias("min_v"),
-            F.max("_v").alias("max_v"),
+        .agg(F.sum("s").alias("sum_v"), F.sum("n").alias("count_v"), F.min("low").alias("min_v"), F.max("high").alias("max_v"))
+        .select(
+            *labels,
+            "sum_v",
+            "count_v",
+            F.when(F.col("count_v") > 0, F.col("sum_v") / F.col("count_v")).alias("avg_v"),
+            "min_v",
+            "max_v",
+            from_micros(F.col("_at")).alias("ts"),
         )
-        .withColumn("ts", from_micros(F.col("_at")))
-        .drop("_at")
     )
 
 
 def instant(samples: DataFrame, labels: Sequence[str], step_s: float, lookback_s: float = LOOKBACK_S) -> DataFrame:
     """Value of each series at every grid time: its last sample within ``lookback_s``."""
-    return (
+    panes = (
         samples.select(*labels, micros("ts").alias("_us"), F.col("value").cast("double").alias("_v"))
-        .withColumn("_at", F.explode(eval_times(F.col("_us"), lookback_s, step_s)))
+        .groupBy(*labels, pane(F.col("_us"), lookback_s, step_s).alias("_part"))
+        .agg(F.max(F.struct("_us", "_v")).alias("last"))
+    )
+    return (
+        panes.withColumn("_at", F.explode(pane_times(F.col("_part"), lookback_s, step_s)))
         .groupBy(*labels, "_at")
-        .agg(F.max_by("_v", "_us").alias("value"))
+        .agg(F.max("last")["_v"].alias("value"))
         .select(*labels, from_micros(F.col("_at")).alias("ts"), "value")
     )
 
@@ -156,7 +194,7 @@ def instant_at(samples: DataFrame, labels: Sequence[str], at: Column, lookback_s
     """Value of each series at one time; the time bound reaches the scan."""
     oldest = at - F.make_dt_interval(secs=F.lit(float(lookback_s)))
     recent = samples.filter((F.col("ts") <= at) & (F.col("ts") >= oldest))
-    return recent.groupBy(*labels).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("sample_ts"))
+    return recent.groupBy(*labels).agg(F.max(F.struct("ts", "value"))["value"].alias("value"), F.max("ts").alias("sample_ts"))
 
 
 def as_of(
@@ -179,7 +217,7 @@ def as_of(
     merged = left.unionByName(right).withColumn("_us", micros("ts"))
     seen = F.when(F.col("_point").isNull(), F.struct("_us", "_v"))
     # At equal times samples come first.
-    order = Window.partitionBy(*labels, "_chunk").orderBy("_us", F.col("_point").isNotNull())
+    order = Window.partitionBy(*labels, "_chunk").orderBy("_us", F.col("_point").isNotNull(), "_v")
     placed = (
         with_context(merged, F.col("_us"), lookback_s)
         .withColumn("_last", F.last(seen, ignorenulls=True).over(order))
