@@ -18,9 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tideline.session import materialise
 
@@ -37,7 +39,7 @@ def word_ids(text: str | None, known: dict[str, int]) -> np.ndarray:
         if value is None:
             value = known[word] = xxhash.xxh3_64_intdigest(word)
         out[i] = value
-    if len(known) > 500_000:
+    if len(known) > 100_000:
         known.clear()
     return out
 
@@ -141,13 +143,15 @@ def _candidates_sent(docs: DataFrame, text: str, seeds: DataFrame, seed: int, co
         (hashes[order], number[table["item"]].to_numpy()[order], need, names["item"].tolist())
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorted_hashes, owner, least, item_names = sent.value
         known: dict[str, int] = {}
         for batch in batches:
             rows, found = [], []
-            for row, content in enumerate(batch[text]):
-                own = np.unique(rolling(word_ids(content, known), seed))
+            for row, content in enumerate(batch.column(place)):  # one text at a time leaves the batch
+                own = np.unique(rolling(word_ids(content.as_py(), known), seed))
                 low = np.searchsorted(sorted_hashes, own, "left")
                 high = np.searchsorted(sorted_hashes, own, "right")
                 hit = np.flatnonzero(high > low)
@@ -158,13 +162,15 @@ def _candidates_sent(docs: DataFrame, text: str, seeds: DataFrame, seed: int, co
                 for i in ids[counts >= least[ids]].tolist():
                     rows.append(row)
                     found.append(item_names[i])
-            out = batch.iloc[rows].copy()
-            out["item"] = found
-            yield out
+            taken = batch.take(pa.array(rows, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(found, type=item_type)], names=[*batch.schema.names, "item"]
+            )
 
     kind = seeds.schema["item"].dataType.simpleString()
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{columns}, item {kind}")
+    item_type = to_arrow_type(seeds.schema["item"].dataType)
+    return docs.mapInArrow(run, f"{columns}, item {kind}")
 
 
 def _candidates_joined(docs: DataFrame, text: str, seeds: DataFrame, seed: int, coverage: float) -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def word_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
         if value is None:
             value = known[word] = xxhash.xxh3_64_intdigest(word)
         out[i] = value
-    if len(known) > 500_000:
+    if len(known) > 100_000:
         known.clear()
     return out
 
@@ -92,52 +93,55 @@ SIGNED = "n_shingles long, set_key binary, bands array<long>, brief binary"
 def signed(docs: DataFrame, key: str, text: str, size: int, rows: int, bands: int) -> DataFrame:
     """(key, n_shingles, set_key, bands, brief): set size, digest, band keys and the low bytes of the minima."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = Hashes(rows * bands), {}
         for batch in batches:
-            out = []
-            for content in batch[text]:
-                found = shingles(word_hashes(content or "", known), size)
+            out: dict[str, list] = {"n_shingles": [], "set_key": [], "bands": [], "brief": []}
+            for content in batch.column(1):  # one text at a time leaves the batch
+                found = shingles(word_hashes(content.as_py() or "", known), size)
+                out["n_shingles"].append(len(found))
                 if not len(found):
-                    out.append((0, None, None, None))
+                    for name in ("set_key", "bands", "brief"):
+                        out[name].append(None)
                     continue
                 low = hashes.minima(found)
-                parts = low.reshape(bands, rows)
-                marks = [xxhash.xxh3_64_intdigest(p.tobytes(), seed=i) - 2**63 for i, p in enumerate(parts)]
-                digest = hashlib.md5(found.tobytes()).digest()
-                out.append((len(found), digest, marks, low.astype(np.uint8).tobytes()))
-            frame = pd.DataFrame(out, columns=["n_shingles", "set_key", "bands", "brief"])
-            frame.insert(0, key, batch[key].to_numpy())
-            yield frame
+                marks = [xxhash.xxh3_64_intdigest(p.tobytes(), seed=i) - 2**63 for i, p in enumerate(low.reshape(bands, rows))]
+                out["set_key"].append(hashlib.md5(found.tobytes()).digest())
+                out["bands"].append(np.array(marks, dtype=np.int64))
+                out["brief"].append(low.astype(np.uint8).tobytes())
+            kinds = {"n_shingles": pa.int64(), "set_key": pa.binary(), "bands": pa.list_(pa.int64()), "brief": pa.binary()}
+            columns = [pa.array(out[n], type=t) for n, t in kinds.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *kinds])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, {SIGNED}")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {SIGNED}")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` with 100 * intersection >= percent * union on their full shingle sets.
 
-    Pairs arrive sorted by ``a`` within a task, so the set of a star's centre is built once.
+    Pairs mostly arrive sorted by ``a`` within a task, so the set of a star's centre is built once.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         last, held = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
             keep = np.zeros(len(batch), dtype=bool)
-            for i, (left, right) in enumerate(zip(batch["left_text"], batch["right_text"], strict=True)):
-                if left != last:
-                    last, held = left, shingles(word_hashes(left, known), size)
-                other = shingles(word_hashes(right, known), size)
+            centre = batch.column(0)
+            for i in range(len(batch)):
+                if last is None or centre[i] != last:
+                    last, held = centre[i], shingles(word_hashes(batch.column(2)[i].as_py(), known), size)
+                other = shingles(word_hashes(batch.column(3)[i].as_py(), known), size)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 keep[i] = 100 * both >= percent * (len(held) + len(other) - both)
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     kind = texts.schema[key].dataType.simpleString()
     left = texts.select(F.col(key).alias("a"), F.col(text).alias("left_text"))
     right = texts.select(F.col(key).alias("b"), F.col(text).alias("right_text"))
     whole = pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text")
-    return whole.mapInPandas(run, f"a {kind}, b {kind}")
+    return whole.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _sides(frame: pd.DataFrame) -> list[tuple[int, np.ndarray]]:

@@ -20,6 +20,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,26 +74,37 @@ def tokenised(docs: DataFrame, key: str, text: str, queue: str, encoder: Encoder
     Ids are little-endian, 16-bit where all of them fit, which ``wide`` tells. Null texts count as empty.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sent = TaskContext.get().partitionId(), {}
         for batch in batches:
-            rows = []
-            for name, content in zip(batch[queue], batch[text], strict=True):
-                found = encoder.ids(content or "")
+            ats, sizes, wides, ids = [], [], [], []
+            for name, content in zip(batch.column(2).to_pylist(), batch.column(1), strict=True):
+                found = encoder.ids(content.as_py() or "")
                 if end_id is not None:
                     found = np.append(found, np.uint32(end_id))
                 at, n = sent.get(name, 0), len(found)
                 sent[name] = at + n
                 wide = bool(n and found.max() > 0xFFFF)
-                rows.append((part, at, n, wide, found.astype("<u4" if wide else "<u2").tobytes()))
-            out = pd.DataFrame(rows, columns=["part", "at", "n", "wide", "ids"])
-            out.insert(0, key, batch[key].to_numpy())
-            out.insert(1, queue, batch[queue].to_numpy())
-            yield out
+                ats.append(at)
+                sizes.append(n)
+                wides.append(wide)
+                ids.append(found.astype("<u4" if wide else "<u2").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array([part] * len(ids), type=pa.int32()),
+                    pa.array(ats, type=pa.int64()),
+                    pa.array(sizes, type=pa.int64()),
+                    pa.array(wides, type=pa.bool_()),
+                    pa.array(ids, type=pa.binary()),
+                ],
+                names=[key, queue, "part", "at", "n", "wide", "ids"],
+            )
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, {queue} int, part int, at long, n long, wide boolean, ids binary"
-    return docs.select(key, text, queue).mapInPandas(run, schema)
+    return docs.select(key, text, queue).mapInArrow(run, schema)
 
 
 def places(queue: int, start: int, length: int, totals: np.ndarray, shares: np.ndarray) -> list[tuple[int, int, int]]:

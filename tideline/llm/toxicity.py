@@ -208,14 +208,21 @@ def stem_counts(sample: DataFrame, text: str, label: str, lengths: tuple[int, in
     low, high = lengths
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table: dict[str, list[int]] = {}
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([(stem, *n) for stem, n in table.items()], columns=["stem", "toxic", "clean"])
+            table.clear()
+            return out
+
         for batch in batches:
-            table: dict[str, list[int]] = {}
             for content, toxic in zip(batch[text], batch[label], strict=True):
                 words = set(WORD.findall(content.lower()))
                 for stem in {w[:n] for w in words for n in range(low, min(high, len(w)) + 1)}:
                     table.setdefault(stem, [0, 0])[0 if toxic else 1] += 1
-            rows = [(stem, *n) for stem, n in table.items()]
-            yield pd.DataFrame(rows, columns=["stem", "toxic", "clean"])
+                if len(table) > 50_000:  # partial counts, so that a task stays small
+                    yield rows()
+        yield rows()
 
     distinct = sample.filter(F.col(text).isNotNull()).groupBy(F.col(text)).agg(F.max(F.col(label) > 0).alias(label))
     parts = distinct.mapInPandas(counted, "stem string, toxic long, clean long")
