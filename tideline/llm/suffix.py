@@ -11,8 +11,8 @@ can't be sorted in one place, so equal strings are first brought together:
 3. Stretches that occur once but share their anchor with others may repeat in part: the edges of passages. Their
    bytes, cut to what some other stretch of the anchor continues in common, are joined into blocks, and the
    block's suffix array (linear grouping, :mod:`gsaca`) brings equal windows side by side.
-4. An anchor of more than ``most`` different stretches is no single group: its windows are counted by
-   digest, with the same result.
+4. An anchor of more than ``most`` different stretches is no single group: blocks of its windows are counted by
+   digest, and only blocks that repeat in part are taken apart, with the same result.
 5. The runs of repeated windows go back to the texts, which are cut.
 
 Texts are known by a digest on the way, so equal texts are one until the end and rows need no key.
@@ -234,26 +234,61 @@ def _partly(groups: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _partly_by_digest(groups: DataFrame, length: int) -> DataFrame:
-    """As :func:`_partly` for anchors of very many stretches: their windows are counted by digest."""
+#: Windows per block at the successive levels of counting.
+LEVELS = (16, 4, 1)
+
+
+def _blocks(groups: DataFrame, spots: DataFrame, width: int, length: int) -> DataFrame:
+    """(anchor, whole, wanted, lead, block, low, high, outer, core) of the windows low .. high of each spot, by blocks.
+
+    Windows are numbered by their distance to the anchor, so blocks of different stretches correspond. ``outer`` is
+    the digest of all bytes under the block's windows, ``core`` that of the bytes that all windows of a
+    whole block share.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            columns = [batch[n].tolist() for n in ("anchor", "whole", "copies", "lead", "context")]
-            for anchor, whole, copies, lead, context in zip(*columns, strict=True):
-                for k in range(len(context) - length + 1):
-                    digest = xxhash.xxh3_128_digest(context[k : k + length])
-                    rows.append((anchor, whole, copies, k, lead - k, digest))
-            yield pd.DataFrame(rows, columns=["anchor", "whole", "copies", "window", "offset", "mark"])
-
-    schema = "anchor long, whole long, copies long, window int, offset int, mark binary"
-    windows = groups.select("anchor", "whole", "copies", "lead", "context").mapInPandas(run, schema)
-    twice = windows.groupBy("anchor", "offset", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    found = windows.filter("copies = 1").join(twice, ["anchor", "offset", "mark"], "left_semi")
-    runs = F.transform("starts", lambda k: F.struct(k.alias("first"), k.alias("last")))
-    starts = found.groupBy("anchor", "whole").agg(F.array_sort(F.collect_list("window")).alias("starts"))
-    return starts.select("anchor", "whole", runs.alias("runs"))
+            columns = [batch[n].tolist() for n in ("anchor", "whole", "wanted", "lead", "low", "high", "context")]
+            for anchor, whole, wanted, lead, low, high, context in zip(*columns, strict=True):
+                for block in range(low // width, high // width + 1):
+                    first, last = max(low, block * width), min(high, block * width + width - 1)
+                    outer = xxhash.xxh3_128_digest(context[lead - last : lead - first + length])
+                    inner = context[lead - block * width : lead - block * width - width + 1 + length]
+                    rows.append((anchor, whole, wanted, lead, block, first, last, outer, xxhash.xxh3_128_digest(inner)))
+            yield pd.DataFrame(
+                rows, columns=["anchor", "whole", "wanted", "lead", "block", "low", "high", "outer", "core"]
+            )
+
+    schema = "anchor long, whole long, wanted boolean, lead int, block int, low int, high int, outer binary, core binary"
+    held = spots.join(groups.select("anchor", "whole", "lead", "context"), ["anchor", "whole"])
+    return held.select("anchor", "whole", "wanted", "lead", "low", "high", "context").mapInPandas(run, schema)
+
+
+def _partly_by_digest(groups: DataFrame, length: int) -> DataFrame:
+    """As :func:`_partly` for anchors of very many stretches: blocks of windows are counted by digest.
+
+    A block that occurs twice repeats entirely, one whose core occurs once has no repeated window, and what
+    lies between is looked at again in smaller blocks, down to single windows. Of equal blocks one goes on.
+    """
+    windows = F.length("context") - length
+    spots = groups.select(
+        "anchor", "whole", (F.col("copies") == 1).alias("wanted"), (F.col("lead") - windows).alias("low"), F.col("lead").alias("high")
+    )
+    found = []
+    for width in LEVELS:
+        rows = materialise(_blocks(groups, spots, width, length), "blocks")
+        same, core = ["anchor", "block", "low", "high", "outer"], ["anchor", "block", "core"]
+        kinds = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("one"))
+        cores = rows.groupBy(*core).agg(F.count(F.lit(1)).alias("sharing"), F.min("outer").alias("o0"), F.max("outer").alias("o1"))
+        counted = rows.join(kinds, same)
+        found.append(counted.filter("wanted AND n > 1").select("anchor", "whole", "lead", "low", "high"))
+        if width > 1:
+            left = counted.filter("n = 1 OR whole = one").join(cores.filter("sharing > 1 AND o0 <> o1"), core)
+            spots = left.select("anchor", "whole", (F.col("wanted") & (F.col("n") == 1)).alias("wanted"), "low", "high")
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    run = F.struct((F.col("lead") - F.col("high")).alias("first"), (F.col("lead") - F.col("low")).alias("last"))
+    return every.groupBy("anchor", "whole").agg(F.array_sort(F.collect_list(run)).alias("runs"))
 
 
 def remove_repeats(
