@@ -373,6 +373,7 @@ def links(
             "raw",
             F.lit(0).alias("beam"),
         )
+        .join(graphs.select("size", "shard"), ["size", "shard"])  # a shard may have got no vector
     )
     answering = graphs.select(
         "size",
