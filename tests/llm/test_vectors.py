@@ -79,10 +79,18 @@ def test_forest():
         assert hnsw.forest(n, a, b).tolist() == [low[r] for r in roots]
 
 
+class Narrow(hnsw.Graph):
+    """A graph that finds nothing with a beam below 16."""
+
+    def within(self, queries, floor, breadth):
+        rows, nodes = super().within(queries, floor, breadth)
+        return (rows, nodes) if breadth >= 16 else (rows[:0], nodes[:0])
+
+
 def test_audit_widens_the_beam():
     draw = np.random.RandomState(2)
-    unit = draw.normal(size=(3000, 24))
+    unit = draw.normal(size=(600, 24))
     unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-    graph = hnsw.Graph(unit)
-    beam, recall = hnsw.audited(graph, unit[:200], 0.55, 1.0, 2)
-    assert recall == 1.0 and beam > 2
+    beam, recall = hnsw.audited(Narrow(unit), unit[:100], 0.99, 1.0, 2)
+    assert recall == 1.0 and beam >= 16
+    assert hnsw.audited(hnsw.Graph(unit), unit[:0], 0.99, 1.0, 2) == (2, 1.0)
