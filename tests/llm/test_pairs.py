@@ -142,6 +142,35 @@ def test_leaks(spark, broadcast):
     assert got == [(0, 10, 1.0), (1, 10, 1.0), (2, 11, 1.0), (5, 10, 1.0), (5, 10, 1.0), (5, 11, 1.0), (5, 11, 1.0)]
 
 
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_leaks_of_items_that_repeat_themselves(spark, broadcast):
+    same = " ".join(["la"] * 12)
+    refrain = " ".join(f"r{i % 5}" for i in range(59))
+    partly = " ".join(["na"] * 30 + [f"p{i}" for i in range(28)])
+    docs = [(1, same), (2, f"so {refrain} it goes"), (3, " ".join(["na"] * 30)), (4, "la " * 4), (5, " ".join(["na"] * 28))]
+    found = decontam.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        "text",
+        spark.createDataFrame([(10, same), (11, refrain), (12, partly)], "item_id long, text string"),
+        "item_id",
+        "text",
+        broadcast=broadcast,
+    )
+    got = sorted((r.doc_id, r["item"], r.covered_words) for r in found.collect())
+    assert got == [(1, 10, 12), (2, 11, 59), (3, 12, 30)]
+
+
+def test_tiles_of_long_repeats():
+    assert covered([7] * 2_000, [7] * 30_000, 5) == 2_000
+    assert covered([1, 2, 3] * 500, [9, *[1, 2, 3] * 400, 8, *[1, 2, 3] * 400], 5) == 1_500
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=25), st.lists(st.integers(1, 3), max_size=40))
+def test_tiles_longest_first(item, text):
+    assert covered(item, text, 3) == slow_tiling(item, text, 3)
+
+
 def test_leaks_of_nothing(spark):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontam.leaks(h.empty_documents(spark), "text", items, "item_id", "text").collect() == []

@@ -55,68 +55,86 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _free(marked: np.ndarray, width: int) -> np.ndarray:
-    """Starts of the runs of ``width`` words without a mark."""
-    sums = np.concatenate([[0], np.cumsum(marked)])
-    return np.flatnonzero(sums[width:] == sums[:-width]) if len(marked) >= width else np.empty(0, dtype=np.int64)
+class _Runs:
+    """The unmarked runs of one text; hashes of any width come from one running sum, whatever the width."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray):
+        self.words, self.starts = words, starts
+        n = len(words)
+        steps = np.full(n, pow(int(BASE), -1, 1 << 64), dtype=np.uint64)
+        steps[:1] = 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(steps), dtype=np.uint64)])
+        powers = np.full(n, BASE, dtype=np.uint64)
+        powers[:1] = 1
+        self.powers = np.cumprod(powers)
+        self.done = np.zeros(n, dtype=bool)
+        self.marks = np.zeros(n + 1, dtype=np.int64)
+
+    def mark(self) -> None:
+        """Takes what was added to ``done`` into account; starts that lie under it never come back."""
+        np.cumsum(self.done, out=self.marks[1:])
+        self.starts = self.starts[~self.done[self.starts]]
+
+    def free(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes (those of :func:`rolling`) of the unmarked runs of ``width`` words."""
+        at = self.starts[self.starts <= len(self.words) - width]
+        at = at[self.marks[at + width] == self.marks[at]]
+        return at, (self.sums[at + width] - self.sums[at]) * self.powers[at + width - 1]
+
+
+def _longest(item: _Runs, text: _Runs, least: int, most: int) -> int:
+    """The greatest width up to ``most`` at which both have an unmarked run of equal hash; below ``least`` if there is none."""
+    low, high = least - 1, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if np.isin(item.free(middle)[1], text.free(middle)[1]).any():
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (item start, text start, length) of the tiles, ``least`` words or more."""
-    done_i, done_t = np.zeros(len(item), dtype=bool), np.zeros(len(text), dtype=bool)
+    """Greedy string tiling: (item start, text start, length) of the tiles, ``least`` words or more.
+
+    Each round lays the tiles of the greatest length there is. No pairs of places are formed, so words that repeat
+    themselves thousands of times in both cost no more than others.
+    """
+    hash_i, hash_t = rolling(item, least), rolling(text, least)
+    own = _Runs(item, np.flatnonzero(np.isin(hash_i, hash_t)))
+    other = _Runs(text, np.flatnonzero(np.isin(hash_t, hash_i)))
     out: list[tuple[int, int, int]] = []
-    width = max(least, min(32, len(item)))
-    while True:
-        starts_i, starts_t = _free(done_i, width), _free(done_t, width)
-        hash_i, hash_t = rolling(item, width), rolling(text, width)
+    width = min(len(item), len(text))
+    while (width := _longest(own, other, least, width)) >= least:
+        (at_i, hash_i), (at_t, hash_t) = own.free(width), other.free(width)
+        common = np.isin(hash_t, hash_i)
         places: dict[int, list[int]] = {}
-        if len(starts_i) and len(starts_t):
-            kept = starts_t[np.isin(hash_t[starts_t], hash_i[starts_i])]
-            for at in kept.tolist():
-                places.setdefault(int(hash_t[at]), []).append(at)
-        found: list[tuple[int, int, int]] = []
-        longest = 0
-        for i in starts_i.tolist() if places else ():
-            for t in places.get(int(hash_i[i]), ()):
-                k, most = 0, min(len(item) - i, len(text) - t)
-                while k < most and item[i + k] == text[t + k] and not done_i[i + k] and not done_t[t + k]:
-                    k += 1
-                if k >= width:
-                    found.append((-k, i, t))
-                    longest = max(longest, k)
-        if longest > 2 * width:
-            width = longest
-            continue
-        occluded = False
-        for k, i, t in sorted(found):
-            k = -k
-            if done_i[i : i + k].any() or done_t[t : t + k].any():
-                occluded = True  # what is left of it is found again below, unless too short
-                continue
-            done_i[i : i + k] = done_t[t : t + k] = True
-            out.append((i, t, k))
-        if occluded and len(_free(done_i, width)) and _again(item, text, done_i, done_t, width):
-            continue
-        if width == least:
-            return out
-        width = max(least, width // 2)
-
-
-def _again(item: np.ndarray, text: np.ndarray, done_i: np.ndarray, done_t: np.ndarray, width: int) -> bool:
-    """Whether an unmarked common run of ``width`` words is left."""
-    a, b = _free(done_i, width), _free(done_t, width)
-    if not len(a) or not len(b):
-        return False
-    return bool(np.isin(rolling(item, width)[a], rolling(text, width)[b]).any())
+        for h, t in zip(hash_t[common][::-1].tolist(), at_t[common][::-1].tolist(), strict=True):
+            places.setdefault(h, []).append(t)  # the first one last
+        common = np.isin(hash_i, hash_t)
+        for h, i in zip(hash_i[common].tolist(), at_i[common].tolist(), strict=True):
+            left = places[h]
+            while left and not own.done[i : i + width].any():
+                t = left.pop()
+                if not other.done[t : t + width].any() and np.array_equal(item[i : i + width], text[t : t + width]):
+                    own.done[i : i + width] = other.done[t : t + width] = True
+                    out.append((i, t, width))
+        own.mark()
+        other.mark()
+        width -= 1
+    return out
 
 
 def _needed(words: int, seed: int, coverage: float) -> int:
-    """Distinct seeds that a text with ``coverage`` of an item must share: a tile of n words has n - seed + 1."""
+    """Places of an item whose seed a text with ``coverage`` of it must share: a tile of n words has n - seed + 1 places.
+
+    Places count, not distinct seeds: an item that repeats itself has fewer of those than places.
+    """
     return max(1, math.ceil(coverage * words / seed - 1e-9))
 
 
 def item_seeds(items: DataFrame, key: str, text: str, seed: int) -> DataFrame:
-    """(item, words, seed): the distinct seed hashes of each item; items of fewer words have none."""
+    """(item, words, seed, places): the seed hashes of each item and how often each occurs in it; items of fewer words have none."""
     kind = items.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,11 +142,12 @@ def item_seeds(items: DataFrame, key: str, text: str, seed: int) -> DataFrame:
             rows = []
             for item, content in zip(batch[key], batch[text], strict=True):
                 words = word_ids(content, {})
-                rows += [(item, len(words), h) for h in np.unique(rolling(words, seed)).view(np.int64).tolist()]
-            yield pd.DataFrame(rows, columns=["item", "words", "seed"])
+                hashes, places = np.unique(rolling(words, seed), return_counts=True)
+                rows += [(item, len(words), h, n) for h, n in zip(hashes.view(np.int64).tolist(), places.tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["item", "words", "seed", "places"])
 
     plain = items.select(key, text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return plain.mapInPandas(run, f"item {kind}, words long, seed long").distinct()
+    return plain.mapInPandas(run, f"item {kind}, words long, seed long, places long").distinct()
 
 
 def _candidates_sent(docs: DataFrame, text: str, seeds: DataFrame, seed: int, coverage: float) -> DataFrame:
@@ -140,13 +159,19 @@ def _candidates_sent(docs: DataFrame, text: str, seeds: DataFrame, seed: int, co
     hashes = table["seed"].to_numpy().view(np.uint64)
     order = np.argsort(hashes, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast(
-        (hashes[order], number[table["item"]].to_numpy()[order], need, names["item"].tolist())
+        (
+            hashes[order],
+            number[table["item"]].to_numpy()[order],
+            table["places"].to_numpy()[order],
+            need,
+            names["item"].tolist(),
+        )
     )
 
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorted_hashes, owner, least, item_names = sent.value
+        sorted_hashes, owner, places, least, item_names = sent.value
         known: dict[str, int] = {}
         for batch in batches:
             rows, found = [], []
@@ -157,8 +182,9 @@ def _candidates_sent(docs: DataFrame, text: str, seeds: DataFrame, seed: int, co
                 hit = np.flatnonzero(high > low)
                 if not len(hit):
                     continue
-                owners = np.concatenate([owner[low[h] : high[h]] for h in hit])
-                ids, counts = np.unique(owners, return_counts=True)
+                at = np.concatenate([np.arange(low[h], high[h]) for h in hit])
+                ids, which = np.unique(owner[at], return_inverse=True)
+                counts = np.bincount(which, weights=places[at])
                 for i in ids[counts >= least[ids]].tolist():
                     rows.append(row)
                     found.append(item_names[i])
@@ -187,7 +213,7 @@ def _candidates_joined(docs: DataFrame, text: str, seeds: DataFrame, seed: int,
     marked = docs.withColumn("digest", F.md5(F.col(text)))
     distinct = marked.filter(F.col(text).isNotNull()).groupBy("digest").agg(F.first(text).alias(text))
     hits = distinct.mapInPandas(run, "digest string, seed long").join(seeds, "seed")
-    counted = hits.groupBy("digest", "item").agg(F.countDistinct("seed").alias("n"), F.min("words").alias("words"))
+    counted = hits.groupBy("digest", "item").agg(F.sum("places").alias("n"), F.min("words").alias("words"))
     pairs = counted.filter(F.col("n") >= F.greatest(F.lit(1), F.ceil(F.col("words") * coverage / seed - 1e-9)))
     return marked.join(pairs.select("digest", "item"), "digest").drop("digest")
 
