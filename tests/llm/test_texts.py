@@ -90,6 +90,36 @@ def test_span_inside_a_layer():
     assert escaped[span["start"] : span["end"]] == urllib.parse.quote(SECRET, safe="")
 
 
+def found_in(text):
+    """The stretches of ``text`` that hold an assignment."""
+    return {text[s["start"] : s["end"]] for s in secrets._scan_one(text, 1 << 20)[1] if s["kind"] == "assign"}
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("width", [10, 64, 76])
+def test_wrapped_base64(width, newline):
+    for shift in range(0, 60, 7):
+        coded = base64.b64encode(b"." * shift + PLAIN + b" and so on" * 9).decode()
+        text = "see " + newline.join(coded[i : i + width] for i in range(0, len(coded), width)) + " end"
+        hit = max(found_in(text), key=len)  # a line alone may show the beginning of it
+        low, high = text.index(hit), text.index(hit) + len(hit)
+        assert len("".join(text[:low].split())) - 3 == shift * 4 // 3
+        assert len("".join(text[:high].split())) - 3 == ((shift + len(PLAIN)) * 4 + 2) // 3
+
+
+@pytest.mark.parametrize("before", ["https://host.io/cb/", "id_", "a-", "x/", "/"])
+def test_base64_after_a_path_or_name(before):
+    coded = base64.b64encode(PLAIN + b" ").decode()
+    assert found_in(f"go {before}{coded}")
+
+
+@pytest.mark.parametrize(
+    "raw", [SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"\x00\xff" + PLAIN + b"\x01\xfe", b"\x7fELF" + SECRET.encode("utf-16-le")]
+)
+def test_payloads_that_are_no_text(raw):
+    assert found_in("x " + base64.b64encode(raw).decode())
+
+
 def test_bombs_and_loops_end():
     bomb = base64.b64encode(zlib.compress(b"a" * (1 << 21))).decode()
     assert secrets._scan_one(bomb, 1 << 20)[3] == 1

@@ -19,7 +19,7 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,9 +38,21 @@ SHORTEST_ASSIGN, SHORTEST_ACCESS = 12, 18
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Runs go on over line breaks; those of one line have 16 characters or more, others at least that many in all.
+BASE64 = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++|[A-Za-z0-9+/_-]{16,}+)={0,2}"
+)
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+SHORTEST_RUN = 16
 URL_SAFE = str.maketrans("-_", "+/")
 
+# What can hold a finding, or an encoding of one, in bytes that are no text: as ASCII, as UTF-16 of either order.
+STRETCHES = (
+    (re.compile(rb"[\t\n\r\x20-\x7e]{16,}"), 0, 1),
+    (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){16,}"), 0, 2),
+    (re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){16,}"), 1, 2),
+)
+
 SPAN = "struct<kind:string,start:long,end:long>"
 RESULT = f"struct<base:array<{SPAN}>,spans:array<{SPAN}>,layers:int,oversize:int>"
 
@@ -60,12 +72,20 @@ def find(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; ``first[i]`` and ``last[i]`` bound the original characters of its character i."""
+    """A decoded text; ``first[i]`` and ``last[i]`` bound the original characters of its character i, or ``whole`` those of all."""
 
-    def __init__(self, text: str, first: list[int] | None = None, last: list[int] | None = None):
-        self.text, self.first, self.last = text, first, last
+    def __init__(
+        self,
+        text: str,
+        first: list[int] | None = None,
+        last: list[int] | None = None,
+        whole: tuple[int, int] | None = None,
+    ):
+        self.text, self.first, self.last, self.whole = text, first, last, whole
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
         if self.first is None:
             return start, end
         return min(self.first[start:end]), max(self.last[start:end])
@@ -77,6 +97,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
     def keep(a: int, b: int) -> None:
         parts.append(layer.text[a:b])
+        if layer.whole is not None:
+            return
         first.extend(range(a, b) if layer.first is None else layer.first[a:b])
         last.extend(range(a + 1, b + 1) if layer.last is None else layer.last[a:b])
 
@@ -86,15 +108,17 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
             continue
         keep(at, m.start())
         for text, offset, length in pieces:
-            low, high = layer.span(m.start() + offset, m.start() + offset + length)
             parts.append(text)
+            if layer.whole is not None:
+                continue
+            low, high = layer.span(m.start() + offset, m.start() + offset + length)
             first.extend([low] * len(text))
             last.extend([high] * len(text))
         at, changed = m.end(), True
     if not changed:
         return None
     keep(at, len(layer.text))
-    return Layer("".join(parts), first, last)
+    return Layer("".join(parts), first, last) if layer.whole is None else Layer("".join(parts), whole=layer.whole)
 
 
 def _byte_pieces(raw: bytes, width: int) -> list[tuple[str, int, int]] | None:
@@ -183,9 +207,51 @@ def _base64(found: str) -> bytes | None:
         return None
 
 
+def _runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
+    """Base64 characters that may be decoded from their first one on, and their places in ``text``.
+
+    A name or path before a payload shifts it by up to three characters, so each run is tried in all four phases; of a run
+    of several lines, each line is tried alone as well.
+    """
+    for m in BASE64.finditer(text):
+        lines = list(LINE.finditer(text, m.start(), m.end()))
+        if len(lines) == 1:
+            run, places = m.group().rstrip("="), range(m.start(), m.end())
+        else:
+            run, places = "".join(x.group() for x in lines), [i for x in lines for i in range(x.start(), x.end())]
+            for x in lines:
+                if x.end() - x.start() >= SHORTEST_RUN:
+                    yield x.group(), range(x.start(), x.end())
+        if len(run) >= SHORTEST_RUN:
+            for phase in range(4):
+                yield run[phase:], places[phase:]
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, Sequence[tuple[int, int]] | None]]:
+    """The texts in ``raw`` and (offset, length) of their characters: all of it, or what reads as ASCII or UTF-16 in it."""
+    if (plain := _readable(raw)) is not None:
+        yield plain, None
+        return
+    for pattern, offset, width in STRETCHES:
+        parts, places = [], []
+        for m in pattern.finditer(raw):
+            parts.append(m.group()[offset::width].decode("ascii"))
+            places.append((m.start(), width))
+        if parts:
+            yield "\0".join(parts), [
+                (start + i * width, width) for part, (start, width) in zip(parts, places) for i in range(len(part) + 1)
+            ][:-1]  # the character after each part is the zero between two
+
+
 def unwrap(text: str, limit: int) -> Iterator[Layer | None]:
-    """All layers of ``text`` but the text itself, breadth first; None for one of more than ``limit`` bytes."""
-    work, seen = deque([Layer(text)]), {(0, len(text), hashlib.md5(text.encode("utf-8", "replace")).digest())}
+    """All layers of ``text`` but the text itself; None for one of more than ``limit`` bytes, which isn't searched."""
+    seen = {(0, len(text), hashlib.md5(text.encode("utf-8", "replace")).digest())}
+    yield from _walk(Layer(text), limit, seen)
+
+
+def _walk(start: Layer, limit: int, seen: set) -> Iterator[Layer | None]:
+    """The layers below ``start``, breadth first."""
+    work: deque[Layer | tuple[bytes, tuple[int, int]]] = deque([start])
 
     def new(origin: tuple[int, int], content: bytes) -> bool:
         key = (*origin, hashlib.md5(content).digest())
@@ -194,8 +260,27 @@ def unwrap(text: str, limit: int) -> Iterator[Layer | None]:
         seen.add(key)
         return True
 
+    def opened(raw: bytes, origin: tuple[int, int]) -> Iterator[None]:
+        """Puts what ``raw`` unpacks to on the list."""
+        try:
+            inner = _unpack(raw, limit)
+        except OverflowError:
+            yield None
+            return
+        if inner is not None:
+            work.append((inner, origin))
+
     while work:
         layer = work.popleft()
+        if isinstance(layer, tuple):
+            raw, origin = layer
+            if new(origin, raw):
+                for plain, _ in _texts(raw):
+                    out = Layer(plain, whole=origin)
+                    yield out
+                    work.append(out)
+                yield from opened(raw, origin)
+            continue
         made = []
         if "%" in layer.text:
             made.append(_replaced(layer, PERCENT, _percent))
@@ -203,32 +288,27 @@ def unwrap(text: str, limit: int) -> Iterator[Layer | None]:
             made.append(_replaced(layer, ESCAPE, _escape))
         whole = layer.span(0, len(layer.text)) if layer.text else (0, 0)
         out = [x for x in made if x is not None and x.text and new(whole, x.text.encode("utf-8", "replace"))]
-        for m in BASE64.finditer(layer.text):
-            raw = _base64(m.group())
+        for run, places in _runs(layer.text):
+            raw = _base64(run)
             if not raw:
                 continue
-            origin, packed = layer.span(m.start(), m.end()), False
-            while new(origin, raw):
-                try:
-                    inner = _unpack(raw, limit)
-                except OverflowError:
-                    yield None
-                    break
-                if inner is None:
-                    if (plain := _readable(raw)) is not None:
-                        if packed:
-                            first, last = [origin[0]] * len(plain), [origin[1]] * len(plain)
-                        else:
-                            first, last, at = [], [], 0
-                            for c in plain:
-                                n = len(c.encode("utf-8"))
-                                low, high = layer.span(m.start() + at * 4 // 3, m.start() + ((at + n) * 4 + 2) // 3)
-                                first.append(low)
-                                last.append(high)
-                                at += n
-                        out.append(Layer(plain, first, last))
-                    break
-                raw, packed = inner, True
+            origin = layer.span(places[0], places[-1] + 1)
+            if not new(origin, raw):
+                continue
+            for plain, at in _texts(raw):
+                if layer.whole is not None:
+                    out.append(Layer(plain, whole=layer.whole))
+                    continue
+                first, last, byte = [], [], 0
+                for i, c in enumerate(plain):
+                    byte, n = (byte, len(c.encode("utf-8"))) if at is None else at[i]
+                    end = min(((byte + n) * 4 + 2) // 3, len(places))
+                    low, high = layer.span(places[byte * 4 // 3], places[end - 1] + 1)
+                    first.append(low)
+                    last.append(high)
+                    byte += n
+                out.append(Layer(plain, first, last))
+            yield from opened(raw, origin)
         for x in out:
             yield x
             work.append(x)
