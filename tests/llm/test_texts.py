@@ -1,8 +1,10 @@
 """Secrets, toxicity, packing against brute force, round trips and held-out labels."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import os
 import re
 import sys
@@ -120,6 +122,30 @@ def test_payloads_that_are_no_text(raw):
     assert found_in("x " + base64.b64encode(raw).decode())
 
 
+def _zstd(raw):
+    import zstandard
+
+    return zstandard.compress(raw)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, _zstd])
+def test_every_member_and_any_size(pack):
+    noise = os.urandom(300)
+    half = len(PLAIN) // 2
+    for packed in (
+        pack(noise) + pack(b"clean") + pack(PLAIN),
+        pack(noise + PLAIN[:half]) + pack(PLAIN[half:]),
+        b"\xff\0" + pack(noise) + b"\0" * 8 + pack(PLAIN),
+    ):
+        assert found_in("x " + base64.b64encode(packed).decode())
+        assert found_in("see host/cb/" + base64.b64encode(packed).decode())
+    for at in (0, 1 << 20, (3 << 20) - 10):
+        large = bytearray(b" " * (3 << 20))
+        large[at:at] = b" " + PLAIN
+        _, spans, _, oversize = secrets._scan_one(base64.b64encode(pack(bytes(large))).decode(), 1 << 20)
+        assert oversize == 1 and [s["kind"] for s in spans] == ["assign"]
+
+
 def test_bombs_and_loops_end():
     bomb = base64.b64encode(zlib.compress(b"a" * (1 << 21))).decode()
     assert secrets._scan_one(bomb, 1 << 20)[3] == 1

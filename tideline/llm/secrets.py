@@ -53,6 +53,11 @@ STRETCHES = (
     (re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){16,}"), 1, 2),
 )
 
+# Where compressed members may start: gzip, zlib, bzip2, xz, zstd.
+MEMBER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+ZSTD = b"\x28\xb5\x2f\xfd"
+STEP = 1 << 20
+
 SPAN = "struct<kind:string,start:long,end:long>"
 RESULT = f"struct<base:array<{SPAN}>,spans:array<{SPAN}>,layers:int,oversize:int>"
 
@@ -157,36 +162,78 @@ def _escape(found: str) -> list[tuple[str, int, int]] | None:
     return [(chr(number), 0, len(found))]
 
 
-def _unpack(raw: bytes, limit: int) -> bytes | None:
-    """The content of compressed bytes; None if they are none. Raises OverflowError beyond ``limit``."""
-    if raw[:2] == b"\x1f\x8b":
-        machine = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        machine = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        machine = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        machine = lzma.LZMADecompressor(memlimit=limit * 2)
-    elif raw[:4] == b"\x28\xb5\x2f\xfd":
+def _machine(raw: bytes, at: int, limit: int):
+    """A decompressor for what starts at ``at``; None if that is no compressed member."""
+    head = raw[at : at + 6]
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=max(limit * 2, 128 << 20))
+    if head[:4] == ZSTD:
         import zstandard
 
-        try:
-            with zstandard.ZstdDecompressor(max_window_size=max(1 << 20, limit)).stream_reader(raw) as reader:
-                out = reader.read(limit + 1)
-        except zstandard.ZstdError:
-            return None
-        if len(out) > limit:
-            raise OverflowError
-        return out
-    else:
-        return None
+        return zstandard.ZstdDecompressor(max_window_size=max(limit, 128 << 20)).decompressobj()
+    return None
+
+
+def _unfolded(raw: bytes, at: int, limit: int, end: list[int]) -> Iterator[bytes]:
+    """The content of the members from ``at`` on, one after the other, in short pieces; ``end`` is where the last whole one ends.
+
+    What comes before damage or a missing end counts.
+    """
+    import zstandard
+
+    view = memoryview(raw)
     try:
-        out = machine.decompress(raw, limit + 1)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
+        while (machine := _machine(raw, at, limit)) is not None:
+            zstd = raw[at : at + 4] == ZSTD
+            fed = 256 if zstd else 1 << 16  # zstd gives all it has at once
+            while not machine.eof and at < len(raw):
+                out = machine.decompress(view[at : at + fed], *(() if zstd else (STEP,)))
+                at = min(len(raw), at + fed)
+                yield out
+                while not zstd and not machine.eof:  # what the step had no room for
+                    left = getattr(machine, "unconsumed_tail", b"")
+                    if not left and getattr(machine, "needs_input", True):
+                        break
+                    yield machine.decompress(left, STEP)
+            if not machine.eof:
+                yield machine.flush() if hasattr(machine, "flush") else b""
+                return
+            at -= len(machine.unused_data)
+            end[0] = at
+            while raw[at : at + 1] == b"\0":  # padding between members
+                at += 1
+    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+        return
+
+
+def _contents(raw: bytes, limit: int) -> Iterator[Iterator[tuple[bytes, bool]]]:
+    """For each place of ``raw`` where compressed members start: their content, in pieces if it is beyond ``limit`` (true).
+
+    Pieces have ``limit`` bytes and share half of them with the next one.
+    """
+
+    def pieces(at: int, end: list[int]) -> Iterator[tuple[bytes, bool]]:
+        held, large = bytearray(), False
+        for out in _unfolded(raw, at, limit, end):
+            held += out
+            while len(held) > limit:
+                large = True
+                yield bytes(held[:limit]), True
+                del held[: max(1, limit // 2)]
+        if held:
+            yield bytes(held), large
+
+    at = 0
+    while (m := MEMBER.search(raw, at)) is not None:
+        end = [m.start() + 1]
+        yield pieces(m.start(), end)
+        at = end[0]
 
 
 def _readable(raw: bytes) -> str | None:
@@ -244,7 +291,7 @@ def _texts(raw: bytes) -> Iterator[tuple[str, Sequence[tuple[int, int]] | None]]
 
 
 def unwrap(text: str, limit: int) -> Iterator[Layer | None]:
-    """All layers of ``text`` but the text itself; None for one of more than ``limit`` bytes, which isn't searched."""
+    """All layers of ``text`` but the text itself; None for one of more than ``limit`` bytes, which comes in pieces."""
     seen = {(0, len(text), hashlib.md5(text.encode("utf-8", "replace")).digest())}
     yield from _walk(Layer(text), limit, seen)
 
@@ -260,15 +307,23 @@ def _walk(start: Layer, limit: int, seen: set) -> Iterator[Layer | None]:
         seen.add(key)
         return True
 
-    def opened(raw: bytes, origin: tuple[int, int]) -> Iterator[None]:
-        """Puts what ``raw`` unpacks to on the list."""
-        try:
-            inner = _unpack(raw, limit)
-        except OverflowError:
-            yield None
-            return
-        if inner is not None:
-            work.append((inner, origin))
+    def opened(raw: bytes, origin: tuple[int, int]) -> Iterator[Layer | None]:
+        """Puts what ``raw`` unpacks to on the list; pieces of what is beyond the limit are walked at once, one by one."""
+        for content in _contents(raw, limit):
+            counted = False
+            for piece, large in content:
+                if not large:
+                    work.append((piece, origin))
+                    continue
+                if not counted:
+                    yield None
+                    counted = True
+                if new(origin, piece):
+                    for plain, _ in _texts(piece):
+                        part = Layer(plain, whole=origin)
+                        yield part
+                        yield from _walk(part, limit, seen)
+                    yield from opened(piece, origin)
 
     while work:
         layer = work.popleft()
@@ -333,9 +388,9 @@ def spans_of(text: str | Column, limit: int = 64 << 20) -> Column:
     """Struct column: ``base`` findings in the text itself, all ``spans``, counts of ``layers`` and ``oversize``.
 
     Spans are (kind, start, end) in code points, end exclusive, by start, kind, end. Null and empty
-    texts have none. ``limit`` bounds the bytes one compressed layer may unfold to, against
-    decompression bombs: such a layer isn't searched and is counted in ``oversize``; texts themselves
-    have no limit.
+    texts have none. ``limit`` bounds the bytes of one compressed layer that are held at a time, against
+    decompression bombs: a layer beyond it is searched in pieces that overlap by half and counted in ``oversize``;
+    texts themselves have no limit.
     """
 
     @F.pandas_udf(RESULT)
