@@ -26,20 +26,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at a similarity of 0.8 of five-word shingles: that of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays if the document does; rows without a doc_id all stay.
+    Texts under one doc_id are judged each, by a 64-bit hash of both; of rows that repeat a doc_id and its text one
+    stays if the text does. Rows without a doc_id all stay.
     """
-    found = minhash.near_duplicates(docs, "doc_id", "text")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    named, nameless = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    named, nameless = keyed.filter("doc_id is not null"), docs.filter("doc_id is null")
+    found = minhash.near_duplicates(named, "_key", "text").select("_key", "component_id").distinct()
+    groups = found.join(named.select("_key", "doc_id").distinct(), "_key").groupBy("component_id")
+    kept = groups.agg(F.min(F.struct("doc_id", "_key")).alias("row")).select(F.col("row._key").alias("_key"))
+    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).unionByName(nameless)
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which tiles cover less than half of every benchmark item."""
-    found = decontam.leaks(docs.select("doc_id", "text"), "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    rows = found.select("doc_id").distinct()
-    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"]), "left_anti")
+    """Documents in which tiles cover less than half of every benchmark item; each text is judged, whatever its doc_id."""
+    texts = docs.withColumn("_text", F.sha2("text", 256))
+    found = decontam.leaks(texts.select("_text", "text"), "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return texts.join(found.select("_text").distinct(), "_text", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

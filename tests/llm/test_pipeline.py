@@ -58,3 +58,20 @@ def test_stages_on_odd_rows(spark):
         assert n == (10 if name == "near_duplicates" else 13), name
         assert stage(spark, odd.limit(0), SF).count() == 0
     assert STAGES["packing"](spark, odd, SF).count() >= 13
+
+
+def test_rows_are_judged_not_keys(spark):
+    item = h.documents(spark, SF, "benchmark").text.iloc[0]
+    text = " ".join(f"w{i}" for i in range(40))
+    other, third = " ".join(f"v{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    docs = spark.createDataFrame(
+        [(None, item), (None, text), (1, item), (1, other), (2, text)], "doc_id long, text string"
+    )
+    got = sorted(((r.doc_id or 0, r.text) for r in STAGES["decontamination"](spark, docs, SF).collect()))
+    assert got == [(0, text), (1, other), (2, text)]
+
+    docs = spark.createDataFrame(
+        [(1, text), (2, text + " end"), (2, other), (2, other), (3, third), (3, other), (None, text)], "doc_id long, text string"
+    )
+    got = sorted(((r.doc_id or 0, r.text) for r in STAGES["near_duplicates"](spark, docs, SF).collect()))
+    assert got == [(0, text), (1, text), (2, other), (3, third)]
