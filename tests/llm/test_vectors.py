@@ -94,3 +94,28 @@ def test_audit_widens_the_beam():
     beam, recall = hnsw.audited(Narrow(unit), unit[:100], 0.99, 1.0, 2)
     assert recall == 1.0 and beam >= 16
     assert hnsw.audited(hnsw.Graph(unit), unit[:0], 0.99, 1.0, 2) == (2, 1.0)
+
+
+def test_audit_without_links_of_the_sample():
+    draw = np.random.RandomState(3)
+    unit = draw.normal(size=(600, 24))
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    apart = -unit[:5]
+    for sample in (unit[:0], apart):
+        beam, recall = hnsw.audited(Narrow(unit), sample, 0.9, 1.0, 2, 50)
+        assert recall == 1.0 and beam >= 16
+    assert hnsw.audited(hnsw.Graph(unit), apart, 1.01, 1.0, 2, 50) == (600, 1.0)
+    near = hnsw.turned(unit, 300, 0.9)
+    assert (np.max(near @ unit.T, axis=1) >= 0.9).all() and (np.max(near @ unit.T, axis=1) < 0.9999).any()
+    assert hnsw.turned(np.ones((1, 1), np.float32), 3, 0.9).tolist() == [[1.0]] * 3
+
+
+def test_few_links_are_found(spark):
+    draw = np.random.RandomState(5)
+    rows = draw.normal(size=(3000, 32))
+    rows[2960:] = rows[:40] + 0.35 * draw.normal(size=(40, 32))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {i for i in range(40) if unit[i] @ unit[2960 + i] >= 0.9}
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = found(df, shards=2, audit=4, breadth=1, target=1.0)
+    assert len(want) > 20 and {i for i in range(40) if got[i][0]} == want

@@ -5,9 +5,9 @@ fewer and fewer nodes, each node linked to close nodes that are not close to one
 keeps a beam of the best nodes on the lowest one, and, wherever it meets a node within the threshold, goes on
 through all such neighbours, so that a dense group is found whole and not only as far as the beam is wide.
 
-Before a shard answers, its beam is audited: for a bounded sample of vectors the links found are held
-against brute force over the shard, and the beam doubles until the recall passes, up to the whole shard, which is
-exact. Every vector then asks every shard. Cosines are verified in double precision, links are counted in the
+Before a shard answers, its beam is audited: for a sample of vectors of other shards, drawn for each shard, the links found
+are held against brute force over the shard, and the beam doubles until the recall passes, up to the whole shard, which is
+exact. Where the sample has too few links, vectors turned away from nodes of the shard, up to the threshold, add to it. Every vector then asks every shard. Cosines are verified in double precision, links are counted in the
 tasks, and only a spanning forest of them, a row per vector touched, leaves for the components.
 
 A shard is bounded by bytes, so a task holds one graph and a batch of queries. Asking every shard makes the work grow with
@@ -244,16 +244,44 @@ class Graph:
         return rows, nodes
 
 
-def audited(graph: Graph, sample: np.ndarray, threshold: float, target: float, breadth: int) -> tuple[int, float]:
-    """The beam that finds ``target`` of the links of ``sample`` to the shard, and its recall."""
-    if not len(sample) or not len(graph.unit):
+def turned(unit: np.ndarray, count: int, threshold: float) -> np.ndarray:
+    """``count`` unit vectors, each at a cosine between ``threshold`` and 1 to a vector of ``unit``, in any direction."""
+    draw = np.random.RandomState(13)
+    base = unit[draw.randint(0, len(unit), count)].astype(np.float64)
+    away = draw.normal(size=base.shape)
+    away -= np.einsum("ij,ij->i", away, base)[:, None] * base
+    norm = np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = draw.uniform(min(threshold + SLACK, 1.0), 1.0, (count, 1))
+    out = np.where(norm > 1e-9, cosine * base + np.sqrt(1 - cosine**2) * away / np.maximum(norm, 1e-9), base)
+    return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
+
+
+def audited(
+    graph: Graph, sample: np.ndarray, threshold: float, target: float, breadth: int, least: int = 0
+) -> tuple[int, float]:
+    """The beam that finds ``target`` of the links of ``sample`` to the shard, and its recall.
+
+    ``sample`` should hold no nodes of the shard, which find themselves. Links it lacks of ``least`` are made up for by
+    :func:`turned` vectors.
+    """
+    if not (len(sample) or least) or not len(graph.unit):
         return breadth, 1.0
     true = found = 0
     expected = []
-    for at in range(0, len(sample), BATCH):
-        rows, nodes = np.nonzero(sample[at : at + BATCH] @ graph.unit.T >= threshold)
-        expected.append(rows * len(graph.unit) + nodes)
-        true += len(rows)
+    at, before = 0, -1
+    while True:
+        for at in range(at, len(sample), BATCH):
+            rows, nodes = np.nonzero(sample[at : at + BATCH] @ graph.unit.T >= threshold)
+            expected.append(rows * len(graph.unit) + nodes)
+            true += len(rows)
+        if true >= least:
+            break
+        if true == before:  # no vector can be made to link, as at a threshold of 1: the whole shard is exact
+            return max(breadth, len(graph.unit)), 1.0
+        before = true
+        at = len(expected) * BATCH  # the vectors added start a batch
+        fill = np.zeros((at - len(sample), graph.unit.shape[1]), dtype=np.float32)
+        sample = np.concatenate([sample, fill, turned(graph.unit, least - true, threshold)])
     while True:
         found = 0
         for i, at in enumerate(range(0, len(sample), BATCH)):
@@ -303,12 +331,14 @@ def links(
     audit: int = 1024,
     target: float = 0.995,
     breadth: int = 32,
+    audit_links: int = 512,
 ) -> DataFrame:
     """A row per vector: key, n_links (other rows linked directly), component_id (smallest key reachable), kept.
 
     Vectors are linked when their cosine in double precision is at least ``threshold``. There are ``shards`` shards, or as
-    many as ``shard_bytes`` asks for; ``chunk`` queries share one copy of a graph. ``audit`` vectors, those of the
-    lowest digests, test each shard, whose beam starts at ``breadth`` and widens to a recall of ``target``.
+    many as ``shard_bytes`` asks for; ``chunk`` queries share one copy of a graph. About ``audit`` vectors of
+    other shards, and more until ``audit_links`` links are tested, test each shard, whose beam starts at ``breadth`` and widens
+    to a recall of ``target``.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors link
     only with vectors of their dimension. Equal vectors are linked to each other, and each counts. Rows that repeat a
@@ -335,16 +365,26 @@ def links(
         .drop("digest", "shards"),
         "nodes",
     )
-    sample = nodes.orderBy(F.xxhash64("raw"), "id").limit(audit).select("size", "raw").toPandas()
-    probes = spark.sparkContext.broadcast(
-        {int(size): _matrix(g["raw"])[2] for size, g in sample.groupby("size")} if len(sample) else {}
+    # Each vector may be a probe of one other shard; so many are that each shard gets about ``audit``.
+    rate = F.lit(0.0)
+    for size, n in sizes.items():
+        rate = F.when(F.col("size") == size, min(1.0, audit * per[size] / n)).otherwise(rate)
+    other = F.pmod(F.col("shard") + 1 + F.pmod(F.xxhash64("raw", F.lit(1)), F.col("shards") - 1), F.col("shards"))
+    probes = (
+        nodes.withColumn("shards", count)
+        .filter("shards > 1")
+        .filter(F.pmod(F.xxhash64("raw", F.lit(2)), F.lit(1_000_000)) < rate * 1_000_000)
+        .select("id", "size", "copies", "raw", other.cast("int").alias("shard"), F.lit(1).alias("role"))
+        .join(nodes.select("size", "shard").distinct(), ["size", "shard"], "left_semi")
     )
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
+        asking, group = group[group["role"] == 1], group[group["role"] == 0]
         raw, _, unit = _matrix(group["raw"])
         graph = Graph(unit)
         size = int(group["size"].iloc[0])
-        beam, recall = audited(graph, probes.value.get(size, unit[:0]), threshold, target, breadth)
+        sample = _matrix(asking["raw"])[2] if len(asking) else unit[:0]
+        beam, recall = audited(graph, sample, threshold, target, breadth, audit_links)
         out = io.BytesIO()
         held = {f"nodes{i}": x for i, x in enumerate(graph.nodes[:1])} | {f"links{i}": x for i, x in enumerate(graph.links)}
         np.savez(out, raw=raw, ids=group["id"].to_numpy(), copies=group["copies"].to_numpy(), **held)
@@ -352,7 +392,7 @@ def links(
                              "beam": [beam], "recall": [recall]})
 
     graphs = materialise(
-        nodes.groupBy("size", "shard").applyInPandas(
+        nodes.withColumn("role", F.lit(0)).unionByName(probes).groupBy("size", "shard").applyInPandas(
             build, "size int, shard int, graph binary, beam int, recall double"
         ),
         "graphs",
