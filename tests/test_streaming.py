@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators.autoscale import decide
+from tideline.plans import replay
 from tideline.session import fresh_path
 from tideline.streaming import autoscale, batches, dedupe, requests
 
@@ -70,7 +71,7 @@ def test_shuffled_errors_over_many_micro_batches(spark):
     rng = random.Random(8)
     times = sorted(rng.choice([1, 3, 7, 20, 400]) * rng.random() + i * 11 for i in range(300))
     frame = errors(spark, times, "a").unionByName(errors(spark, times[::3], "b"))
-    stream = batches.out_of_order_stream(frame, fresh_path(spark, "shuffled"), 600, 300)
+    stream = replay.out_of_order_stream(frame, fresh_path(spark, "shuffled"), 600, 300)
     got = batches.run_to_end(dedupe.stream_dedupe_errors(stream, delay="300 seconds"))
     want = dedupe.dedupe_errors(frame)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -171,14 +172,72 @@ def test_messages_once(spark):
     assert batches.run_to_end(requests.once_only(as_stream(spark, frame))).count() == 5
 
 
-def test_stream_batches_replace_a_repeated_epoch(spark):
+def batch_sums(spark, path):
+    rows = spark.read.parquet(path).orderBy("job", "batch_id").collect()
+    return [(r["job"], r["batch_id"], r["result"]) for r in rows]
+
+
+def whole_batches(counts, size):
+    """Sums of the batches of jobs that hold 0, 1, 2, ..."""
+    return [
+        (job, at // size, str(sum(range(at, min(n, at + size)))))
+        for job, n in sorted(counts.items())
+        for at in range(0, n, size)
+    ]
+
+
+def arrivals(spark, source, parts):
+    """Append (job, first, end) ranges to a source folder, one file each; an end of None closes the job."""
+    for job, first, end in parts:
+        rows = spark.range(first, end).selectExpr("id AS i", "id AS x") if end else spark.sql(f"SELECT {first}L AS i, NULL AS x")
+        rows.selectExpr("i", "cast(x AS long) AS x", f"'{job}' AS job").coalesce(1).write.mode("append").parquet(source)
+
+
+def run_arrivals(spark, source, path, state, handler=sum):
+    stream = spark.readStream.schema("i long, x long, job string").option("maxFilesPerTrigger", 1).parquet(source)
+    batches.stream_batches(stream, "i", "x", 4, lambda _c: lambda row: handler(row["items"]), path, state, keys=["job"], bucket=3)
+
+
+def test_batches_run_on_over_micro_batches_and_restarts(spark):
+    source, path, state = (fresh_path(spark, n) for n in ("items", "out", "out-state"))
+    first = [("a", 0, 3), ("b", 0, 9), ("a", 3, 5), ("a", 5, 6)]
+    arrivals(spark, source, first)
+    run_arrivals(spark, source, path, state)
+    assert batch_sums(spark, path) == whole_batches({"a": 4, "b": 8}, 4)  # the rest is open
+    arrivals(spark, source, [("a", 6, 17), ("c", 0, 2), ("b", 9, None)])
+    run_arrivals(spark, source, path, state)
+    assert batch_sums(spark, path) == whole_batches({"a": 16, "b": 9}, 4)
+    arrivals(spark, source, [("a", 17, None), ("c", 2, None)])
+    run_arrivals(spark, source, path, state)
+    assert batch_sums(spark, path) == whole_batches({"a": 17, "b": 9, "c": 2}, 4)
+
+
+def test_a_failed_micro_batch_is_repeated(spark):
+    """The results of an epoch are there but its carried rows aren't: the next start repeats it."""
+    source, path, state = (fresh_path(spark, n) for n in ("items", "out", "out-state"))
+    arrivals(spark, source, [("a", 0, 6)])
+    run_arrivals(spark, source, path, state)
+    arrivals(spark, source, [("a", 6, 11), ("a", 11, None)])
+
+    kept = batches.drop_path
+
+    def fail(*_):
+        raise OSError("lost")
+
+    batches.drop_path = fail  # called after the third epoch's writes, before the stream commits it
+    try:
+        with pytest.raises(Exception, match="lost"):
+            run_arrivals(spark, source, path, state)
+    finally:
+        batches.drop_path = kept
+    run_arrivals(spark, source, path, state)
+    assert batch_sums(spark, path) == whole_batches({"a": 11}, 4)
+
+
+def test_batches_without_a_job(spark):
     source, path, state = (fresh_path(spark, n) for n in ("items", "out", "out-state"))
-    schema = "i long, x long"
-    for start in (0, 10):
-        spark.range(start, start + 10).selectExpr("id AS i", "id * 2 AS x").write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        batches.stream_batches(stream, "i", "x", 4, lambda _c: lambda row: sum(row["items"]), path, state)
-    got = spark.read.parquet(path).orderBy("epoch", "batch_id").collect()
-    assert [(r["epoch"], r["batch_id"], int(r["result"])) for r in got] == [
-        (0, 0, 12), (0, 1, 44), (0, 2, 34), (1, 0, 92), (1, 1, 124), (1, 2, 74),
-    ]
+    arrivals(spark, source, [("a", 0, 5), ("a", 5, 10), ("a", 10, None)])
+    stream = spark.readStream.schema("i long, x long, job string").option("maxFilesPerTrigger", 1).parquet(source)
+    batches.stream_batches(stream.drop("job"), "i", "x", 4, lambda _c: lambda row: row["items"], path, state)
+    rows = spark.read.parquet(path).orderBy("batch_id").collect()
+    assert [r["result"] for r in rows] == ["[0, 1, 2, 3]", "[4, 5, 6, 7]", "[8, 9]"]

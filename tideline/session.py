@@ -68,13 +68,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all it holds; False where there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+
+
 def release(spark: SparkSession) -> int:
     """Delete the stages of this process: for callers who have read the results that rest on them."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     deleted = 0
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        deleted += bool(path.getFileSystem(conf).delete(path, True))
+        deleted += drop_path(spark, _made.pop())
     return deleted
 
 
