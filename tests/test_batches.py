@@ -294,20 +294,6 @@ def test_sum_example(spark):
     assert sorted(r["total"] for r in execute.sum_items(rows).collect()) == [9, 111]
 
 
-def test_job_state_upsert(spark):
-    path = fresh_path(spark, "state")
-    schema = "job_id long, status string, updated_at timestamp_ntz"
-    row = "SELECT {}L AS job_id, '{}' AS status, TIMESTAMP_NTZ'2024-01-01 00:00:0{}' AS updated_at"
-    first = spark.sql(row.format(1, "running", 1)).union(spark.sql(row.format(2, "running", 1)))
-    second = spark.sql(row.format(2, "succeeded", 2)).union(spark.sql(row.format(3, "pending", 2)))
-    assert first.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
-    sinks.write_job_state(first, path)
-    sinks.write_job_state(second, path)
-    sinks.write_job_state(first.filter("job_id = 2"), path)
-    got = {r["job_id"]: r["status"] for r in sinks.read_job_state(spark, path).collect()}
-    assert got == {1: "running", 2: "succeeded", 3: "pending"}
-
-
 def test_release_deletes_stages(spark):
     from tideline.session import materialise, release
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tideline.operators import batching, ordering
 from tideline.plans import views
 from tideline.plans.registry import query
-from tideline.session import fresh_path
+from tideline.session import fresh_path, materialise
 from tideline.sources import items as src
-from tideline.sources import listing, sinks
+from tideline.sources import listing, sinks, states
 
 MESSAGE_LIMIT = 256 * 1024
 LIMIT = 4096
@@ -325,14 +325,12 @@ def snk_2(spark, sf_dir):
     "v_markers",
 )
 def snk_3(spark, sf_dir):
-    """Two rounds of upserts: first the early markers of every job, then all later ones."""
+    """Twelve rounds of upserts, together all markers, dealt by digest and so out of the order of time."""
     path = fresh_path(spark, "state")
     rows = views.markers(spark, sf_dir).select(
         "job_id", F.col("marker").alias("status"), F.col("mtime").alias("updated_at")
     )
-    early = F.col("status").isin("spec.json", "enqueuing")
-    sinks.write_job_state(rows.filter(early), path)
-    sinks.write_job_state(rows.filter(~early), path)
-    return sinks.read_job_state(spark, path)
-
-
+    dealt = materialise(rows.withColumn("_turn", F.pmod(F.xxhash64("job_id", "status"), F.lit(12))), "markers")
+    for turn in range(12):
+        states.write_job_state(dealt.filter(F.col("_turn") == turn).drop("_turn"), path)
+    return states.read_job_state(spark, path)

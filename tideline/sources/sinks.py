@@ -1,16 +1,14 @@
-"""Batch, result and job-state tables."""
+"""Batch and result tables; job states are in :mod:`tideline.sources.states`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tideline.session import materialise
 
-STATE_BUCKETS = 64
-
 
 def write_batches(batches: DataFrame, path: str, partition_by: Sequence[str] = ("api_name",)) -> int:
     """Append batches as parquet and return how many were written.
@@ -42,36 +40,3 @@ def write_results(results: DataFrame, path: str, job: str = "job_id", batch: str
         .write.mode("overwrite")
         .json(f"{path}/merged")
     )
-
-
-def read_job_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("state_bucket")
-
-
-def write_job_state(state: DataFrame, path: str, job: str = "job_id", updated: str = "updated_at") -> None:
-    """Upsert one row per job; the row with the latest ``updated`` wins.
-
-    The table is split into hash buckets. Only buckets that hold a changed job are rewritten,
-    from a written stage, so a failed attempt leaves the table as it was.
-    """
-    spark = state.sparkSession
-    bucket = F.pmod(F.xxhash64(job), F.lit(STATE_BUCKETS)).cast("int")
-    new = materialise(state.withColumn("state_bucket", bucket), "state")
-    merged = new
-    if _exists(spark, path):
-        touched = new.select("state_bucket").distinct()  # at most STATE_BUCKETS rows
-        old = spark.read.parquet(path).join(F.broadcast(touched), "state_bucket", "left_semi")
-        merged = old.unionByName(new)
-    merged = merged.groupBy(job).agg(F.max_by(F.struct(*merged.columns), updated).alias("s")).select("s.*")
-    (
-        materialise(merged, "state")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("state_bucket")
-        .parquet(path)
-    )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
