@@ -113,9 +113,26 @@ def test_split_characters(text):
 
 def test_wide_groups():
     same("=- " * 7 + "=" * 4001 + "\u00e9" * 3000)
-    odd = alignment.Aligned(PAIR, *[__import__("numpy").array(x) for x in ([5, 6] * 400, [7, 8, 7] * 300, [799], [899])])
-    pairs, times = odd.pairs()
-    assert times.sum() == 800 * 900 and len(pairs) == 4
+    found = PAIR.stretch("=" * 20_001 + "\u2003" * 5000 + "=" * 3)
+    assert found is not None and sum(len(p) for p, _ in found.wide) < 5000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab'.1 \u00e9\u017f\u00ad\u00a0\n", max_size=40))
+def test_borders(text):
+    same(text)
+    words = alignment.BORDER.split(text)
+    assert " ".join(words) == text
+    if text and PAIR.splits:
+        assert by_bytes(text) is None or told(by_bytes(text)) == ";".join(PAIR.stretch(w).told for w in words)
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 10)
+    PAIR.known.clear()
+    for i in range(100):
+        same(f"word{i} and more{i}")
+    assert len(PAIR.known) <= 10
 
 
 def test_query(spark):

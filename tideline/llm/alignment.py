@@ -18,7 +18,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +43,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Spans:
-    """Tokens of one text: ids, bytes up to each token's end, and whether the end lies between characters.
+#: A space between two of these characters is a border that no token of either side crosses: byte-level splitting begins
+#: a new word there, and no piece goes on after a space mark.
+BORDER = re.compile("(?<=[!-~¡-¬®-ſ]) (?=[!-~¡-¬®-ſ])")
+#: Stretches of up to so many characters are remembered, up to so many of them.
+SHORT, REMEMBERED = 48, 200_000
+#: A group of more links than this has its equal ids counted before they are paired.
+WIDE = 4096
 
-    ``coarse`` holds the byte position of each token's end as its span tells it, which is right where ``whole`` holds.
-    """
 
-    __slots__ = ("ids", "ends", "coarse", "whole")
+class Stretch(NamedTuple):
+    """Aligned tokens of one stretch of text: counts, the groups in words, links as pair numbers.
+
+    ``wide`` holds links of large groups as (pairs, times).
+    """
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, coarse: np.ndarray, whole: np.ndarray):
-        self.ids, self.ends, self.coarse, self.whole = ids, ends, coarse, whole
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    told: str
+    links: tuple[int, ...]
+    wide: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
 
 
 class Pair:
@@ -58,6 +73,7 @@ class Pair:
     def __init__(self, byte_level: str, pieces: str):
         self.byte_level, self.pieces = byte_level, pieces
         self.a = self.b = None
+        self.known: dict[str, Stretch | None] = {}
 
     def __reduce__(self):
         return pair_of, (self.byte_level, self.pieces)
@@ -77,76 +93,106 @@ class Pair:
             known = all(c in alphabet for c in token)
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if known else token.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=self.pieces)
-        size = self.b.get_piece_size()
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
-            bytes([int(self.b.id_to_piece(i)[3:5], 16)])
-            if self.b.is_byte(i)
-            else self.b.id_to_piece(i).replace("▁", " ").encode()
-            for i in range(size)
+            bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)
         ]
-        self.a_size = np.array([len(x) for x in self.a_bytes])
-        self.b_size = np.array([len(x) for x in self.b_bytes])
-        # Decimal ids with what follows them in a digest: another id of the side, or the end of the side.
-        self.a_text = np.array([[f"{i},", f"{i}|"] for i in range(len(self.a_bytes))], dtype=object)
-        self.b_text = np.array([[f"{i},", f"{i};"] for i in range(size)], dtype=object)
-
-    def read_a(self, text: str, raw: bytes) -> Spans | None:
-        """Byte-level tokens and their character offsets, or None where their bytes are not the text's."""
+        stored = json.loads(self.a.to_str())
+        splits = stored["pre_tokenizer"] or {}
+        plain = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
+        self.splits = plain and not stored["normalizer"] and not any("▁" in n.lstrip("▁") for n in names)
+
+    def ends_a(self, text: str, raw: bytes) -> tuple[list[int], list[int]] | None:
+        """Ids of the byte-level tokens and the byte at which each ends; None where their bytes are not the text's.
+
+        Character offsets tell the ends between characters. Tokens that share a character overlap in their offsets; these
+        end where the bytes that they decode to end.
+        """
         code = self.a.encode(text, add_special_tokens=False)
-        ids = np.array(code.ids, dtype=np.int64)
-        if b"".join([self.a_bytes[i] for i in code.ids]) != raw:
+        ids, offsets = code.ids, code.offsets
+        if b"".join([self.a_bytes[i] for i in ids]) != raw:
             return None
-        # Tokens that share a character overlap in their offsets.
-        spans = np.array(code.offsets, dtype=np.int64).reshape(-1, 2)
-        stop = spans[:, 1]
-        whole = np.ones(len(ids), dtype=bool)
-        whole[:-1] = stop[:-1] <= spans[1:, 0]
-        if len(raw) == len(text):
-            coarse = stop
-        else:  # byte positions of characters
+        at = None
+        if len(raw) != len(text):  # byte positions of characters
             leads = np.frombuffer(raw, dtype=np.uint8)
-            at = np.append(np.flatnonzero((leads & 0xC0) != 0x80), len(raw))
-            coarse = at[stop]
-        return Spans(ids, np.cumsum(self.a_size[ids]), coarse, whole)
-
-    def read_b(self, text: str, raw: bytes) -> Spans | None:
-        """Pieces and the spans of their proto (in bytes of ``text``, which lacks the first space).
-
-        ``proto`` is what the installed release calls the immutable proto of earlier ones.
+            at = [*np.flatnonzero((leads & 0xC0) != 0x80).tolist(), len(raw)]
+        ends, end = [], 0
+        following = [start for start, _ in offsets[1:]] + [len(text)]
+        for i, (_, stop), start in zip(ids, offsets, following, strict=True):
+            if stop <= start:
+                end = at[stop] if at else stop
+            else:
+                end += len(self.a_bytes[i])
+            ends.append(end)
+        return ids, ends
+
+    def ends_b(self, text: str, raw: bytes) -> tuple[list[int], list[int]] | None:
+        """The same for the pieces, from the byte spans of their proto; these count without the space before the text.
+
+        Byte pieces but the last of a character have an empty span, as has the added space: their decoded bytes
+        tell their ends. ``proto`` is what the installed release calls the immutable proto of earlier ones.
         """
-        pieces = self.b.encode(text, return_type="proto").pieces
-        found = [(p.id, p.begin, p.end) for p in pieces]
-        table = np.array(found, dtype=np.int64).reshape(-1, 3)
+        found = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
         if b"".join([self.b_bytes[i] for i, _, _ in found]) != raw:
             return None
-        ids, begin, stop = table.T
-        # Byte pieces but the last of a character have an empty span, at its beginning; so has the added space.
-        whole = stop > begin
-        whole[0] |= raw[:1] == b" " and self.b_bytes[ids[0]] == b" "
-        return Spans(ids, np.cumsum(self.b_size[ids]), stop + 1, whole)
-
-    def align(self, text: str) -> Aligned | None:
-        """The groups of one text; None where it has no tokens by either side's rule."""
-        self.open()
-        if not text:
-            return None
+        ends, end = [], 0
+        for i, start, stop in found:
+            end = stop + 1 if stop > start else end + len(self.b_bytes[i])
+            ends.append(end)
+        return [i for i, _, _ in found], ends
+
+    def stretch(self, text: str) -> Stretch | None:
+        """The groups of ``text``, with a space before it; None where either side doesn't give it back byte for byte."""
         spaced = " " + text
         raw = spaced.encode()
-        a = self.read_a(spaced, raw)
-        b = self.read_b(text, raw) if a is not None else None
-        if b is None:
+        left, right = self.ends_a(spaced, raw), self.ends_b(text, raw)
+        if left is None or right is None:
             return None
-        at_a, at_b = np.flatnonzero(a.whole), np.flatnonzero(b.whole)
-        _, i, j = np.intersect1d(a.coarse[at_a], b.coarse[at_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = at_a[i], at_b[j]
-        fine_a, fine_b = np.flatnonzero(~a.whole), np.flatnonzero(~b.whole)
-        if len(fine_a) and len(fine_b):
-            _, i, j = np.intersect1d(a.ends[fine_a], b.ends[fine_b], assume_unique=True, return_indices=True)
-            if len(i):
-                cut_a, cut_b = np.sort(np.append(cut_a, fine_a[i])), np.sort(np.append(cut_b, fine_b[j]))
-        if not np.array_equal(a.ends[cut_a], b.ends[cut_b]):  # the exact check: both sides' bytes end together
+        (a, ends_a), (b, ends_b) = left, right
+        told, links, wide, n_links = [], [], [], 0
+        i = j = first_a = first_b = 0
+        while i < len(a) and j < len(b):
+            gap = ends_a[i] - ends_b[j]
+            i += gap <= 0
+            j += gap >= 0
+            if gap:
+                continue
+            ids_a, ids_b = a[first_a:i], b[first_b:j]
+            first_a, first_b = i, j
+            told.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
+            n_links += len(ids_a) * len(ids_b)
+            if len(ids_a) * len(ids_b) <= WIDE:
+                links += [x << B_BITS | y for x in ids_a for y in ids_b]
+            else:
+                (x, n), (y, m) = np.unique(ids_a, return_counts=True), np.unique(ids_b, return_counts=True)
+                wide.append(((x[:, None] << B_BITS | y[None]).ravel(), (n[:, None] * m[None]).ravel()))
+        if first_a != len(a) or first_b != len(b):  # the exact check: both sides end together, with the text
             raise RuntimeError("spans of the tokenizers disagree with their bytes")
-        return Aligned(self, a.ids, b.ids, cut_a, cut_b)
+        return Stretch(len(a), len(b), len(told), n_links, ";".join(told), tuple(links), tuple(wide))
+
+    def align(self, text: str | None) -> Aligned | None:
+        """The groups of one text; None where it has no tokens.
+
+        A text falls apart at borders that tokens of neither side cross, so its alignment is that of its stretches, and
+        short ones, words mostly, are aligned once for all texts of a worker.
+        """
+        self.open()
+        if not text:
+            return None
+        known, found = self.known, []
+        for piece in BORDER.split(text) if self.splits else [text]:
+            if piece in known:
+                part = known[piece]
+            else:
+                part = self.stretch(piece)
+                if len(piece) <= SHORT:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[piece] = part
+            if part is None:
+                return None
+            found.append(part)
+        return Aligned(found)
 
 
 @functools.cache
@@ -156,55 +202,34 @@ def pair_of(byte_level: str, pieces: str) -> Pair:
 
 
 class Aligned:
-    """Groups of a text: ``cut_a`` and ``cut_b`` are the last tokens of each group."""
+    """The aligned stretches of a text in a row."""
 
-    def __init__(self, pair: Pair, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray):
-        self.pair, self.a, self.b = pair, a, b
-        self.stop_a, self.stop_b = cut_a + 1, cut_b + 1
-        self.size_a, self.size_b = np.diff(self.stop_a, prepend=0), np.diff(self.stop_b, prepend=0)
+    def __init__(self, stretches: list[Stretch]):
+        columns = list(zip(*stretches, strict=True))
+        self.n_a, self.n_b, self.n_groups, self.n_links = map(sum, columns[:4])
+        self.told, self.links, self.wide = columns[4:]
 
-    @property
-    def n_links(self) -> int:
-        return int((self.size_a * self.size_b).sum())
+    def groups(self) -> str:
+        """``a1,a2|b1;a3|b2,b3``."""
+        return ";".join(self.told)
 
     def digest(self) -> str:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``."""
-        last_a, last_b = np.zeros(len(self.a), dtype=np.int64), np.zeros(len(self.b), dtype=np.int64)
-        last_a[self.stop_a - 1] = last_b[self.stop_b - 1] = 1
-        parts = np.empty(len(self.a) + len(self.b), dtype=object)
-        group_a = np.repeat(np.arange(len(self.size_a)), self.size_a)
-        group_b = np.repeat(np.arange(len(self.size_b)), self.size_b)
-        before_b = np.concatenate([[0], self.stop_b[:-1]])
-        parts[np.arange(len(self.a)) + before_b[group_a]] = self.pair.a_text[self.a, last_a]
-        parts[np.arange(len(self.b)) + self.stop_a[group_b]] = self.pair.b_text[self.b, last_b]
-        return hashlib.sha256("".join(parts.tolist())[:-1].encode()).hexdigest()
+        return hashlib.sha256(self.groups().encode()).hexdigest()
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct linked id pairs, sorted, and how many links each has.
 
-        A group's links are all pairs of its tokens. Where that is many, equal ids of a side are counted first,
+        A group's links are all pairs of its tokens. Where these are many, equal ids of a side have been counted first,
         so that a long stretch of few distinct tokens costs those, not the square of its length.
         """
-        links = self.size_a * self.size_b
-        small = links <= 4096
-        keep_a, keep_b = np.repeat(small, self.size_a), np.repeat(small, self.size_b)
-        size_a, size_b, links = self.size_a[small], self.size_b[small], links[small]
-        a, b = self.a[keep_a], self.b[keep_b]
-        # Link k of a group is its token k // size_b on one side and k % size_b on the other.
-        k = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
-        row, col = np.divmod(k, np.repeat(size_b, links))
-        first_a, first_b = np.repeat(np.cumsum(size_a) - size_a, links), np.repeat(np.cumsum(size_b) - size_b, links)
-        found, times = np.unique((a[first_a + row] << B_BITS) | b[first_b + col], return_counts=True)
-        many, links = [found], [times]
-        for g in np.flatnonzero(~small):
-            ids_a, n_a = np.unique(self.a[self.stop_a[g] - self.size_a[g] : self.stop_a[g]], return_counts=True)
-            ids_b, n_b = np.unique(self.b[self.stop_b[g] - self.size_b[g] : self.stop_b[g]], return_counts=True)
-            many.append(((ids_a[:, None] << B_BITS) | ids_b[None, :]).ravel())
-            links.append((n_a[:, None] * n_b[None, :]).ravel())
-        if len(many) > 1:
-            found, place = np.unique(np.concatenate(many), return_inverse=True)
+        links = np.fromiter(itertools.chain.from_iterable(self.links), dtype=np.int64)
+        found, times = np.unique(links, return_counts=True)
+        wide = [w for part in self.wide for w in part]
+        if wide:
+            found, place = np.unique(np.concatenate([found, *(p for p, _ in wide)]), return_inverse=True)
+            n = np.concatenate([times, *(t for _, t in wide)])
             times = np.zeros(len(found), dtype=np.int64)
-            np.add.at(times, place, np.concatenate(links))
+            np.add.at(times, place, n)
         return found, times
 
 
@@ -256,7 +281,7 @@ def aligned(docs: DataFrame, text: str, pair: Pair, limit: int = 1 << 20) -> Dat
                 if found is None:
                     block.add((0, 0, 0, 0, ""), nothing, nothing)
                 else:
-                    row = (len(found.a), len(found.b), len(found.stop_a), found.n_links, found.digest())
+                    row = (found.n_a, found.n_b, found.n_groups, found.n_links, found.digest())
                     block.add(row, *found.pairs())
                 if block.n >= limit or i == batch.num_rows - 1:
                     yield _written(rest.slice(first, i + 1 - first), block)
@@ -331,11 +356,8 @@ def groups_of(text: Column, pair: Pair) -> Column:
     """The groups of a text as ``a1,a2|b1;a3|b2,b3``; null without tokens."""
 
     @F.udf("string")
-    def told(value: str | None) -> str | None:
-        found = pair.align(value or "")
-        if found is None:
-            return None
-        at = zip(found.stop_a - found.size_a, found.stop_a, found.stop_b - found.size_b, found.stop_b, strict=True)
-        return ";".join(f"{','.join(map(str, found.a[i:j]))}|{','.join(map(str, found.b[k:m]))}" for i, j, k, m in at)
+    def told(value):
+        found = pair.align(value)
+        return None if found is None else found.groups()
 
     return told(text)
