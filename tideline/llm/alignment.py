@@ -46,8 +46,8 @@ def byte_alphabet() -> dict[str, int]:
 #: A space between two of these characters is a border that no token of either side crosses: byte-level splitting begins
 #: a new word there, and no piece goes on after a space mark.
 BORDER = re.compile("(?<=[!-~¡-¬®-ſ]) (?=[!-~¡-¬®-ſ])")
-#: Stretches of up to so many characters are remembered, up to so many of them.
-SHORT, REMEMBERED = 48, 200_000
+#: Stretches of up to so many characters are remembered, up to twice so many of them.
+SHORT, REMEMBERED = 48, 120_000
 #: A group of more links than this has its equal ids counted before they are paired.
 WIDE = 4096
 
@@ -74,6 +74,7 @@ class Pair:
         self.byte_level, self.pieces = byte_level, pieces
         self.a = self.b = None
         self.known: dict[str, Stretch | None] = {}
+        self.older: dict[str, Stretch | None] = {}
 
     def __reduce__(self):
         return pair_of, (self.byte_level, self.pieces)
@@ -179,15 +180,15 @@ class Pair:
         self.open()
         if not text:
             return None
-        known, found = self.known, []
+        known, older, found = self.known, self.older, []
         for piece in BORDER.split(text) if self.splits else [text]:
             if piece in known:
                 part = known[piece]
             else:
-                part = self.stretch(piece)
+                part = older[piece] if piece in older else self.stretch(piece)
                 if len(piece) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # the half used last stays
+                        self.known, self.older = known, older = {}, known
                     known[piece] = part
             if part is None:
                 return None
