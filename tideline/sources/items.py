@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators.ordering import numbered
-from tideline.session import materialise
+from tideline.sources import ranges
 
 MAX_MESSAGE_BYTES = 250 * 1024
 
@@ -57,35 +52,10 @@ def _or_fail(holds: Column, message: Column) -> Column:
     return F.when(holds, True).otherwise(F.raise_error(message).cast("boolean"))
 
 
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Non-blank lines with file, block and a number that grows within the block."""
-    text = spark.read.text(paths)
-    return (
-        text.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.col("value").alias("line"),
-        )
-        .filter(F.trim("line") != "")
-        .withColumn("line_id", F.monotonically_increasing_id())
-    )
-
-
 def read_ndjson(spark: SparkSession, paths: str | list[str], on_error: str = "fail") -> DataFrame:
-    """One row per line: ``file, item_index, item, valid``.
-
-    The index restarts in each file. Only the counts per file block are aggregated; the lines
-    themselves are numbered in the scan and never shuffled.
-    """
-    lines = _lines(spark, paths)
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_id"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("file", "block", "first_id", F.coalesce(before, F.lit(0)).alias("before"))
-    out = lines.join(blocks, ["file", "block"]).select(
-        "file",
-        (F.col("before") + F.col("line_id") - F.col("first_id")).alias("item_index"),
-        F.col("line").alias("item"),
-        F.try_parse_json("line").isNotNull().alias("valid"),
+    """One row per line: ``file, item_index, item, valid``; the index restarts in each file (:func:`ranges.read_lines`)."""
+    out = ranges.read_lines(spark, paths).select(
+        "file", "item_index", F.col("line").alias("item"), F.try_parse_json("line").isNotNull().alias("valid")
     )
     return _check_valid(out, on_error)
 
@@ -98,100 +68,9 @@ def _check_valid(items: DataFrame, on_error: str) -> DataFrame:
 
 
 def read_json_stream(spark: SparkSession, paths: str | list[str], on_error: str = "fail") -> DataFrame:
-    """As :func:`read_ndjson`, for values that share a line or span several.
-
-    A raw line break cannot occur inside a JSON string, so each line's change of nesting
-    depth is known by itself; running sums per file block give the depth at every line,
-    and lines from one base-depth point to the next form a group that is decoded alone. A file
-    is thus split like any other text file. The base depth is 0; a bracket too many lowers it
-    from there on. One that is never closed raises it at the next line that begins with a bracket in its first
-    column, so such a value costs its own group and the values after it are read. The size of a value
+    """As :func:`read_ndjson`, for values that share a line or span several (:func:`ranges.read_values`).
+
+    A value that is never closed costs its own group of lines and the values after it are read. The size of a value
     doesn't matter here, whatever its layout.
     """
-    bare = F.regexp_replace(F.regexp_replace("line", r"\\.", ""), r'"[^"]*"', "")
-    opened = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
-    closed = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
-    delta = (opened - closed).cast("long")
-    # The text is parsed once; all that follows up to the join reads numbers only.
-    opens = F.col("line").rlike(r"^[{\[]")
-    lines = materialise(_lines(spark, paths).withColumns({"delta": delta, "opens": opens}), "lines")
-    place = ["file", "block", "line_id"]
-    depth = _extremes(_running(lines.select(*place, "delta", "opens"), "delta", "depth_after"), "depth_after")
-    before = F.col("depth_after") - F.col("delta")
-    starts = ((before <= F.col("lowest_before")) | (F.col("opens") & (before <= F.col("lowest_after")))).cast("long")
-    grouped = _running(depth.withColumn("starts", starts), "starts", "group_no").select(*place, "group_no")
-    ordered = F.sort_array(F.collect_list(F.struct("block", "line_id", "line")))
-    whole = (
-        lines.select(*place, "line")
-        .join(grouped, place)
-        .groupBy("file", "group_no")
-        .agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text"))
-    )
-    decoded = whole.mapInPandas(
-        _decode_groups, "file string, group_no long, value_no int, item string, valid boolean"
-    )
-    decoded = materialise(decoded, "items")
-    indexed = numbered(decoded, ["file"], ["group_no", "value_no"], F.floor(F.col("group_no") / 10_000), "item_index")
-    return _check_valid(indexed.select("file", "item_index", "item", "valid"), on_error)
-
-
-def _extremes(lines: DataFrame, column: str) -> DataFrame:
-    """``lowest_before`` and ``lowest_after``: the least value on earlier lines of the file, 0 at most, and from the line on."""
-    blocks = lines.groupBy("file", "block").agg(F.min(column).alias("_low"))
-    by_file = Window.partitionBy("file").orderBy("block")
-    blocks = blocks.select(
-        "file",
-        "block",
-        F.min("_low").over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
-        F.min("_low").over(by_file.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
-    )
-    inside = Window.partitionBy("file", "block").orderBy("line_id")
-    local = lines.withColumns(
-        {
-            "_before": F.min(column).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
-            "_after": F.min(column).over(inside.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    return (
-        local.join(blocks, ["file", "block"])
-        .withColumn("lowest_before", F.least(F.lit(0), F.col("_before"), F.col("_earlier")))
-        .withColumn("lowest_after", F.least("_after", "_later"))
-        .drop("_before", "_after", "_earlier", "_later")
-    )
-
-
-def _running(lines: DataFrame, column: str, name: str) -> DataFrame:
-    """Inclusive running sum of a column along a file, block by block."""
-    blocks = lines.groupBy("file", "block").agg(F.sum(column).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.sum(column).over(
-        Window.partitionBy("file", "block").orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        lines.withColumn("_local", local)
-        .join(blocks, ["file", "block"])
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("_local", "_before")
-    )
-
-
-def _decode_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    decoder = json.JSONDecoder()
-    for frame in frames:
-        out = []
-        for file, group_no, text in zip(frame["file"], frame["group_no"], frame["text"]):
-            at, value_no = 0, 0
-            while True:
-                while at < len(text) and text[at] in " \t\r\n":
-                    at += 1
-                if at >= len(text):
-                    break
-                try:
-                    _, end = decoder.raw_decode(text, at)
-                    out.append((file, group_no, value_no, text[at:end], True))
-                except ValueError:
-                    out.append((file, group_no, value_no, text[at:], False))
-                    break
-                at, value_no = end, value_no + 1
-        yield pd.DataFrame(out, columns=["file", "group_no", "value_no", "item", "valid"])
+    return _check_valid(ranges.read_values(spark, paths), on_error)
