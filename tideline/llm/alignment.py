@@ -15,13 +15,13 @@ adds up its own. So what is shuffled are the blocks' distinct pairs, not the lin
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,19 +52,9 @@ SHORT, REMEMBERED = 48, 120_000
 WIDE = 4096
 
 
-class Stretch(NamedTuple):
-    """Aligned tokens of one stretch of text: counts, the groups in words, links as pair numbers.
-
-    ``wide`` holds links of large groups as (pairs, times).
-    """
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    told: str
-    links: tuple[int, ...]
-    wide: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
+#: Aligned tokens of one stretch of text, a plain tuple for the garbage collector's sake: numbers of tokens of either side,
+#: of groups and of links, the groups in words, links as pair numbers, and links of large groups as (pairs, times).
+Stretch = tuple[int, int, int, int, str, tuple[int, ...], tuple[tuple[np.ndarray, np.ndarray], ...]]
 
 
 class Pair:
@@ -113,15 +103,15 @@ class Pair:
         ids, offsets = code.ids, code.offsets
         if b"".join([self.a_bytes[i] for i in ids]) != raw:
             return None
-        at = None
-        if len(raw) != len(text):  # byte positions of characters
-            leads = np.frombuffer(raw, dtype=np.uint8)
-            at = [*np.flatnonzero((leads & 0xC0) != 0x80).tolist(), len(raw)]
+        if len(raw) == len(text):  # no token shares a character
+            return ids, [stop for _, stop in offsets]
+        leads = np.frombuffer(raw, dtype=np.uint8)  # byte positions of characters
+        at = [*np.flatnonzero((leads & 0xC0) != 0x80).tolist(), len(raw)]
         ends, end = [], 0
         following = [start for start, _ in offsets[1:]] + [len(text)]
         for i, (_, stop), start in zip(ids, offsets, following, strict=True):
             if stop <= start:
-                end = at[stop] if at else stop
+                end = at[stop]
             else:
                 end += len(self.a_bytes[i])
             ends.append(end)
@@ -150,6 +140,9 @@ class Pair:
         if left is None or right is None:
             return None
         (a, ends_a), (b, ends_b) = left, right
+        if ends_a == ends_b:  # token by token
+            told = ";".join([f"{x}|{y}" for x, y in zip(a, b, strict=True)])
+            return len(a), len(a), len(a), len(a), told, tuple([x << B_BITS | y for x, y in zip(a, b, strict=True)]), ()
         told, links, wide, n_links = [], [], [], 0
         i = j = first_a = first_b = 0
         while i < len(a) and j < len(b):
@@ -160,16 +153,21 @@ class Pair:
                 continue
             ids_a, ids_b = a[first_a:i], b[first_b:j]
             first_a, first_b = i, j
+            size = len(ids_a) * len(ids_b)
+            n_links += size
+            if size == 1:
+                told.append(f"{ids_a[0]}|{ids_b[0]}")
+                links.append(ids_a[0] << B_BITS | ids_b[0])
+                continue
             told.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
-            n_links += len(ids_a) * len(ids_b)
-            if len(ids_a) * len(ids_b) <= WIDE:
+            if size <= WIDE:
                 links += [x << B_BITS | y for x in ids_a for y in ids_b]
             else:
                 (x, n), (y, m) = np.unique(ids_a, return_counts=True), np.unique(ids_b, return_counts=True)
                 wide.append(((x[:, None] << B_BITS | y[None]).ravel(), (n[:, None] * m[None]).ravel()))
         if first_a != len(a) or first_b != len(b):  # the exact check: both sides end together, with the text
             raise RuntimeError("spans of the tokenizers disagree with their bytes")
-        return Stretch(len(a), len(b), len(told), n_links, ";".join(told), tuple(links), tuple(wide))
+        return len(a), len(b), len(told), n_links, ";".join(told), tuple(links), tuple(wide)
 
     def align(self, text: str | None) -> Aligned | None:
         """The groups of one text; None where it has no tokens.
@@ -196,10 +194,16 @@ class Pair:
         return Aligned(found)
 
 
-@functools.cache
 def pair_of(byte_level: str, pieces: str) -> Pair:
-    """One pair for all tasks of a worker, so that its tables are built once."""
-    return Pair(byte_level, pieces)
+    """One pair for all tasks of a worker, so that its tables are built and its words are aligned once.
+
+    This package travels to the workers by value, so what shall outlive a task is kept in a module of its own.
+    """
+    kept = sys.modules.setdefault("_tideline_kept", types.ModuleType("_tideline_kept")).__dict__
+    key = f"pair {byte_level} {pieces}"
+    if key not in kept:
+        kept[key] = Pair(byte_level, pieces)
+    return kept[key]
 
 
 class Aligned:
