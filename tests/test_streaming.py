@@ -47,6 +47,13 @@ def test_cooldown(spark, seconds, want):
     assert reported(batches.run_to_end(stream)) == want
 
 
+@pytest.mark.parametrize("any_message", [False, True])
+def test_cooldown_of_rows_without_a_message(spark, any_message):
+    rows = errors(spark, [0, 30], None).unionByName(errors(spark, [1, 3, 9])).unionByName(spark.createDataFrame([(None, "boom")], SCHEMA))
+    assert reported(dedupe.dedupe_errors(rows, any_message)) == [1, 9]
+    assert reported(dedupe.dedupe_errors(errors(spark, [0], None), any_message)) == []
+
+
 def HEARTBEAT(spark):
     return errors(spark, [400 * DAY], None)
 

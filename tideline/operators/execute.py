@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import multiprocessing
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -32,6 +33,7 @@ def run_batches(
     config: dict | None = None,
     keep: tuple[str, ...] = ("job_id", "batch_id"),
     max_attempts: int = 1,
+    deadline_s: float | None = None,
 ) -> DataFrame:
     """Apply a handler to every batch (one row each) and report how it went.
 
@@ -39,6 +41,10 @@ def run_batches(
     dict and returns anything JSON can hold. A handler that raises fails its own batch only:
     the row comes back with ``ok = false``, the error text and a null result. Parallelism is
     that of ``batches``; repartition it beforehand to match the handler's cost.
+
+    With ``deadline_s`` the handler runs in a process of its own beside the task (:class:`_Apart`). A try that takes
+    longer, or that ends its process (a crash of native code, an exit, too much memory), is a failed try
+    like any other, and the next one gets a new process, for which ``setup`` is called again.
     """
     if max_attempts < 1:
         raise ValueError("max_attempts must be at least 1")
@@ -47,16 +53,89 @@ def run_batches(
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         handler = None
-        for frame in frames:
-            if handler is None:
-                handler = setup(settings)
-            outcomes = [_attempt(handler, row, max_attempts) for row in frame.to_dict("records")]
-            done = pd.DataFrame(outcomes, columns=[f.name for f in RUN_FIELDS])
-            yield pd.concat([frame[list(keep)].reset_index(drop=True), done], axis=1)
+        try:
+            for frame in frames:
+                if handler is None:
+                    handler = setup(settings) if deadline_s is None else _Apart(setup, settings, deadline_s)
+                yield reported(frame, [_attempt(handler, row, max_attempts) for row in frame.to_dict("records")])
+        finally:
+            if isinstance(handler, _Apart):
+                handler.stop()
+
+    def reported(frame: pd.DataFrame, outcomes: list[tuple]) -> pd.DataFrame:
+        done = pd.DataFrame(outcomes, columns=[f.name for f in RUN_FIELDS])
+        return pd.concat([frame[list(keep)].reset_index(drop=True), done], axis=1)
 
     return batches.mapInPandas(work, schema)
 
 
+class _Apart:
+    """A handler in a process of its own, which is replaced once it has died or was too slow.
+
+    The process is a copy of the task's, so handlers needn't be sent; rows go there and JSON texts come back.
+    """
+
+    def __init__(self, setup: Callable[[dict], Handler], settings: dict, deadline_s: float):
+        self.setup, self.settings, self.deadline_s = setup, settings, deadline_s
+        self.process = self.line = None
+
+    def _start(self) -> None:
+        copies = multiprocessing.get_context("fork")
+        self.line, theirs = copies.Pipe()
+        self.process = copies.Process(target=_serve, args=(theirs, self.line, self.setup, self.settings), daemon=True)
+        self.process.start()
+        theirs.close()
+
+    def stop(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.line.close()
+            self.process = None
+
+    def __call__(self, row: dict) -> _Json:
+        if self.process is None:
+            self._start()
+        try:
+            self.line.send(row)
+            if not self.line.poll(self.deadline_s):
+                self.stop()
+                raise TimeoutError(f"no answer within {self.deadline_s} s")
+            ok, text = self.line.recv()
+        except (EOFError, BrokenPipeError, ConnectionResetError):
+            self.process.join()
+            code = self.process.exitcode
+            self.stop()
+            raise RuntimeError(f"the handler's process ended with code {code}") from None
+        if ok:
+            return _Json(text)
+        raise _Told(text)
+
+
+class _Json(str):
+    """A result that is JSON already."""
+
+
+class _Told(Exception):
+    """An error that the handler's process has put in words."""
+
+
+def _serve(line, other_end, setup: Callable[[dict], Handler], settings: dict) -> None:
+    other_end.close()  # so that the end of the task is seen
+    handler = None
+    while True:
+        try:
+            row = line.recv()
+        except EOFError:
+            return
+        try:
+            handler = handler or setup(settings)
+            answer = True, json.dumps(handler(row), default=_plain)
+        except Exception as failure:
+            answer = False, f"{type(failure).__name__}: {failure}"
+        line.send(answer)
+
+
 def _plain(value):
     """Arrays and numbers of numpy as JSON holds them."""
     if hasattr(value, "tolist"):
@@ -69,10 +148,11 @@ def _attempt(handler: Handler, row: dict, max_attempts: int) -> tuple:
     for attempt in range(1, max_attempts + 1):
         start = time.perf_counter()
         try:
-            result = json.dumps(handler(row), default=_plain)
+            result = handler(row)
+            result = str(result) if isinstance(result, _Json) else json.dumps(result, default=_plain)
             return result, True, attempt, time.perf_counter() - start, None
         except Exception as failure:  # the batch fails, never the job
-            error = f"{type(failure).__name__}: {failure}"
+            error = str(failure) if isinstance(failure, _Told) else f"{type(failure).__name__}: {failure}"
     return None, False, max_attempts, None, error
 
 
@@ -82,10 +162,11 @@ def run_with_dead_letters(
     max_receive_count: int,
     config: dict | None = None,
     keep: tuple[str, ...] = ("job_id", "batch_id"),
+    deadline_s: float | None = None,
 ) -> DataFrame:
     """As :func:`run_batches` with up to ``max_receive_count`` tries; adds ``dead_letter`` and
     ``failed_attempts`` (every failed try counts as a failure)."""
-    runs = run_batches(batches, setup, config, keep, max_receive_count)
+    runs = run_batches(batches, setup, config, keep, max_receive_count, deadline_s)
     return runs.withColumn("dead_letter", ~F.col("ok")).withColumn(
         "failed_attempts", F.col("attempts") - F.col("ok").cast("int")
     )

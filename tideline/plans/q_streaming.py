@@ -136,7 +136,8 @@ def str_4(spark, sf_dir):
 
 view(
     "v_errors",
-    "SELECT ts, 'error ' || (user_id % 6)::VARCHAR AS key FROM events WHERE event_type <> 'view' AND NOT (user_id % 6 = 5 AND day(ts) BETWEEN 10 AND 13)",
+    "SELECT ts, 'error ' || (user_id % 6)::VARCHAR || CASE WHEN user_id % 6 = 5 AND day(ts) BETWEEN 10 AND 13 THEN ' again' ELSE '' END AS key "
+    "FROM events",
 )
 
 
@@ -154,9 +155,10 @@ def _cooldown_sql(source: str) -> str:
 
 
 def errors(rows):
-    late = (F.col("user_id") % 6 == 5) & F.dayofmonth("ts").between(10, 13)
-    message = F.concat(F.lit("error "), (F.col("user_id") % 6).cast("string"), F.lit("\ntrace "), "props")
-    return rows.filter((F.col("event_type") != "view") & ~late).select("ts", message.alias("message"))
+    """Every event as an error; one message has another text for four days of each month, so that its first text is forgotten."""
+    other = (F.col("user_id") % 6 == 5) & F.dayofmonth("ts").between(10, 13)
+    message = F.concat(F.lit("error "), (F.col("user_id") % 6).cast("string"), F.when(other, " again").otherwise(""), F.lit("\ntrace "), "props")
+    return rows.select("ts", message.alias("message"))
 
 
 @query("str_5", _cooldown_sql("v_errors"), "v_errors")

@@ -45,7 +45,7 @@ def error_key(message: Column, any_message: bool = False) -> Column:
 
 
 def dedupe_errors(errors: DataFrame, any_message: bool = False) -> DataFrame:
-    """The reported occurrences ``(key, ts, cooldown_s)`` of a batch of ``(ts, message)``.
+    """The reported occurrences ``(key, ts, cooldown_s)`` of a batch of ``(ts, message)``; rows without a message or time are none.
 
     Reports form a chain in time, yet a key may hold most of the rows. So rows are first reduced to
     the earliest and latest occurrence per key and 5 seconds, a span in which at most one report
@@ -54,7 +54,8 @@ def dedupe_errors(errors: DataFrame, any_message: bool = False) -> DataFrame:
     and just the ends of all other spans. The result equals the one-by-one fold over all rows.
     """
     width = INITIAL_S * MICROS
-    rows = errors.select(error_key(F.col("message"), any_message).alias("key"), micros("ts").alias("us"))
+    rows = errors.filter(F.col("message").isNotNull() & F.col("ts").isNotNull())
+    rows = rows.select(error_key(F.col("message"), any_message).alias("key"), micros("ts").alias("us"))
     rows = rows.withColumn("span", F.col("us") - F.pmod("us", F.lit(width)))
     spans = rows.groupBy("key", "span").agg(F.min("us").alias("first"), F.max("us").alias("last"))
     marked = (
