@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.operators.timeseries import DEFAULT_BUCKETS
-from tideline.plans import replay, views
+from tideline.plans import views
 from tideline.plans.q_control import MAX_REPLICAS, TARGET, load
 from tideline.plans.q_timeseries import BOUNDS_SQL, rounded
 from tideline.plans.registry import ORACLE, query
+from tideline.plans.replay import heartbeat, in_turn, out_of_order_stream
 from tideline.plans.views_sql import view
 from tideline.session import fresh_path
 from tideline.streaming import autoscale, batches, dedupe, requests
@@ -24,7 +25,7 @@ def events_stream(spark, sf_dir, replay=False):
     """
     events = views.table(spark, sf_dir, "events")
     if replay:
-        stream = replay.out_of_order_stream(events, fresh_path(spark, "events"), 12 * 24 * HOUR, HOUR / 2)
+        stream = out_of_order_stream(events, fresh_path(spark, "events"), 12 * 24 * HOUR, HOUR / 2)
     else:
         stream = batches.read_table_stream(spark, sf_dir, "events.parquet", events.schema)
     kind = F.col("event_type")
@@ -122,7 +123,7 @@ def str_4(spark, sf_dir):
     """The ticks of the batch fold as a stream of several micro-batches, some of them days late."""
     ticks = load(spark, sf_dir)
     days = 24 * HOUR
-    stream = replay.out_of_order_stream(ticks, fresh_path(spark, "ticks"), 8 * days, 2 * days).withColumns(
+    stream = out_of_order_stream(ticks, fresh_path(spark, "ticks"), 8 * days, 2 * days).withColumns(
         {
             "target_in_flight": F.lit(TARGET),
             "max_replicas": F.lit(MAX_REPLICAS),
@@ -176,7 +177,7 @@ def str_5_stream(spark, sf_dir):
     """The errors as a stream of several micro-batches, some of them days late."""
     days = 24 * HOUR
     found = errors(views.table(spark, sf_dir, "events"))
-    stream = replay.out_of_order_stream(found, fresh_path(spark, "errors"), 8 * days, 2 * days)
+    stream = out_of_order_stream(found, fresh_path(spark, "errors"), 8 * days, 2 * days)
     return batches.run_to_end(dedupe.stream_dedupe_errors(stream, delay="2 days"), name="reports")
 
 
@@ -209,8 +210,8 @@ def str_7(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     last = docs.agg(F.max("doc_id")).first()[0]
     turns = docs.withColumn("_turn", F.least(F.floor(F.col("doc_id") * 6 / (last + 1)), F.lit(5)))
-    end = replay.heartbeat(turns, doc_id=F.lit(last + 1), _turn=F.lit(6))
-    stream = replay.in_turn(turns.unionByName(end), F.col("_turn"), fresh_path(spark, "documents"))
+    end = heartbeat(turns, doc_id=F.lit(last + 1), _turn=F.lit(6))
+    stream = in_turn(turns.unionByName(end), F.col("_turn"), fresh_path(spark, "documents"))
     path = fresh_path(spark, "results")
     batches.stream_batches(stream, "doc_id", "text", 16, _lengths, path, fresh_path(spark, "results-state"))
     lengths = F.from_json("result", "array<long>")

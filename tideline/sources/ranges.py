@@ -30,9 +30,9 @@ END = 1 << 62
 
 
 def byte_ranges(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, int]:
-    """``file, start, end`` of all ranges, one per task, and their number.
+    """``file, start, end`` of all ranges, dealt over tasks, and their number.
 
-    A range is ``spark.sql.files.maxPartitionBytes`` long. Only names and lengths are read here.
+    A range is at most ``spark.sql.files.maxPartitionBytes`` long; small files share tasks. Only names and lengths are read here.
     """
     conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
     size = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf))
@@ -41,9 +41,10 @@ def byte_ranges(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long")))
     ranges = files.filter("length > 0").select("file", "length", F.explode(starts).alias("start"))
     end = F.when(whole, F.lit(END)).otherwise(F.least(F.col("start") + size, F.col("length")))
-    ranges = ranges.select("file", "start", end.alias("end"))
-    number = ranges.count()
-    return ranges.repartition(max(1, min(number, 100_000))), number
+    ranges = ranges.withColumn("end", end)
+    number, total = ranges.agg(F.count(F.lit(1)), F.sum(F.least("length", F.col("end")) - F.col("start"))).first()
+    tasks = min(number, spark.sparkContext.defaultParallelism + (total or 0) // size)
+    return ranges.select("file", "start", "end").repartition(max(1, tasks)), number
 
 
 def _open(file: str):
