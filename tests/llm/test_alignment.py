@@ -83,7 +83,7 @@ def values(row):
 
 
 def same(text):
-    found, want = PAIR.align(text), by_bytes(text)
+    (found,), want = PAIR.align([text]), by_bytes(text)
     if want is None:
         assert found is None
         return
@@ -96,7 +96,7 @@ def same(text):
 def test_scripts():
     for text in [*TEXTS, "".join(TEXTS), " ".join(TEXTS[:4])]:
         same(text)
-    assert PAIR.align("") is None and PAIR.align("a\u2581b") is None
+    assert PAIR.align(["", None, "a\u2581b", "a b \u2581 c"]) == [None] * 4
 
 
 @settings(max_examples=300, deadline=None)
@@ -113,7 +113,7 @@ def test_split_characters(text):
 
 def test_wide_groups():
     same("=- " * 7 + "=" * 4001 + "\u00e9" * 3000)
-    found = PAIR.stretch("=" * 20_001 + "\u2003" * 5000 + "=" * 3)
+    found = PAIR.stretches(["=" * 20_001 + "\u2003" * 5000 + "=" * 3])[0]
     assert found is not None and sum(len(p) for p, _ in found[6]) < 5000
 
 
@@ -124,7 +124,17 @@ def test_borders(text):
     words = alignment.BORDER.split(text)
     assert " ".join(words) == text
     if text and PAIR.splits:
-        assert by_bytes(text) is None or told(by_bytes(text)) == ";".join(PAIR.stretch(w)[4] for w in words)
+        assert by_bytes(text) is None or told(by_bytes(text)) == ";".join(part[4] for w in words for part in PAIR.stretches([w]))
+
+
+def test_texts_together():
+    """Pieces of many texts are encoded at once; those that a tokenizer doesn't give back are found among them."""
+    texts = [*TEXTS, "good words a\u2581b more", "good words", "caf\u00e9 na\u00efve", "caf\u00e9 x\u2581"]
+    PAIR.known.clear()
+    PAIR.older.clear()
+    for found, text in zip(PAIR.align(texts), texts):
+        want = by_bytes(text)
+        assert (found is None) == (want is None) and (found is None or found.groups() == told(want))
 
 
 def test_memory_of_words_is_bounded(monkeypatch):

@@ -46,8 +46,12 @@ def byte_alphabet() -> dict[str, int]:
 #: A space between two of these characters is a border that no token of either side crosses: byte-level splitting begins
 #: a new word there, and no piece goes on after a space mark.
 BORDER = re.compile("(?<=[!-~¡-¬®-ſ]) (?=[!-~¡-¬®-ſ])")
+#: What may stand between such borders.
+JOINED = re.compile("[!-~¡-¬®-ſ](?:.*[!-~¡-¬®-ſ])?", re.DOTALL)
 #: Stretches of up to so many characters are remembered, up to twice so many of them.
 SHORT, REMEMBERED = 48, 120_000
+#: Characters of texts that are aligned at a time.
+TOGETHER = 1 << 20
 #: A group of more links than this has its equal ids counted before they are paired.
 WIDE = 4096
 
@@ -132,66 +136,81 @@ class Pair:
             ends.append(end)
         return [i for i, _, _ in found], ends
 
-    def stretch(self, text: str) -> Stretch | None:
-        """The groups of ``text``, with a space before it; None where either side doesn't give it back byte for byte."""
+    def stretches(self, pieces: list[str]) -> list[Stretch | None]:
+        """The groups of each piece, all of them encoded as one text; None where either side doesn't give it back byte for byte.
+
+        Several pieces must be such as :data:`BORDER` may stand between.
+        """
+        text = " ".join(pieces)
         spaced = " " + text
         raw = spaced.encode()
         left, right = self.ends_a(spaced, raw), self.ends_b(text, raw)
         if left is None or right is None:
-            return None
+            half = len(pieces) // 2
+            return self.stretches(pieces[:half]) + self.stretches(pieces[half:]) if half else [None]
         (a, ends_a), (b, ends_b) = left, right
-        if ends_a == ends_b:  # token by token
-            told = ";".join([f"{x}|{y}" for x, y in zip(a, b, strict=True)])
-            return len(a), len(a), len(a), len(a), told, tuple([x << B_BITS | y for x, y in zip(a, b, strict=True)]), ()
+        borders = list(itertools.accumulate(len(p.encode()) + 1 for p in pieces))
+        out: list[Stretch | None] = []
         told, links, wide, n_links = [], [], [], 0
-        i = j = first_a = first_b = 0
-        while i < len(a) and j < len(b):
-            gap = ends_a[i] - ends_b[j]
-            i += gap <= 0
-            j += gap >= 0
-            if gap:
-                continue
-            ids_a, ids_b = a[first_a:i], b[first_b:j]
-            first_a, first_b = i, j
-            size = len(ids_a) * len(ids_b)
-            n_links += size
-            if size == 1:
-                told.append(f"{ids_a[0]}|{ids_b[0]}")
-                links.append(ids_a[0] << B_BITS | ids_b[0])
-                continue
-            told.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
-            if size <= WIDE:
-                links += [x << B_BITS | y for x in ids_a for y in ids_b]
-            else:
-                (x, n), (y, m) = np.unique(ids_a, return_counts=True), np.unique(ids_b, return_counts=True)
-                wide.append(((x[:, None] << B_BITS | y[None]).ravel(), (n[:, None] * m[None]).ravel()))
-        if first_a != len(a) or first_b != len(b):  # the exact check: both sides end together, with the text
-            raise RuntimeError("spans of the tokenizers disagree with their bytes")
-        return len(a), len(b), len(told), n_links, ";".join(told), tuple(links), tuple(wide)
-
-    def align(self, text: str | None) -> Aligned | None:
-        """The groups of one text; None where it has no tokens.
-
-        A text falls apart at borders that tokens of neither side cross, so its alignment is that of its stretches, and
-        short ones, words mostly, are aligned once for all texts of a worker.
+        i = j = group_a = group_b = first_a = first_b = 0
+        for end in borders:
+            while i < len(a) and j < len(b):
+                gap = ends_a[i] - ends_b[j]
+                i += gap <= 0
+                j += gap >= 0
+                if gap:
+                    continue
+                size = (i - group_a) * (j - group_b)
+                n_links += size
+                if size == 1:
+                    told.append(f"{a[group_a]}|{b[group_b]}")
+                    links.append(a[group_a] << B_BITS | b[group_b])
+                else:
+                    ids_a, ids_b = a[group_a:i], b[group_b:j]
+                    told.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
+                    if size <= WIDE:
+                        links += [x << B_BITS | y for x in ids_a for y in ids_b]
+                    else:
+                        (x, n), (y, m) = np.unique(ids_a, return_counts=True), np.unique(ids_b, return_counts=True)
+                        wide.append(((x[:, None] << B_BITS | y[None]).ravel(), (n[:, None] * m[None]).ravel()))
+                group_a, group_b = i, j
+                if ends_a[i - 1] >= end:
+                    break
+            # The exact check: both sides end together, with the piece.
+            if group_a != i or group_b != j or not told or ends_a[i - 1] != end:
+                raise RuntimeError("spans of the tokenizers disagree with their bytes")
+            out.append((i - first_a, j - first_b, len(told), n_links, ";".join(told), tuple(links), tuple(wide)))
+            told, links, wide, n_links, first_a, first_b = [], [], [], 0, i, j
+        return out
+
+    def align(self, texts: list[str | None]) -> list[Aligned | None]:
+        """The groups of each text; None where it has no tokens.
+
+        A text falls apart at borders that tokens of neither side cross, so its alignment is that of its pieces, words
+        mostly. Those that no text had before are encoded together, once; short ones are remembered for later texts.
         """
         self.open()
-        if not text:
-            return None
-        known, older, found = self.known, self.older, []
-        for piece in BORDER.split(text) if self.splits else [text]:
-            if piece in known:
-                part = known[piece]
-            else:
-                part = older[piece] if piece in older else self.stretch(piece)
-                if len(piece) <= SHORT:
-                    if len(known) >= REMEMBERED:  # the half used last stays
-                        self.known, self.older = known, older = {}, known
-                    known[piece] = part
-            if part is None:
-                return None
-            found.append(part)
-        return Aligned(found)
+        cut = [(BORDER.split(t) if self.splits else [t]) if t else [] for t in texts]
+        fresh: dict[str, Stretch | None] = {}
+        for piece in itertools.chain.from_iterable(cut):
+            if piece not in self.known and piece not in fresh:
+                fresh[piece] = self.older.get(piece, 0)
+        new = [p for p, part in fresh.items() if part == 0]
+        joined = [p for p in new if JOINED.fullmatch(p)] if self.splits else []
+        for at in range(0, len(joined), 10_000):
+            some = joined[at : at + 10_000]
+            fresh.update(zip(some, self.stretches(some), strict=True))
+        for piece in new:
+            if fresh[piece] == 0:
+                fresh[piece] = self.stretches([piece])[0]
+        out: list[Aligned | None] = []
+        for pieces in cut:
+            parts = [fresh[p] if p in fresh else self.known[p] for p in pieces]
+            out.append(Aligned(parts) if parts and None not in parts else None)
+        if len(self.known) + len(fresh) > REMEMBERED:  # the words used last stay
+            self.known, self.older = {}, self.known
+        self.known.update((p, part) for p, part in fresh.items() if len(p) <= SHORT)
+        return out
 
 
 def pair_of(byte_level: str, pieces: str) -> Pair:
@@ -279,18 +298,23 @@ def aligned(docs: DataFrame, text: str, pair: Pair, limit: int = 1 << 20) -> Dat
         number = itertools.count(TaskContext.get().partitionId() << 32)
         nothing = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            rest = batch.drop_columns([text])
-            block, first = _Block(next(number)), 0
-            for i in range(batch.num_rows):
-                found = pair.align(batch.column(text)[i].as_py())
-                if found is None:
-                    block.add((0, 0, 0, 0, ""), nothing, nothing)
-                else:
-                    row = (found.n_a, found.n_b, found.n_groups, found.n_links, found.digest())
-                    block.add(row, *found.pairs())
-                if block.n >= limit or i == batch.num_rows - 1:
-                    yield _written(rest.slice(first, i + 1 - first), block)
-                    block, first = _Block(next(number)), i + 1
+            rest, texts = batch.drop_columns([text]), batch.column(text)
+            block, first, at = _Block(next(number)), 0, 0
+            while at < batch.num_rows:
+                some, size = [], 0
+                while at + len(some) < batch.num_rows and size < TOGETHER:
+                    some.append(texts[at + len(some)].as_py())
+                    size += len(some[-1] or "")
+                for found in pair.align(some):
+                    if found is None:
+                        block.add((0, 0, 0, 0, ""), nothing, nothing)
+                    else:
+                        row = (found.n_a, found.n_b, found.n_groups, found.n_links, found.digest())
+                        block.add(row, *found.pairs())
+                    at += 1
+                    if block.n >= limit or at == batch.num_rows:
+                        yield _written(rest.slice(first, at - first), block)
+                        block, first = _Block(next(number)), at
 
     return materialise(docs.select(text, *[f.name for f in others]).mapInArrow(run, schema), "aligned")
 
@@ -362,7 +386,7 @@ def groups_of(text: Column, pair: Pair) -> Column:
 
     @F.udf("string")
     def told(value):
-        found = pair.align(value)
+        (found,) = pair.align([value])
         return None if found is None else found.groups()
 
     return told(text)
