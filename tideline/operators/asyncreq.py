@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,17 @@ def status_from() -> tuple[Column, Column]:
     return status, invalid
 
 
+def status_of(found: Collection[str], odd: str | None) -> tuple[str | None, bool]:
+    """The same rule for one request: its known markers and the smallest unknown one."""
+    for terminal in ("completed", "failed"):
+        if terminal in found:
+            spoilt = odd is not None and odd < terminal
+            return (None, True) if spoilt else (terminal, False)
+    if odd is not None:
+        return None, True
+    return "in_progress" if "in_progress" in found else "in_queue", False
+
+
 def async_status(requests: DataFrame, markers: DataFrame, key: str = "request_id") -> DataFrame:
     """Status of each requested id; ``not_found`` without markers."""
     found = markers.groupBy(key).agg(*[c.alias(n) for n, c in status_columns(F.col("marker")).items()])

@@ -28,8 +28,12 @@ def events_stream(spark, sf_dir, replay=False):
         stream = out_of_order_stream(events, fresh_path(spark, "events"), 12 * 24 * HOUR, HOUR / 2)
     else:
         stream = batches.read_table_stream(spark, sf_dir, "events.parquet", events.schema)
+    return request_columns(stream)
+
+
+def request_columns(events):
     kind = F.col("event_type")
-    return stream.select(
+    return events.select(
         F.col("event_id").alias("request_id"),
         "ts",
         F.concat(F.lit("api-"), (F.col("user_id") % 5).cast("string")).alias("api_name"),
@@ -101,21 +105,25 @@ def str_2_reports(spark, sf_dir):
     """,
 )
 def str_3(spark, sf_dir):
-    """Queue and progress markers, and terminal ones that follow from checked responses."""
-    events = events_stream(spark, sf_dir)
+    """Markers a minute apart, terminal ones from checked responses, as a stream of several micro-batches up to half an hour late."""
+    events = request_columns(views.table(spark, sf_dir, "events"))
     kind = F.col("event_type")
     early = F.array_compact(F.array(F.lit("in_queue"), F.when(kind != "view", F.lit("in_progress"))))
-    markers = events.select("request_id", F.explode(early).alias("marker"))
+    markers = events.select("request_id", "ts", F.posexplode(early).alias("place", "marker"))
+    markers = markers.select("request_id", (F.col("ts") + F.make_dt_interval(mins=F.col("place"))).alias("ts"), "marker")
     answered = events.filter(kind.isin("purchase", "click", "error"))
     responses = answered.select(
         "request_id",
+        (F.col("ts") + F.make_dt_interval(mins=F.lit(2))).alias("ts"),
         "status_code",
         F.lit("application/json").alias("content_type"),
         F.when(F.col("request_id") % 7 == 0, "{").otherwise(F.col("props")).alias("body"),
     )
-    updates = requests.async_status_updates(markers.unionByName(requests.response_markers(responses)))
-    done = batches.run_to_end(updates, "update", "status")
-    return batches.latest_updates(done, "request_id")
+    ended = requests.response_markers(responses, "request_id", "ts").select("request_id", "ts", "marker")
+    stream = out_of_order_stream(markers.unionByName(ended), fresh_path(spark, "markers"), 12 * 24 * HOUR, HOUR / 2)
+    updates = requests.tracked_status(stream, keep_s=2 * HOUR, delay_s=HOUR)
+    told = batches.run_to_end(updates, "update", "status").filter("late = 0")
+    return batches.latest_updates(told, "request_id").select("request_id", "status", "invalid")
 
 
 @query("str_4", ORACLE["aut_2"])

@@ -6,14 +6,15 @@ streams alike; late rows beyond the watermark are dropped by Spark and counted i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import ieee_div
-from tideline.operators.asyncreq import classify_response, status_columns, status_from
-from tideline.operators.timeseries import DEFAULT_BUCKETS, histogram
+from tideline.operators.asyncreq import STATUSES, classify_response, status_columns, status_from, status_of
+from tideline.operators.timeseries import DEFAULT_BUCKETS, from_micros, histogram
 
 
 def event_time(rows: DataFrame, ts: str = "ts") -> DataFrame:
@@ -69,10 +70,88 @@ def async_status_updates(events: DataFrame, key: str = "request_id") -> DataFram
     return found.select(key, status.alias("status"), invalid.alias("invalid"))
 
 
-def response_markers(responses: DataFrame, key: str = "request_id") -> DataFrame:
-    """Terminal markers from handler responses: ``completed`` only if the response checks out."""
+def tracked_status(
+    markers: DataFrame, key: str = "request_id", keep_s: float = 3600, delay_s: float = 600, abandon_s: float = 7 * 86400
+) -> DataFrame:
+    """``key, ts, status, invalid, late``: changes of status on a stream of ``(key, ts, marker)``, with bounded state.
+
+    As :func:`async_status_updates`, but a request is forgotten ``keep_s`` after its last marker once it has ended, and
+    ``abandon_s`` after it if it never does, in event time. Rows are at most ``delay_s`` out of order; older
+    ones Spark drops and counts (``numRowsDroppedByWatermark``). A request begins with its ``in_queue`` marker: markers
+    without one for ``delay_s`` belong to a request that is forgotten already (or never was) and can't say how it
+    stands. They come out as one row with ``late``, their number, and no status; other rows have ``late`` 0. A row without a key
+    is a heartbeat that moves the watermark. A request's state is the set of its known markers and one more name. For update mode.
+    """
+    timed = event_time(markers).withWatermark("ts", f"{delay_s} seconds").withColumn("us", F.unix_micros("ts"))
+    kind = markers.schema[key].dataType.simpleString()
+    tracked = (
+        timed.groupBy(key)
+        .applyInPandasWithState(
+            _track(key, keep_s, delay_s, abandon_s),
+            f"`{key}` {kind}, us long, status string, invalid boolean, late long",
+            "found array<string>, odd string, n long, last long, told string",
+            "update",
+            "EventTimeTimeout",
+        )
+    )
+    # A group that tells nothing may come out as a row of nulls.
+    told = tracked.filter(F.col(key).isNotNull())
+    return told.select(key, from_micros(F.col("us")).alias("ts"), "status", "invalid", "late")
+
+
+NOTHING = ([], None, 0, 0, None)
+
+
+def _track(key: str, keep_s: float, delay_s: float, abandon_s: float):
+    columns = [key, "us", "status", "invalid", "late"]
+
+    def due(found, _odd, _n, last: int, _told) -> int:
+        ended = "completed" in found or "failed" in found
+        wait_s = delay_s if "in_queue" not in found else keep_s if ended else abandon_s
+        return int(last / 1000 + wait_s * 1000)
+
+    def advance(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (name,) = group
+        if name is None:
+            return
+        held = state.get if state.exists else NOTHING
+        # Timers ring in micro-batches without rows of their request; with rows, what is due is looked at first.
+        if state.hasTimedOut or (state.exists and due(*held) <= state.getCurrentWatermarkMs()):
+            state.remove()
+            if "in_queue" not in held[0]:
+                yield pd.DataFrame([(name, held[3], None, None, held[2])], columns=columns)
+            held = NOTHING
+        if state.hasTimedOut:
+            return
+        found, odd, n, last, told = held
+        found = set(found)
+        for frame in frames:
+            for marker, us in zip(frame["marker"], frame["us"], strict=True):
+                if marker is None:
+                    continue
+                n, last = n + 1, max(last, int(us))
+                if marker in STATUSES:
+                    found.add(marker)
+                else:
+                    odd = marker if odd is None else min(odd, marker)
+        out = []
+        if "in_queue" in found:
+            status, invalid = status_of(found, odd)
+            if told != f"{status}":
+                out.append((name, last, status, invalid, 0))
+                told = f"{status}"
+        state.update((sorted(found), odd, n, last, told))
+        state.setTimeoutTimestamp(max(due(found, odd, n, last, told), state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return advance
+
+
+def response_markers(responses: DataFrame, *keys: str) -> DataFrame:
+    """Terminal markers from handler responses: ``completed`` only if the response checks out. ``keys`` stay, request_id at least."""
     checked = classify_response(responses)
-    return checked.select(key, F.when(F.col("reason") == "ok", "completed").otherwise("failed").alias("marker"))
+    return checked.select(*(keys or ["request_id"]), F.when(F.col("reason") == "ok", "completed").otherwise("failed").alias("marker"))
 
 
 def once_only(messages: DataFrame, key: str = "message_id", delay: str = "1 hour") -> DataFrame:
