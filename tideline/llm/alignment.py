@@ -49,7 +49,7 @@ BORDER = re.compile("(?<=[!-~¡-¬®-ſ]) (?=[!-~¡-¬®-ſ])")
 #: What may stand between such borders.
 JOINED = re.compile("[!-~¡-¬®-ſ](?:.*[!-~¡-¬®-ſ])?", re.DOTALL)
 #: Stretches of up to so many characters are remembered, up to twice so many of them.
-SHORT, REMEMBERED = 48, 120_000
+SHORT, REMEMBERED = 48, 250_000
 #: Characters of texts that are aligned at a time.
 TOGETHER = 1 << 20
 #: A group of more links than this has its equal ids counted before they are paired.
@@ -57,8 +57,8 @@ WIDE = 4096
 
 
 #: Aligned tokens of one stretch of text, a plain tuple for the garbage collector's sake: numbers of tokens of either side,
-#: of groups and of links, the groups in words, links as pair numbers, and links of large groups as (pairs, times).
-Stretch = tuple[int, int, int, int, str, tuple[int, ...], tuple[tuple[np.ndarray, np.ndarray], ...]]
+#: of groups and of links, the groups in words, links as 64-bit pair numbers, and links of large groups as (pairs, times).
+Stretch = tuple[int, int, int, int, str, bytes, tuple[tuple[np.ndarray, np.ndarray], ...]]
 
 
 class Pair:
@@ -148,39 +148,42 @@ class Pair:
         if left is None or right is None:
             half = len(pieces) // 2
             return self.stretches(pieces[:half]) + self.stretches(pieces[half:]) if half else [None]
-        (a, ends_a), (b, ends_b) = left, right
-        borders = list(itertools.accumulate(len(p.encode()) + 1 for p in pieces))
+        (a, ends_a), (b, ends_b) = ([np.array(x, dtype=np.int64) for x in side] for side in (left, right))
+        common, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        borders = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        last = np.searchsorted(common, borders)
+        # The exact check: both sides end together, with every piece.
+        if not len(common) or (common[np.minimum(last, len(common) - 1)] != borders).any():
+            raise RuntimeError("spans of the tokenizers disagree with their bytes")
+        stop_a, stop_b = i + 1, j + 1
+        size_a, size_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        first_a, first_b = stop_a - size_a, stop_b - size_b
+        links = size_a * size_b
+        told = [f"{x}|{y}" for x, y in zip(a[first_a].tolist(), b[first_b].tolist(), strict=True)]
+        for g in np.flatnonzero(links > 1).tolist():
+            told[g] = "|".join(",".join(map(str, x)) for x in (a[first_a[g] : stop_a[g]].tolist(), b[first_b[g] : stop_b[g]].tolist()))
+        # Link k of a group is its token k // size_b on one side and k % size_b on the other.
+        own = np.where(links <= WIDE, links, 0)
+        upto = np.cumsum(own)
+        k = np.arange(upto[-1]) - np.repeat(upto - own, own)
+        row, col = np.divmod(k, np.repeat(size_b, own))
+        pairs = a[np.repeat(first_a, own) + row] << B_BITS | b[np.repeat(first_b, own) + col]
+        wide: dict[int, list] = {}
+        for g in np.flatnonzero(links > WIDE).tolist():
+            x, n = np.unique(a[first_a[g] : stop_a[g]], return_counts=True)
+            y, m = np.unique(b[first_b[g] : stop_b[g]], return_counts=True)
+            piece = int(np.searchsorted(last, g))
+            wide.setdefault(piece, []).append(((x[:, None] << B_BITS | y[None]).ravel(), (n[:, None] * m[None]).ravel()))
+
+        def each(total: np.ndarray) -> list[int]:
+            return np.diff(total[last], prepend=0).tolist()
+
+        counts = zip(each(stop_a), each(stop_b), each(np.arange(1, len(common) + 1)), each(np.cumsum(links)), strict=True)
         out: list[Stretch | None] = []
-        told, links, wide, n_links = [], [], [], 0
-        i = j = group_a = group_b = first_a = first_b = 0
-        for end in borders:
-            while i < len(a) and j < len(b):
-                gap = ends_a[i] - ends_b[j]
-                i += gap <= 0
-                j += gap >= 0
-                if gap:
-                    continue
-                size = (i - group_a) * (j - group_b)
-                n_links += size
-                if size == 1:
-                    told.append(f"{a[group_a]}|{b[group_b]}")
-                    links.append(a[group_a] << B_BITS | b[group_b])
-                else:
-                    ids_a, ids_b = a[group_a:i], b[group_b:j]
-                    told.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
-                    if size <= WIDE:
-                        links += [x << B_BITS | y for x in ids_a for y in ids_b]
-                    else:
-                        (x, n), (y, m) = np.unique(ids_a, return_counts=True), np.unique(ids_b, return_counts=True)
-                        wide.append(((x[:, None] << B_BITS | y[None]).ravel(), (n[:, None] * m[None]).ravel()))
-                group_a, group_b = i, j
-                if ends_a[i - 1] >= end:
-                    break
-            # The exact check: both sides end together, with the piece.
-            if group_a != i or group_b != j or not told or ends_a[i - 1] != end:
-                raise RuntimeError("spans of the tokenizers disagree with their bytes")
-            out.append((i - first_a, j - first_b, len(told), n_links, ";".join(told), tuple(links), tuple(wide)))
-            told, links, wide, n_links, first_a, first_b = [], [], [], 0, i, j
+        group = link = 0
+        for piece, (n, to, ends) in enumerate(zip(counts, (last + 1).tolist(), upto[last].tolist(), strict=True)):
+            out.append((*n, ";".join(told[group:to]), pairs[link:ends].tobytes(), tuple(wide.get(piece, ()))))
+            group, link = to, ends
         return out
 
     def align(self, texts: list[str | None]) -> list[Aligned | None]:
@@ -246,7 +249,7 @@ class Aligned:
         A group's links are all pairs of its tokens. Where these are many, equal ids of a side have been counted first,
         so that a long stretch of few distinct tokens costs those, not the square of its length.
         """
-        links = np.fromiter(itertools.chain.from_iterable(self.links), dtype=np.int64)
+        links = np.frombuffer(b"".join(self.links), dtype=np.int64)
         found, times = np.unique(links, return_counts=True)
         wide = [w for part in self.wide for w in part]
         if wide:
