@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm import decontam, minhash, q_packing, secrets, toxicity
 from tideline.llm.registry import table
-from tideline.session import materialise
+from tideline.session import bound_batches, materialise
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar doesn't reject; ``labels`` of training rows teach it. Null keys are judged too."""
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.keep_clean(docs, labels, "doc_id", "text", "toxic", toxicity.training_row("doc_id"))
 
@@ -29,6 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts under one doc_id are judged each, by a 64-bit hash of both; of rows that repeat a doc_id and its text one
     stays if the text does. Rows without a doc_id all stay.
     """
+    bound_batches(spark)
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     named, nameless = keyed.filter("doc_id is not null"), docs.filter("doc_id is null")
     found = minhash.near_duplicates(named, "_key", "text").select("_key", "component_id").distinct()
@@ -39,6 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which tiles cover less than half of every benchmark item; each text is judged, whatever its doc_id."""
+    bound_batches(spark)
     texts = docs.withColumn("_text", F.sha2("text", 256))
     found = decontam.leaks(texts.select("_text", "text"), "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     return texts.join(found.select("_text").distinct(), "_text", "left_anti").select(*docs.columns)
@@ -46,6 +49,7 @@ def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark and n_chars counted anew where that changed a text."""
+    bound_batches(spark)
     marked = secrets.redact(docs.withColumn("_before", F.col("text")), "text")
     changed = ~F.col("text").eqNullSafe(F.col("_before"))
     n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -54,6 +58,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their token ids, in sequences of 2048."""
+    bound_batches(spark)
     return q_packing.packed(docs)
 
 

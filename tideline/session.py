@@ -92,6 +92,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let Arrow batches on their way to Python hold at most ``size`` bytes, or what is set if that is less.
+
+    A batch stands in memory on both sides. Spark's own limit is 64 MB or 10,000 rows, which long texts reach.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
