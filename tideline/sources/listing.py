@@ -104,10 +104,23 @@ def dry_run(
     return files
 
 
-def list_bounded(listing: DataFrame, max_results: int, start_after: str | None = None) -> DataFrame:
-    """The first ``max_results`` paths in key order, after (not including) ``start_after``."""
-    files = listing.filter(F.col("path") > start_after) if start_after is not None else listing
-    return files.orderBy("path").limit(max_results)
+def list_bounded(
+    listing: DataFrame, max_results: int | None, start_after: str | tuple | None = None, ties: Sequence[str] = ()
+) -> DataFrame:
+    """The first ``max_results`` paths in key order, after (not including) ``start_after``.
+
+    Where paths repeat, ``ties`` are the columns that order equal ones, and ``start_after`` may be the whole
+    place (path, *ties) of the last row seen, so that pages neither repeat nor lose a row.
+    """
+    place = ["path", *ties]
+    files = listing
+    if start_after is not None:
+        seen = start_after if isinstance(start_after, tuple) else (start_after,)
+        columns = place[: len(seen)]
+        files = files.filter(F.struct(*columns) > F.struct(*[F.lit(v).cast(listing.schema[c].dataType).alias(c) for c, v in zip(columns, seen, strict=True)]))
+        files = files.filter(F.col("path") >= seen[0])  # a plain bound, which sources understand
+    ordered = files.orderBy(*place)
+    return ordered if max_results is None else ordered.limit(max_results)
 
 
 def _parts(path: Column) -> Column:
