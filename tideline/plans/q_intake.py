@@ -9,7 +9,7 @@ from tideline.plans import views
 from tideline.plans.registry import query
 from tideline.session import fresh_path, materialise
 from tideline.sources import items as src
-from tideline.sources import listing, sinks, states
+from tideline.sources import listing, sinks, states, storage
 
 MESSAGE_LIMIT = 256 * 1024
 LIMIT = 4096
@@ -56,6 +56,23 @@ def src_2(spark, sf_dir):
     return listing.list_files(views.files(spark, sf_dir), PATHS).select("path_index", "page_id", "path", "size")
 
 
+@query(
+    "src_2_storage",
+    """
+    SELECT DISTINCT 0 AS path_index, coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS source, lang FROM documents WHERE lang IS NOT NULL
+    UNION ALL SELECT DISTINCT 1, source, lang FROM documents WHERE source LIKE 'src1%' AND lang IS NOT NULL
+    """,
+)
+def src_2_storage(spark, sf_dir):
+    """The documents written in folders by source and language; these are listed under two prefixes, one of them part of the other."""
+    path = fresh_path(spark, "stored").removeprefix("file:")
+    views.table(spark, sf_dir, "documents").select("source", "lang", "doc_id").write.partitionBy("source", "lang").json(path)
+    files = storage.list_keys(spark, [f"{path}/source=", f"{path}/source=src1"], include="**.json")
+    parts = F.regexp_extract_all("path", F.lit("/(?:source|lang)=([^/]*)"), 1)
+    found = files.select("path_index", parts[0].alias("source"), parts[1].alias("lang"))
+    return found.filter("lang <> '__HIVE_DEFAULT_PARTITION__'").distinct()
+
+
 INCLUDES = ["https://*.example.com/**", "http://*/*/{5,6}*", "https://m.*/es/[0-4]?"]
 EXCLUDES = ["**.html", "https://*/[!ef]*/**", "**?page=*"]
 KEEP_SQL = r"""
