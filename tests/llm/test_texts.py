@@ -92,6 +92,18 @@ def test_span_inside_a_layer():
     assert escaped[span["start"] : span["end"]] == urllib.parse.quote(SECRET, safe="")
 
 
+@pytest.mark.parametrize("word", ["café", "日本", "plain", "\x85\xff"])
+def test_escapes_that_are_no_utf8(word):
+    """Bytes that aren't UTF-8 stand for themselves; what is around them is still read."""
+    for raw in (word.encode(), word.encode("latin-1", "replace")):
+        text = "".join(f"%{b:02X}" for b in raw + b" " + SECRET.encode() + b"\xe9\xe9 end")
+        (span,) = [s for s in secrets._scan_one(text, 1 << 20)[1] if s["kind"] == "assign"]
+        assert bytes.fromhex(text[span["start"] : span["end"]].replace("%", "")) == SECRET.encode()
+    units = "".join(f"%u{ord(c):04x}" for c in word + " " + SECRET)
+    (span,) = [s for s in secrets._scan_one(units, 1 << 20)[1] if s["kind"] == "assign"]
+    assert units[span["start"] : span["end"]].count("%u") == len(SECRET)
+
+
 def found_in(text):
     """The stretches of ``text`` that hold an assignment."""
     return {text[s["start"] : s["end"]] for s in secrets._scan_one(text, 1 << 20)[1] if s["kind"] == "assign"}

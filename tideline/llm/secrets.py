@@ -37,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SHORTEST_ASSIGN, SHORTEST_ACCESS = 12, 18
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:%u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 # Runs go on over line breaks; those of one line have 16 characters or more, others at least that many in all.
 BASE64 = re.compile(
     r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++|[A-Za-z0-9+/_-]{16,}+)={0,2}"
@@ -126,30 +126,27 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), first, last) if layer.whole is None else Layer("".join(parts), whole=layer.whole)
 
 
-def _byte_pieces(raw: bytes, width: int) -> list[tuple[str, int, int]] | None:
-    """Characters of UTF-8 ``raw`` whose bytes take ``width`` characters each; None if it isn't UTF-8."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _byte_pieces(raw: bytes, width: int) -> list[tuple[str, int, int]]:
+    """Characters of ``raw`` whose bytes take ``width`` characters each: UTF-8 where it is that, else byte for byte."""
     out, at = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        out.append((c, at * width, n * width))
+    for c in raw.decode("utf-8", "surrogateescape"):
+        bad = "\udc80" <= c <= "\udcff"
+        n = 1 if bad else len(c.encode("utf-8"))
+        out.append((chr(ord(c) - 0xDC00) if bad else c, at * width, n * width))
         at += n
     return out
 
 
-def _percent(found: str) -> list[tuple[str, int, int]] | None:
+def _percent(found: str) -> list[tuple[str, int, int]]:
     return _byte_pieces(bytes.fromhex(found.replace("%", "")), 3)
 
 
 def _escape(found: str) -> list[tuple[str, int, int]] | None:
     if found.startswith("\\x"):
         raw = bytes.fromhex(found.replace("\\x", ""))
-        return _byte_pieces(raw, 4) or [(chr(b), 4 * i, 4) for i, b in enumerate(raw)]
-    if found.startswith("\\u"):
-        units = b"".join(int(u, 16).to_bytes(2, "big") for u in found.split("\\u")[1:])
+        return _byte_pieces(raw, 4)
+    if found[:2] in ("\\u", "%u"):
+        units = b"".join(int(u, 16).to_bytes(2, "big") for u in found.split(found[:2])[1:])
         out, at = [], 0
         for c in units.decode("utf-16-be", "replace"):
             n = 2 if ord(c) > 0xFFFF else 1
@@ -339,7 +336,7 @@ def _walk(start: Layer, limit: int, seen: set) -> Iterator[Layer | None]:
         made = []
         if "%" in layer.text:
             made.append(_replaced(layer, PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
+        if "\\" in layer.text or "&#" in layer.text or "%u" in layer.text:
             made.append(_replaced(layer, ESCAPE, _escape))
         whole = layer.span(0, len(layer.text)) if layer.text else (0, 0)
         out = [x for x in made if x is not None and x.text and new(whole, x.text.encode("utf-8", "replace"))]
