@@ -23,16 +23,18 @@ def _first(values: Column) -> Column:
 def priced_products(offers: DataFrame, offer: str = "offer") -> DataFrame:
     """One row per product: region, family, attributes and its first on-demand price.
 
-    Products and terms are unfolded apart and meet on the sku, so no row carries a whole document.
+    Products and terms are unfolded apart and meet on the sku, so no row carries a whole document. They are merged:
+    Spark sizes both sides by the documents' files and would broadcast what is unfolded from them. Both unfold as outer
+    rows, without the filter on non-empty documents that would parse each document once more ahead of any repartition.
     """
     parsed = offers.select("region", F.from_json(offer, OFFER).alias("o"))
-    products = parsed.select("region", F.explode("o.products").alias("key", "p")).select(
+    products = parsed.select("region", F.explode_outer("o.products").alias("key", "p")).select(
         "region", F.col("p.sku").alias("sku"), F.col("p.productFamily").alias("family"), F.col("p.attributes").alias("a")
     )
-    terms = parsed.select("region", F.explode("o.terms.OnDemand").alias("sku", "t")).select(
+    terms = parsed.select("region", F.explode_outer("o.terms.OnDemand").alias("sku", "t")).select(
         "region", "sku", _first(_first(F.col("t"))["priceDimensions"])["pricePerUnit"]["USD"].try_cast("double").alias("price")
     )
-    return products.filter(F.col("a").isNotNull()).join(terms, ["region", "sku"])
+    return products.filter(F.col("a").isNotNull()).join(terms.hint("merge"), ["region", "sku"])
 
 
 def _is(**wanted: str) -> Column:
