@@ -3,10 +3,12 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tideline import session
 from tideline.functions.numeric import INF, ieee_div
 from tideline.operators import autoscale, timeseries
 
@@ -206,3 +208,32 @@ def test_windows_by_panes_equal_brute_force(spark, range_s, step_s):
         r = got[at]
         assert (r["sum_v"], r["count_v"], r["min_v"], r["max_v"]) == (sum(values), len(values), min(values), max(values))
         assert r["avg_v"] == pytest.approx(sum(values) / len(values)) and now[at] == max(held)[1]
+
+
+def test_rates_sort_samples_once_and_in_as_many_tasks_as_asked(spark):
+    at = [0, 0, 59, 60, 60, 61, 119, 120, 121, 500, 86399, 86400, 86401]
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), float(v)) for s, v in zip(at, [5, 5, 7, 9, 8, 2, 4, 4, 1, 3, 8, 9, 1])]
+    samples = spark.createDataFrame(rows, "pod string, ts timestamp_ntz, value double")
+    found = timeseries.rate(samples, ["pod"], 90, 60, "increase", tasks=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(pod#\d+, _chunk#\d+L, 7\)", plan)
+    # What reduces samples to panes holds flat values in hash tables; only panes are sorted.
+    sorting = [line for line in plan.split("\n") if "SortAggregate" in line]
+    assert sorting and not any("_part#" in line.split("functions")[0] for line in sorting)
+    assert sorted(found.collect()) == sorted(timeseries.rate(samples, ["pod"], 90, 60, "increase").collect())
+
+
+def test_more_rows_make_more_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    scan = spark.range(1000 * cores + 1)
+    assert session.shares(scan, 1000) == cores + 1 and session.shares(scan, 10**6) == cores
+    assert session.spread(scan, cores + 1).rdd.getNumPartitions() == cores + 1 and session.spread(scan) is scan
+
+
+def test_panes_may_run_over_the_ends_of_chunks(spark):
+    rng = random.Random(8)
+    points = [(t, rng.randint(0, 500)) for t in sorted(rng.sample(range(1, 3 * 86400), 400))]
+    got = rates(samples(spark, points), range_s=7000, step_s=3000)
+    for at in range(1800, 3 * 86400, 3000):  # multiples of the step since the epoch
+        want = brute_rate(points, at, 7000)
+        assert got.get(at) == (want if want is None else pytest.approx(want))

@@ -39,13 +39,17 @@ def vectors(
     range_s: float,
     step_s: float,
     lookback_s: float,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Rates of counters, instant values of gauges, and sums and counts over the range, by ``form``."""
+    """Rates of counters, instant values of gauges, and sums and counts over the range, by ``form``.
+
+    ``tasks`` is that of :func:`~tideline.operators.timeseries.rate`.
+    """
     series = ["metric", *labels]
     picked = lambda names: samples.filter(F.col("metric").isin(list(names)))
     out = []
     if counters:
-        out.append(rate(picked(counters), series, range_s, step_s).withColumn("form", F.lit("rate")))
+        out.append(rate(picked(counters), series, range_s, step_s, tasks=tasks).withColumn("form", F.lit("rate")))
     if gauges:
         out.append(instant(picked(gauges), series, step_s, lookback_s).withColumn("form", F.lit("instant")))
     if ranged:

@@ -79,40 +79,47 @@ def with_context(df: DataFrame, us: Column, horizon_s: float, chunk_s: float | N
 
 
 def rate(
-    samples: DataFrame, labels: Sequence[str], range_s: float, step_s: float, kind: str = "rate"
+    samples: DataFrame, labels: Sequence[str], range_s: float, step_s: float, kind: str = "rate", tasks: int | None = None
 ) -> DataFrame:
     """Per-second ``rate`` (or total ``increase``) of counters over a trailing range.
 
     Resets are corrected, at least two samples are needed, and the increase is extrapolated to
     the range's ends: all the way if the gap is below 1.1 mean intervals, else by half an
     interval, and never to below a zero counter.
+
+    The samples of a series and chunk are sorted in one task; ``tasks`` deals them to so many, else the number is Spark's.
     """
     labels = list(labels)
     reach = int(range_s * MICROS)
     raw = samples.select(*labels, micros("ts").alias("_us"), F.col("value").cast("double").alias("_v"))
     order = Window.partitionBy(*labels, "_chunk").orderBy("_us", "_v")
+    placed = with_context(raw, F.col("_us"), range_s)
+    if tasks:
+        placed = placed.repartition(tasks, *labels, "_chunk")
     steps = (
-        with_context(raw, F.col("_us"), range_s)
-        .withColumn("_prev_us", F.lag("_us").over(order))
+        placed.withColumn("_prev_us", F.lag("_us").over(order))
         .withColumn("_prev_v", F.lag("_v").over(order))
         .filter(~F.col("_lent"))
     )
     grew = F.when(F.col("_v") < F.col("_prev_v"), F.col("_v")).otherwise(F.col("_v") - F.col("_prev_v"))
     part = pane(F.col("_us"), range_s, step_s)
-    inside = F.when(pane(F.col("_prev_us"), range_s, step_s) == F.col("_part"), F.col("_grew"))
+    within = F.coalesce(pane(F.col("_prev_us"), range_s, step_s) == F.col("_part"), F.lit(False))
+    inside = F.when(within, F.col("_grew"))
+    # A pane's first sample is the one that doesn't follow another of the pane: flat values, which are aggregated without sorting.
+    first = {name: F.max(F.when(~within, F.col(name))).alias(name) for name in ("_us", "_v", "_prev_us", "_grew")}
     panes = (
         steps.select(*labels, "_us", "_v", "_prev_us", grew.alias("_grew"), part.alias("_part"))
         .groupBy(*labels, "_part")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.max("_us").alias("last"),
-            # The first sample, with its growth since the last one of an earlier pane.
-            F.min(F.struct("_us", "_v", "_prev_us", "_grew")).alias("first"),
             F.sum(inside).alias("inside"),
+            # The first sample, with its growth since the last one of an earlier pane.
+            *first.values(),
         )
+        .select(*labels, "_part", "n", "last", "inside", F.struct(*first).alias("first"))
     )
     border = F.when(F.col("first._prev_us") >= F.col("_at") - reach, F.col("first._grew"))
-    border = F.when(pane(F.col("first._prev_us"), range_s, step_s) != F.col("_part"), border)
     windows = (
         panes.withColumn("_at", F.explode(pane_times(F.col("_part"), range_s, step_s)))
         .withColumn("border", border)

@@ -122,10 +122,10 @@ def _columns(concat) -> dict[str, str]:
     return out
 
 
-def board(spark, sf_dir, name: str) -> DataFrame:
+def board(spark, sf_dir, name: str, tasks: int | None = None) -> DataFrame:
     """``metric, labels..., ts, value`` of a board; unused labels are empty."""
     labels, samples = BOARDS[name]
-    events = spread(views.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props"))
+    events = spread(views.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props"), tasks)
     texts = _columns(lambda prefix, number: f"concat({prefix}, cast({number} as string))")
     k = F.get_json_object("props", "$.k").cast("long")
     minutes = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from tideline.functions.numeric import ieee_div
 from tideline.operators import cost, panels
 from tideline.operators.panels import Term
-from tideline.plans import boards
+from tideline.plans import boards, views
 from tideline.plans.q_control import COST_SQL, COST_VIEWS, fitted, priced_nodes
 from tideline.plans.q_timeseries import grid_sql, instant_sql, quantile_sql, rate_sql
 from tideline.plans.q_timeseries import rounded as rounded_columns
 from tideline.plans.registry import query
 from tideline.plans.views_sql import view
-from tideline.session import materialise
+from tideline.session import materialise, shares
 
 HOUR = 3600
 RANGE = STEP = LOOKBACK = 12 * HOUR
+EVENTS_PER_TASK = 25_000
 
 COUNTERS = {
     "requests": ["requests_total", "latency_bucket", "latency_sum", "latency_count"],
@@ -39,8 +40,10 @@ def board_vectors(spark, sf_dir, name):
     gauges = sorted({metric for metric, _, _ in samples} - set(counters) - set(ranged))
     # CPU series are counted as instants besides their rate.
     gauges += ["cpu_seconds"] if name == "nodes" else []
-    samples = boards.board(spark, sf_dir, name)
-    rows = panels.vectors(samples, labels, counters, gauges, ranged, RANGE, STEP, LOOKBACK)
+    # Each event makes up to 21 samples, which are sorted: more events make more tasks, not larger ones.
+    tasks = shares(views.table(spark, sf_dir, "events"), EVENTS_PER_TASK)
+    samples = boards.board(spark, sf_dir, name, tasks)
+    rows = panels.vectors(samples, labels, counters, gauges, ranged, RANGE, STEP, LOOKBACK, tasks)
     # Recorded once, as recording rules are: a board reads its vectors several times.
     return materialise(rows, "vectors")
 

@@ -82,14 +82,19 @@ def release(spark: SparkSession) -> int:
     return deleted
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def shares(scan: DataFrame, rows: int) -> int:
+    """The number of tasks that hold about ``rows`` rows of a scan each, one per core at least."""
+    return max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // rows))
+
+
+def spread(scan: DataFrame, tasks: int | None = None) -> DataFrame:
     """Give every core a share of a small scan (one file, one task) ahead of heavy per-row work.
 
-    A scan that already has a task per core is returned as it is, so large inputs never shuffle.
-    Pass plain scans and projections of them.
+    A scan that already has a task per core, or as many as ``tasks``, is returned as it is, so large inputs never
+    shuffle unless :func:`shares` asks for it. Pass plain scans and projections of them.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    tasks = tasks or scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
 
 
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
