@@ -75,3 +75,26 @@ def test_equals_the_batch_form(spark, seed):
     query.foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     want = asyncreq.async_status(spark.range(60).withColumnRenamed("id", "request_id"), frame).collect()
     assert last == {r["request_id"]: (r["status"], r["invalid"]) for r in want}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_requests_share_a_bucket(spark, kind):
+    """Python is called, and state kept, per bucket; requests of a bucket begin, end and are forgotten on their own."""
+    big = 2**53
+    turns = [
+        rows(spark, (big + 1, 0, "in_queue"), (big + 2, 5, "in_progress"), (big + 3, 7, "in_queue"), (None, 8, None)),
+        rows(spark, (big + 1, 20, "completed"), (big + 2, 1, "in_queue"), (big + 3, 30, "zzz")),
+        rows(spark, (None, 2000, None), (big + 3, 1990, "completed")),
+        rows(spark, (big + 1, 2500, "failed"), (None, 2400, None)),
+        rows(spark, (None, 20000, None)),
+        rows(spark, (None, 10**6, None)),
+    ]
+    turns = [t.withColumn("request_id", F.col("request_id").cast(kind)) for t in turns]
+    wanted = dict(keep_s=1000, delay_s=60, abandon_s=5000)
+    out, held = tracked(spark, turns, buckets=1, **wanted)
+    apart, _ = tracked(spark, turns, **wanted)
+    assert sorted(map(str, out)) == sorted(map(str, apart)) and max(held) == 1 and held[-1] == 0
+    told = [(int(r["request_id"]) - big, r["status"], r["late"]) for r in out]
+    assert sorted(told, key=str) == sorted(
+        [(1, "in_queue", 0), (1, "completed", 0), (2, "in_progress", 0), (3, "in_queue", 0), (3, None, 0), (3, "completed", 0), (1, None, 1)], key=str
+    )

@@ -70,8 +70,17 @@ def async_status_updates(events: DataFrame, key: str = "request_id") -> DataFram
     return found.select(key, status.alias("status"), invalid.alias("invalid"))
 
 
+#: Groups of requests whose state is kept together; a checkpoint holds on to it.
+BUCKETS = 4096
+
+
 def tracked_status(
-    markers: DataFrame, key: str = "request_id", keep_s: float = 3600, delay_s: float = 600, abandon_s: float = 7 * 86400
+    markers: DataFrame,
+    key: str = "request_id",
+    keep_s: float = 3600,
+    delay_s: float = 600,
+    abandon_s: float = 7 * 86400,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``key, ts, status, invalid, late``: changes of status on a stream of ``(key, ts, marker)``, with bounded state.
 
@@ -81,15 +90,21 @@ def tracked_status(
     without one for ``delay_s`` belong to a request that is forgotten already (or never was) and can't say how it
     stands. They come out as one row with ``late``, their number, and no status; other rows have ``late`` 0. A row without a key
     is a heartbeat that moves the watermark. A request's state is the set of its known markers and one more name. For update mode.
+
+    Python is called per bucket of requests and micro-batch, not per request, which costs far more than its few markers. A call
+    holds the tracked requests of a bucket; ``buckets`` must stay the same for a checkpoint.
     """
     timed = event_time(markers).withWatermark("ts", f"{delay_s} seconds").withColumn("us", F.unix_micros("ts"))
     kind = markers.schema[key].dataType.simpleString()
+    # Heartbeats stay apart, so that no key stands beside nulls.
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
     tracked = (
-        timed.groupBy(key)
+        timed.select(key, "ts", "us", "marker", bucket.alias("_bucket"))
+        .groupBy("_bucket")
         .applyInPandasWithState(
             _track(key, keep_s, delay_s, abandon_s),
             f"`{key}` {kind}, us long, status string, invalid boolean, late long",
-            "found array<string>, odd string, n long, last long, told string",
+            f"name array<{kind}>, found array<int>, odd array<string>, n array<long>, last array<long>, told array<string>, due array<long>",
             "update",
             "EventTimeTimeout",
         )
@@ -99,49 +114,62 @@ def tracked_status(
     return told.select(key, from_micros(F.col("us")).alias("ts"), "status", "invalid", "late")
 
 
-NOTHING = ([], None, 0, 0, None)
+BITS = {name: 1 << i for i, name in enumerate(STATUSES)}
+BEGUN, ENDED = BITS["in_queue"], BITS["completed"] | BITS["failed"]
 
 
 def _track(key: str, keep_s: float, delay_s: float, abandon_s: float):
     columns = [key, "us", "status", "invalid", "late"]
 
-    def due(found, _odd, _n, last: int, _told) -> int:
-        ended = "completed" in found or "failed" in found
-        wait_s = delay_s if "in_queue" not in found else keep_s if ended else abandon_s
+    def due(found: int, last: int) -> int:
+        wait_s = delay_s if not found & BEGUN else keep_s if found & ENDED else abandon_s
         return int(last / 1000 + wait_s * 1000)
 
     def advance(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (name,) = group
-        if name is None:
+        if group[0] < 0:
             return
-        held = state.get if state.exists else NOTHING
-        # Timers ring in micro-batches without rows of their request; with rows, what is due is looked at first.
-        if state.hasTimedOut or (state.exists and due(*held) <= state.getCurrentWatermarkMs()):
-            state.remove()
-            if "in_queue" not in held[0]:
-                yield pd.DataFrame([(name, held[3], None, None, held[2])], columns=columns)
-            held = NOTHING
-        if state.hasTimedOut:
-            return
-        found, odd, n, last, told = held
-        found = set(found)
-        for frame in frames:
-            for marker, us in zip(frame["marker"], frame["us"], strict=True):
+        now, out = state.getCurrentWatermarkMs(), []
+        # By request: known markers, smallest other name, number, time of the last, status told, timer.
+        held = {name: entry for name, *entry in zip(*state.get, strict=True)} if state.exists else {}
+
+        def forget(name) -> None:
+            found, _odd, n, last, _told, _timer = held.pop(name)
+            if not found & BEGUN:
+                out.append((name, last, None, None, n))
+
+        fresh = set()
+        for frame in () if state.hasTimedOut else frames:
+            for name, marker, us in zip(*(frame[c].tolist() for c in (key, "marker", "us")), strict=True):
+                if name not in fresh:
+                    fresh.add(name)
+                    # What is due is looked at before a request's new rows.
+                    if name in held and due(held[name][0], held[name][3]) <= now:
+                        forget(name)
+                    held.setdefault(name, [0, None, 0, 0, None, 0])
                 if marker is None:
                     continue
-                n, last = n + 1, max(last, int(us))
-                if marker in STATUSES:
-                    found.add(marker)
+                entry = held[name]
+                entry[2], entry[3] = entry[2] + 1, max(entry[3], int(us))
+                if marker in BITS:
+                    entry[0] |= BITS[marker]
                 else:
-                    odd = marker if odd is None else min(odd, marker)
-        out = []
-        if "in_queue" in found:
-            status, invalid = status_of(found, odd)
-            if told != f"{status}":
-                out.append((name, last, status, invalid, 0))
-                told = f"{status}"
-        state.update((sorted(found), odd, n, last, told))
-        state.setTimeoutTimestamp(max(due(found, odd, n, last, told), state.getCurrentWatermarkMs() + 1))
+                    entry[1] = marker if entry[1] is None else min(entry[1], marker)
+        for name in [name for name, entry in held.items() if name not in fresh and entry[5] < now]:
+            forget(name)
+        for name in fresh:
+            entry = held[name]
+            found, odd, _n, last, told, _timer = entry
+            if found & BEGUN:
+                status, invalid = status_of([s for s, bit in BITS.items() if found & bit], odd)
+                if told != f"{status}":
+                    out.append((name, last, status, invalid, 0))
+                    entry[4] = f"{status}"
+            entry[5] = max(due(found, last), now + 1)
+        if held:
+            state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+            state.setTimeoutTimestamp(max(min(entry[5] for entry in held.values()), now + 1))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=columns)
 
