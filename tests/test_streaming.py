@@ -2,7 +2,10 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +251,49 @@ def test_batches_without_a_job(spark):
     batches.stream_batches(stream.drop("job"), "i", "x", 4, lambda _c: lambda row: row["items"], path, state)
     rows = spark.read.parquet(path).orderBy("batch_id").collect()
     assert [r["result"] for r in rows] == ["[0, 1, 2, 3]", "[4, 5, 6, 7]", "[8, 9]"]
+
+
+class _State:
+    """The state of one key as a stream hands it over."""
+
+    exists, hasTimedOut, get = True, False, (None, 0, 0, [])
+
+    def __init__(self, watermark_ms):
+        self.getCurrentWatermarkMs = lambda: watermark_ms
+
+    def update(self, value):
+        self.get = value
+
+    def setTimeoutTimestamp(self, at):
+        self.timer = at
+
+
+def _by_one(times):
+    fold = dedupe.Cooldown()
+    return [(us, fold.period) for us in times if fold.see(us)], fold
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_reports_pass_over_what_lies_between(seed):
+    draw, at, times = random.Random(seed), 10**15, []
+    for _ in range(400):
+        at += int(draw.choice([1, 10**6, 5 * 10**6, 6 * 10**7, 86_400 * 10**6, 86_400 * 10**6 + 1]) * draw.choice([1, 1, draw.random()]))
+        times.append(at)
+    times = sorted(set(times))
+    cut = draw.randint(0, len(times))
+    want, last = _by_one(times)
+    fold = dedupe.Cooldown()
+    got = [*dedupe._reported(fold, np.array(times[:cut], "int64")), *dedupe._reported(fold, np.array(times[cut:], "int64"))]
+    assert got == want and (fold.reported, fold.seen, fold.period) == (last.reported, last.seen, last.period)
+
+
+def test_a_busy_key_holds_its_times_in_arrays():
+    frames = [pd.DataFrame({"us": range(10**15 + i * 10**10, 10**15 + (i + 1) * 10**10, 500_000)}) for i in range(15)]
+    want = _by_one([us for f in frames for us in f["us"]])[0]
+    state = _State((10**15 + 15 * 10**10) // 1000)
+    tracemalloc.start()
+    (found,) = dedupe._advance(("error",), iter(frames), state)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["us"].tolist() == [us for us, _ in want] and state.get[3] == []
+    assert peak < 8 * 6 * sum(map(len, frames))

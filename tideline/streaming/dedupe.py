@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,24 +170,38 @@ def stream_dedupe_errors(errors: DataFrame, any_message: bool = False, delay: st
     return folded.select("key", from_micros(F.col("us")).alias("ts"), "cooldown_s")
 
 
+def _reported(fold: Cooldown, times: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(time, period) of the reports among sorted distinct times; what lies between two reports is passed over at once."""
+    gaps = np.flatnonzero(np.diff(times, prepend=fold.seen) > EVICT_S * MICROS)
+    at = 0
+    while at < len(times):
+        if fold.reported is not None:
+            gap = np.searchsorted(gaps, at)
+            after = np.searchsorted(times, fold.reported + fold.period, "right")
+            at = max(at, min(after, gaps[gap] if gap < len(gaps) else after))
+            fold.seen = int(times[at - 1]) if at else fold.seen
+        if at < len(times) and fold.see(int(times[at])):
+            yield fold.reported, fold.period
+        at += 1
+
+
 def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     if key[0] is None:
         return
     *held, waiting = state.get if state.exists else (None, 0, 0, [])
-    fold, waiting = Cooldown(*held), set(waiting)
+    # Times stand in arrays: as Python numbers in a set, those of a busy key's micro-batch would take some fifteen times the memory.
+    fold, times = Cooldown(*held), [np.array(waiting, "int64")]
     if not state.hasTimedOut:
-        for frame in frames:
-            waiting.update(int(us) for us in frame["us"])
+        times += [frame["us"].astype("int64").to_numpy() for frame in frames]
+    times = np.unique(np.concatenate(times))
     passed = state.getCurrentWatermarkMs() * 1000
-    out = []
-    for us in sorted(t for t in waiting if t <= passed):
-        if fold.see(us):
-            out.append((key[0], us, fold.period / MICROS))
-    waiting = sorted(t for t in waiting if t > passed)
+    here = np.searchsorted(times, passed, "right")
+    out = [(key[0], us, period / MICROS) for us, period in _reported(fold, times[:here])]
+    times = times[here:]
     # The state is looked at again when its next row is due, or when the key may be forgotten.
-    due = (waiting[0] if waiting else fold.seen + EVICT_S * MICROS) // 1000 + 1
+    due = (int(times[0]) if len(times) else fold.seen + EVICT_S * MICROS) // 1000 + 1
     if due * 1000 > passed:
-        state.update((fold.reported, fold.seen, fold.period, waiting))
+        state.update((fold.reported, fold.seen, fold.period, times.tolist()))
         state.setTimeoutTimestamp(due)
     elif state.exists:
         state.remove()
