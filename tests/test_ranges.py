@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import tracemalloc
 
 import pytest
 
@@ -106,3 +107,41 @@ def test_the_plan_shuffles_no_text(spark, folder):
     plan = items.read_ndjson(spark, str(folder[0]), on_error="flag")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan.split("Exchange")[0]  # text appears after the last shuffle only
     assert "monotonically_increasing_id" not in plan
+
+
+def test_values_of_a_range_are_read_as_a_stream(tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCK", 1 << 16)
+    path = tmp_path / "values.json"
+    path.write_text("".join(f'{{\n "n": {i},\n "text": "{"x" * 40}"\n}} 17\n' for i in range(60_000)))
+    tracemalloc.start()
+    n = sum(valid for _, valid in ranges._values(str(path), 0, path.stat().st_size, ranges.END, 0, 0, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 120_000 and peak < 3 << 20
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("later", [None, -1, 0, 1, 3])
+def test_groups_begin_where_the_depth_never_falls_again(tmp_path, monkeypatch, seed, later):
+    monkeypatch.setattr(ranges, "BLOCK", 64)
+    draw = random.Random(seed)
+    lines = [draw.choice(["{", "[", "{}", "[1]", "}", "]", " {", " }", '"a"', "7", "", "{[", "]}"]) for _ in range(draw.randint(1, 60))]
+    path = tmp_path / "lines.json"
+    path.write_text("\n".join(lines) + "\n")
+    begun = []
+    monkeypatch.setattr(ranges, "_decoded", lambda group: begun.append([line.decode() for line in group]) or [])
+    size = path.stat().st_size
+    list(ranges._values(str(path), 0, size, size, 0, 0, later))
+    # By lists of the whole range.
+    kept = [line for line in lines if line.strip()]
+    deltas = [sum((c in "{[") - (c in "}]") for c in line) for line in kept]
+    after = [min([sum(deltas[: j + 1]) for j in range(i, len(kept))] + ([] if later is None else [later])) for i in range(len(kept))]
+    want, group, depth, lowest = [], [], 0, 0
+    for i, line in enumerate(kept):
+        if group and (depth <= lowest or (line[:1] in "{[" and depth <= after[i])):
+            want.append(group)
+            group = []
+        group.append(line)
+        depth += deltas[i]
+        lowest = min(lowest, depth)
+    assert begun == [*want, group]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -218,7 +219,7 @@ def read_values(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     value that was never closed, this is where reading goes on. A range reads the groups that begin in it, the last one
     past its end; values are decoded group by group, what can't be decoded is one invalid item to the end of its group.
     The files are read twice; what is written are the decoded items, once, with their place in the range. A task
-    holds a range.
+    holds a block and a group of lines.
     """
     ranges, number = byte_ranges(spark, paths)
     known = _summarised(ranges, _profile, PROFILE).filter("n > 0")
@@ -267,17 +268,41 @@ def read_values(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def _standing(file: str, begin: int, end: int, depth: int, lowest: int, later: int | None) -> array:
+    """Offsets of the lines of [begin, end) that begin with a bracket above the lowest depth, and below whose depth the file never falls again."""
+    offsets, depths = array("q"), array("q")
+    for at, line, delta in _profiled(file, begin, end):
+        if depth > lowest and line[:1] in b"{[":
+            offsets.append(at)
+            depths.append(depth)
+        depth += delta
+        lowest = min(lowest, depth)
+        while depths and depths[-1] > depth:
+            offsets.pop()
+            depths.pop()
+    while depths and later is not None and depths[-1] > later:
+        offsets.pop()
+        depths.pop()
+    return offsets
+
+
 def _values(file: str, begin: int, end: int, to: int, depth: int, lowest: int, later: int | None) -> Iterator[tuple[str, bool]]:
-    """The values of the groups that begin in [begin, end); the last group goes on up to ``to``."""
-    lines = [(line, delta) for _, line, delta in _profiled(file, begin, end)]
-    after = [later] * (len(lines) + 1)  # the lowest depth from a line on
-    at = depth + sum(d for _, d in lines)
-    for i in range(len(lines) - 1, -1, -1):
-        after[i] = at if after[i + 1] is None else min(at, after[i + 1])
-        at -= lines[i][1]
+    """The values of the groups that begin in [begin, end); the last group goes on up to ``to``.
+
+    Lines are read as a stream. Whether a bracket above the lowest depth begins a group depends on all lines after it: where there
+    is one, the rest of the range is read once ahead.
+    """
     group: list[bytes] = []
-    for i, (line, delta) in enumerate(lines):
-        if group and (depth <= lowest or (line[:1] in b"{[" and depth <= after[i])):
+    standing, place = None, 0
+    for at, line, delta in _profiled(file, begin, end):
+        begins = depth <= lowest
+        if not begins and line[:1] in b"{[":
+            if standing is None:
+                standing = _standing(file, at, end, depth, lowest, later)
+            while place < len(standing) and standing[place] < at:
+                place += 1
+            begins = place < len(standing) and standing[place] == at
+        if group and begins:
             yield from _decoded(group)
             group = []
         group.append(line)
