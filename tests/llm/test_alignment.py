@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import sys
 
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -145,6 +147,57 @@ def test_memory_of_words_is_bounded(monkeypatch):
     assert len(PAIR.known) <= 10 and len(PAIR.older) <= 10
 
 
+def test_words_cost_few_calls():
+    """Python calls: a few for a new word, none for a known one."""
+    words = ["".join(w) for w in itertools.product("abcde", repeat=6)]
+    PAIR.known.clear()
+    PAIR.older.clear()
+    PAIR.align(["x"])  # opens the files
+
+    def calls(text):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event.endswith("call")
+
+        sys.setprofile(count)
+        try:
+            (found,) = PAIR.align([text])
+        finally:
+            sys.setprofile(None)
+        assert found.groups() == told(by_bytes(text))
+        return n
+
+    assert calls(" ".join(words)) < 12 * len(words)
+    assert calls(" ".join(words * 3)) < len(words)
+
+
+def test_failed_words_are_not_remembered(monkeypatch):
+    def fails(pieces):
+        raise RuntimeError
+
+    PAIR.known.clear()
+    PAIR.older.clear()
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(PAIR, "stretches", fails)
+        PAIR.align(["words of a failed try"])
+    same("words of a failed try")
+
+
+def test_remembered_wide_groups(monkeypatch):
+    """Columns of words that move on to the next ten, large groups among them."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 10)
+    monkeypatch.setattr(alignment, "WIDE", 1)
+    PAIR.known.clear()
+    PAIR.older.clear()
+    for i in range(60):
+        same(f"thesreer ciónezjaque undvereinpf{i % 7} Whin. word{i} ciónezjaque " + "=- " * (i % 3))
+    assert PAIR.known.wide and PAIR.older.wide
+    PAIR.known.clear()  # these words are as if of another setting
+    PAIR.older.clear()
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     table = h.documents(spark, sf)

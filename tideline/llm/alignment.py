@@ -50,25 +50,73 @@ BORDER = re.compile("(?<=[!-~¡-¬®-ſ]) (?=[!-~¡-¬®-ſ])")
 JOINED = re.compile("[!-~¡-¬®-ſ](?:.*[!-~¡-¬®-ſ])?", re.DOTALL)
 #: Stretches of up to so many characters are remembered, up to twice so many of them.
 SHORT, REMEMBERED = 48, 250_000
-#: Characters of texts that are aligned at a time.
-TOGETHER = 1 << 20
+#: Characters of texts that are aligned at a time, and stretches that are encoded together.
+TOGETHER, ENCODED = 1 << 20, 500
 #: A group of more links than this has its equal ids counted before they are paired.
 WIDE = 4096
 
 
-#: Aligned tokens of one stretch of text, a plain tuple for the garbage collector's sake: numbers of tokens of either side,
-#: of groups and of links, the groups in words, links as 64-bit pair numbers, and links of large groups as (pairs, times).
+#: Aligned tokens of one stretch of text: numbers of tokens of either side, of groups and of links, the groups in words,
+#: links as 64-bit pair numbers, and links of large groups as (pairs, times).
 Stretch = tuple[int, int, int, int, str, bytes, tuple[tuple[np.ndarray, np.ndarray], ...]]
 
 
+class Known(dict):
+    """Numbers of stretches, and columns of what is known of each number.
+
+    Texts look their stretches up by number and column, so that a known one costs no Python step of its own.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+        self.counts = np.zeros((0, 4), dtype=np.int64)  # without groups: not given back byte for byte
+        self.told, self.links = np.zeros(0, dtype=object), np.zeros(0, dtype=object)
+        self.wide: dict[int, tuple] = {}
+
+    def room(self, n: int) -> np.ndarray:
+        """Numbers for as many more, whose columns :meth:`put` and :meth:`take` fill."""
+        first, self.size = self.size, self.size + n
+        if self.size > len(self.told):
+            more = max(self.size, 2 * len(self.told)) - len(self.told)
+            self.counts = np.concatenate([self.counts, np.zeros((more, 4), dtype=np.int64)])
+            self.told, self.links = (np.concatenate([c, np.zeros(more, dtype=object)]) for c in (self.told, self.links))
+        return np.arange(first, self.size)
+
+    def empty(self, at: list[int]) -> None:
+        self.told[at] = self.links[at] = None
+        for n in at:
+            self.wide.pop(n, None)
+
+    def put(self, at: np.ndarray, parts: list[Stretch | None]) -> None:
+        columns = list(zip(*[(0, 0, 0, 0, "", b"", ()) if p is None else p for p in parts], strict=True))
+        self.counts[at] = np.array(columns[:4], dtype=np.int64).T
+        self.told[at], self.links[at] = columns[4:6]
+        self.wide.update((n, w) for n, w in zip(at.tolist(), columns[6], strict=True) if w)
+
+    def take(self, at: np.ndarray, other: Known, there: np.ndarray) -> None:
+        self.counts[at], self.told[at], self.links[at] = other.counts[there], other.told[there], other.links[there]
+        if other.wide:
+            self.wide.update((n, other.wide[o]) for n, o in zip(at.tolist(), there.tolist(), strict=True) if o in other.wide)
+
+
+def filled(told: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``ends`` where these are ``told``; from there on tokens add their ``sizes``."""
+    own = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(told, np.arange(len(told)), -1))
+    return own + np.where(last < 0, 0, (ends - own)[last])
+
+
 class Pair:
     """The two tokenizers, opened from their files in each worker."""
 
     def __init__(self, byte_level: str, pieces: str):
         self.byte_level, self.pieces = byte_level, pieces
         self.a = self.b = None
-        self.known: dict[str, Stretch | None] = {}
-        self.older: dict[str, Stretch | None] = {}
+        self.known, self.older = Known(), Known()
 
     def __reduce__(self):
         return pair_of, (self.byte_level, self.pieces)
@@ -92,49 +140,49 @@ class Pair:
         self.b_bytes = [
             bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)
         ]
+        self.a_size, self.b_size = (np.array([len(b) for b in side]) for side in (self.a_bytes, self.b_bytes))
+        # Ids in words, each before the next of its side and as the last of its group.
+        self.said = np.array(
+            [f"{i}{mark}" for n, marks in ((len(self.a_bytes), ",|"), (len(names), ",;")) for i in range(n) for mark in marks],
+            dtype=object,
+        )
+        self.said_size = np.array([len(s) for s in self.said])
         stored = json.loads(self.a.to_str())
         splits = stored["pre_tokenizer"] or {}
         plain = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
         self.splits = plain and not stored["normalizer"] and not any("▁" in n.lstrip("▁") for n in names)
 
-    def ends_a(self, text: str, raw: bytes) -> tuple[list[int], list[int]] | None:
+    def ends_a(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of the byte-level tokens and the byte at which each ends; None where their bytes are not the text's.
 
         Character offsets tell the ends between characters. Tokens that share a character overlap in their offsets; these
         end where the bytes that they decode to end.
         """
         code = self.a.encode(text, add_special_tokens=False)
-        ids, offsets = code.ids, code.offsets
-        if b"".join([self.a_bytes[i] for i in ids]) != raw:
+        ids = code.ids
+        if b"".join(map(self.a_bytes.__getitem__, ids)) != raw:
             return None
+        starts, stops = spans(code.offsets)
+        ids = np.array(ids, dtype=np.int64)
         if len(raw) == len(text):  # no token shares a character
-            return ids, [stop for _, stop in offsets]
+            return ids, stops
         leads = np.frombuffer(raw, dtype=np.uint8)  # byte positions of characters
-        at = [*np.flatnonzero((leads & 0xC0) != 0x80).tolist(), len(raw)]
-        ends, end = [], 0
-        following = [start for start, _ in offsets[1:]] + [len(text)]
-        for i, (_, stop), start in zip(ids, offsets, following, strict=True):
-            if stop <= start:
-                end = at[stop]
-            else:
-                end += len(self.a_bytes[i])
-            ends.append(end)
-        return ids, ends
-
-    def ends_b(self, text: str, raw: bytes) -> tuple[list[int], list[int]] | None:
-        """The same for the pieces, from the byte spans of their proto; these count without the space before the text.
+        at = np.append(np.flatnonzero((leads & 0xC0) != 0x80), len(raw))
+        return ids, filled(stops <= np.append(starts[1:], len(text)), at[stops], self.a_size[ids])
+
+    def ends_b(self, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for the pieces, from their byte spans; these count without the space before the text.
 
         Byte pieces but the last of a character have an empty span, as has the added space: their decoded bytes
-        tell their ends. ``proto`` is what the installed release calls the immutable proto of earlier ones.
+        tell their ends.
         """
-        found = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
-        if b"".join([self.b_bytes[i] for i, _, _ in found]) != raw:
+        found = self.b.encode(raw[1:], return_type="offset_mapping")
+        ids = found["ids"]
+        if b"".join(map(self.b_bytes.__getitem__, ids)) != raw:
             return None
-        ends, end = [], 0
-        for i, start, stop in found:
-            end = stop + 1 if stop > start else end + len(self.b_bytes[i])
-            ends.append(end)
-        return [i for i, _, _ in found], ends
+        starts, stops = spans(found["offsets"])
+        ids = np.array(ids, dtype=np.int64)
+        return ids, filled(stops > starts, stops + 1, self.b_size[ids])
 
     def stretches(self, pieces: list[str]) -> list[Stretch | None]:
         """The groups of each piece, all of them encoded as one text; None where either side doesn't give it back byte for byte.
@@ -144,11 +192,11 @@ class Pair:
         text = " ".join(pieces)
         spaced = " " + text
         raw = spaced.encode()
-        left, right = self.ends_a(spaced, raw), self.ends_b(text, raw)
+        left, right = self.ends_a(spaced, raw), self.ends_b(raw)
         if left is None or right is None:
             half = len(pieces) // 2
             return self.stretches(pieces[:half]) + self.stretches(pieces[half:]) if half else [None]
-        (a, ends_a), (b, ends_b) = ([np.array(x, dtype=np.int64) for x in side] for side in (left, right))
+        (a, ends_a), (b, ends_b) = left, right
         common, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         borders = np.cumsum([len(p.encode()) + 1 for p in pieces])
         last = np.searchsorted(common, borders)
@@ -159,9 +207,14 @@ class Pair:
         size_a, size_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
         first_a, first_b = stop_a - size_a, stop_b - size_b
         links = size_a * size_b
-        told = [f"{x}|{y}" for x, y in zip(a[first_a].tolist(), b[first_b].tolist(), strict=True)]
-        for g in np.flatnonzero(links > 1).tolist():
-            told[g] = "|".join(",".join(map(str, x)) for x in (a[first_a[g] : stop_a[g]].tolist(), b[first_b[g] : stop_b[g]].tolist()))
+        # A token in words stands after the tokens of its side so far, and the other side's of whole groups.
+        places = np.zeros(len(a) + len(b), dtype=np.int64)
+        places[np.arange(len(a)) + np.repeat(first_b, size_a)] = 2 * a
+        places[np.arange(len(b)) + np.repeat(stop_a, size_b)] = 2 * (b + len(self.a_bytes))
+        places[stop_a + first_b - 1] += 1
+        places[stop_a + stop_b - 1] += 1
+        told = "".join(self.said[places].tolist())
+        told_to = np.cumsum(self.said_size[places])[(stop_a + stop_b)[last] - 1].tolist()
         # Link k of a group is its token k // size_b on one side and k % size_b on the other.
         own = np.where(links <= WIDE, links, 0)
         upto = np.cumsum(own)
@@ -174,48 +227,74 @@ class Pair:
             y, m = np.unique(b[first_b[g] : stop_b[g]], return_counts=True)
             piece = int(np.searchsorted(last, g))
             wide.setdefault(piece, []).append(((x[:, None] << B_BITS | y[None]).ravel(), (n[:, None] * m[None]).ravel()))
-
-        def each(total: np.ndarray) -> list[int]:
-            return np.diff(total[last], prepend=0).tolist()
-
-        counts = zip(each(stop_a), each(stop_b), each(np.arange(1, len(common) + 1)), each(np.cumsum(links)), strict=True)
-        out: list[Stretch | None] = []
-        group = link = 0
-        for piece, (n, to, ends) in enumerate(zip(counts, (last + 1).tolist(), upto[last].tolist(), strict=True)):
-            out.append((*n, ";".join(told[group:to]), pairs[link:ends].tobytes(), tuple(wide.get(piece, ()))))
-            group, link = to, ends
-        return out
+        totals = (stop_a, stop_b, np.arange(1, len(common) + 1), np.cumsum(links))
+        counts = [np.diff(t[last], prepend=0).tolist() for t in totals]
+        links_to, linked = (8 * upto[last]).tolist(), pairs.tobytes()
+        in_words = [told[at : to - 1] for at, to in zip([0, *told_to], told_to)]
+        in_bytes = [linked[at:to] for at, to in zip([0, *links_to], links_to)]
+        wides = [tuple(wide.get(piece, ())) for piece in range(len(pieces))]
+        return list(zip(*counts, in_words, in_bytes, wides, strict=True))
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Numbers of the pieces, and which of these are not remembered. Pieces that no text had before are encoded together, once."""
+        numbers = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = numbers < 0
+        unknown = list(itertools.compress(pieces, missing.tolist()))
+        fresh = list(dict.fromkeys(unknown))
+        if self.known.size and self.known.size + len(fresh) > REMEMBERED:  # the words used last stay
+            self.known, self.older = Known(), self.known
+            return self.learn(pieces)
+        at = self.known.room(len(fresh))
+        there = np.fromiter(map(self.older.get, fresh, itertools.repeat(-1)), np.int64, len(fresh))
+        had = there >= 0
+        self.known.take(at[had], self.older, there[had])
+        joined, alone = [], []
+        for n in np.flatnonzero(~had).tolist():
+            (joined if self.splits and JOINED.fullmatch(fresh[n]) else alone).append(n)
+        for some in [*([n] for n in alone), *(joined[k : k + ENCODED] for k in range(0, len(joined), ENCODED))]:
+            self.known.put(at[some], self.stretches([fresh[n] for n in some]))
+        given = dict(zip(fresh, at.tolist(), strict=True))
+        numbers[missing] = np.fromiter(map(given.__getitem__, unknown), np.int64, len(unknown))
+        long = [given.pop(p) for p in fresh if len(p) > SHORT]
+        self.known.update(given)
+        return numbers, long
 
     def align(self, texts: list[str | None]) -> list[Aligned | None]:
         """The groups of each text; None where it has no tokens.
 
         A text falls apart at borders that tokens of neither side cross, so its alignment is that of its pieces, words
-        mostly. Those that no text had before are encoded together, once; short ones are remembered for later texts.
+        mostly. Short ones are remembered for later texts.
         """
         self.open()
         cut = [(BORDER.split(t) if self.splits else [t]) if t else [] for t in texts]
-        fresh: dict[str, Stretch | None] = {}
-        for piece in itertools.chain.from_iterable(cut):
-            if piece not in self.known and piece not in fresh:
-                fresh[piece] = self.older.get(piece, 0)
-        new = [p for p, part in fresh.items() if part == 0]
-        joined = [p for p in new if JOINED.fullmatch(p)] if self.splits else []
-        for at in range(0, len(joined), 10_000):
-            some = joined[at : at + 10_000]
-            fresh.update(zip(some, self.stretches(some), strict=True))
-        for piece in new:
-            if fresh[piece] == 0:
-                fresh[piece] = self.stretches([piece])[0]
-        out: list[Aligned | None] = []
-        for pieces in cut:
-            parts = [fresh[p] if p in fresh else self.known[p] for p in pieces]
-            out.append(Aligned(parts) if parts and None not in parts else None)
-        if len(self.known) + len(fresh) > REMEMBERED:  # the words used last stay
-            self.known, self.older = {}, self.known
-        self.known.update((p, part) for p, part in fresh.items() if len(p) <= SHORT)
+        pieces = list(itertools.chain.from_iterable(cut))
+        out: list[Aligned | None] = [None] * len(texts)
+        if not pieces:
+            return out
+        numbers, long = self.learn(pieces)
+        known = self.known
+        counts, told, links = known.counts[numbers], known.told[numbers].tolist(), known.links[numbers].tolist()
+        whole = [k for k, c in enumerate(cut) if c]
+        stops = np.cumsum([len(cut[k]) for k in whole])
+        starts = np.append(0, stops[:-1])
+        sums = np.add.reduceat(counts, starts).tolist()
+        given = (np.minimum.reduceat(counts[:, 2], starts) > 0).tolist()
+        many = np.flatnonzero(counts[:, 3] > WIDE) if known.wide else np.zeros(0, dtype=np.int64)
+        for k, start, stop, total, good in zip(whole, starts.tolist(), stops.tolist(), sums, given, strict=True):
+            if good:
+                own = many[np.searchsorted(many, start) : np.searchsorted(many, stop)] if len(many) else many
+                wide = [w for n in numbers[own].tolist() for w in known.wide.get(n, ())]
+                out[k] = Aligned(*total, ";".join(told[start:stop]), b"".join(links[start:stop]), wide)
+        known.empty(long)
         return out
 
 
+def spans(offsets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops."""
+    flat = np.fromiter(itertools.chain.from_iterable(offsets), np.int64, 2 * len(offsets))
+    return flat[::2], flat[1::2]
+
+
 def pair_of(byte_level: str, pieces: str) -> Pair:
     """One pair for all tasks of a worker, so that its tables are built and its words are aligned once.
 
@@ -231,14 +310,13 @@ def pair_of(byte_level: str, pieces: str) -> Pair:
 class Aligned:
     """The aligned stretches of a text in a row."""
 
-    def __init__(self, stretches: list[Stretch]):
-        columns = list(zip(*stretches, strict=True))
-        self.n_a, self.n_b, self.n_groups, self.n_links = map(sum, columns[:4])
-        self.told, self.links, self.wide = columns[4:]
+    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, told: str, links: bytes, wide: list):
+        self.n_a, self.n_b, self.n_groups, self.n_links = n_a, n_b, n_groups, n_links
+        self.told, self.links, self.wide = told, links, wide
 
     def groups(self) -> str:
         """``a1,a2|b1;a3|b2,b3``."""
-        return ";".join(self.told)
+        return self.told
 
     def digest(self) -> str:
         return hashlib.sha256(self.groups().encode()).hexdigest()
@@ -249,12 +327,11 @@ class Aligned:
         A group's links are all pairs of its tokens. Where these are many, equal ids of a side have been counted first,
         so that a long stretch of few distinct tokens costs those, not the square of its length.
         """
-        links = np.frombuffer(b"".join(self.links), dtype=np.int64)
+        links = np.frombuffer(self.links, dtype=np.int64)
         found, times = np.unique(links, return_counts=True)
-        wide = [w for part in self.wide for w in part]
-        if wide:
-            found, place = np.unique(np.concatenate([found, *(p for p, _ in wide)]), return_inverse=True)
-            n = np.concatenate([times, *(t for _, t in wide)])
+        if self.wide:
+            found, place = np.unique(np.concatenate([found, *(p for p, _ in self.wide)]), return_inverse=True)
+            n = np.concatenate([times, *(t for _, t in self.wide)])
             times = np.zeros(len(found), dtype=np.int64)
             np.add.at(times, place, n)
         return found, times
