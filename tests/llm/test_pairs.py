@@ -235,3 +235,21 @@ def test_pieces_of_a_long_text(monkeypatch):
     lead = lambda s: {(a, w): (h, a + o) for h, f, n, o in zip(*s) for a in [f] for w in range(n)}
     windows = lambda s: {f + k: f + o for h, f, n, o in zip(*s) for k in range(n)}
     assert windows(whole) == windows(parts) and len(lead(whole))
+
+
+def test_anchors_come_to_the_driver_as_words_of_bits(spark, monkeypatch):
+    draw = random.Random(7)
+    numbers = [draw.getrandbits(64) - (1 << 63) & ~0xFFFF00 for _ in range(4000)] + [-1, (1 << 63) - 1, -(1 << 63)]
+    anchors = spark.createDataFrame([(x,) for x in numbers], "anchor long")
+    came, plain = [], type(anchors).toArrow
+    monkeypatch.setattr(type(anchors), "toArrow", lambda self: came.append(plain(self)) or came[-1])
+    monkeypatch.setattr(type(anchors), "toPandas", lambda self: pytest.fail("a row for each anchor"))
+    want = np.zeros(1 << (suffix.SLOTS - 3), dtype=np.uint8)
+    for x in numbers:
+        want[(x & 0xFFFFFF) >> 3] |= 1 << (x & 7)
+    assert (suffix._filter(anchors) == want).all() and not suffix._filter(anchors.limit(0)).any()
+    assert came[0].num_rows == 5
+    texts = ["a" * 30 + "".join(draw.choice("abcd") for _ in range(100)) for _ in range(20)]
+    docs = spark.createDataFrame([(t + t[::-1],) for t in [*texts, texts[3][40:] + "b" * 60]], "text string")
+    got = {r.text: bytes(r.kept) for r in suffix.remove_repeats(docs, "text", length=40, gram=16).collect()}
+    assert got == {r.decode(): bytes(b for b, m in zip(r, mask) if not m) for r, mask in h.repeats([r.text for r in docs.collect()], 40)}

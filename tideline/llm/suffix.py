@@ -161,10 +161,22 @@ def _anchored(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     return docs.select(text).mapInPandas(run, schema)
 
 
-def _contexts(docs: DataFrame, text: str, length: int, gram: int, slots: np.ndarray) -> DataFrame:
-    """(anchor, whole, lead, context): the bytes of the stretches whose anchor may be in ``slots``."""
-    bits = np.zeros(1 << (SLOTS - 3), dtype=np.uint8)
-    np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+def _filter(anchors: DataFrame) -> np.ndarray:
+    """The bits of the anchors' numbers, eight to a byte.
+
+    They are set in words of 64 by the tasks, so at most 2^(SLOTS - 6) words come to the driver, whatever the corpus. They come as
+    columns: a collected row would take many times its bytes.
+    """
+    slot = F.col("anchor").bitwiseAND((1 << SLOTS) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    words = anchors.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    held = np.zeros(1 << (SLOTS - 6), dtype="<i8")
+    held[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return held.view(np.uint8)
+
+
+def _contexts(docs: DataFrame, text: str, length: int, gram: int, bits: np.ndarray) -> DataFrame:
+    """(anchor, whole, lead, context): the bytes of the stretches whose anchor may be in ``bits``."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,10 +321,9 @@ def remove_repeats(
     )
     kinds = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     shared = materialise(counted.join(kinds, "anchor"), "shared")
-    # At most 2^SLOTS numbers, whatever the corpus; a full filter only lets more contexts through to the join below.
-    slots = shared.select(F.col("anchor").bitwiseAND((1 << SLOTS) - 1).alias("slot")).distinct().toPandas()
+    # A full filter only lets more contexts through to the join below.
     contexts = (
-        _contexts(own, text, length, gram, slots["slot"].to_numpy(dtype=np.int64))
+        _contexts(own, text, length, gram, _filter(shared))
         .groupBy("anchor", "whole")
         .agg(F.first("lead").alias("lead"), F.first("context").alias("context"))
     )
