@@ -1,5 +1,6 @@
 """Small-world graphs against brute force over all pairs."""
 
+import io
 import os
 import sys
 
@@ -8,6 +9,7 @@ import numpy as np
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as h  # noqa: E402
 
+from tideline import session  # noqa: E402
 from tideline.llm import hnsw  # noqa: E402
 from tideline.llm.catalog import QUERIES  # noqa: E402
 
@@ -119,3 +121,36 @@ def test_few_links_are_found(spark):
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
     got = found(df, shards=2, audit=4, breadth=1, target=1.0)
     assert len(want) > 20 and {i for i in range(40) if got[i][0]} == want
+
+
+def test_graphs_travel_in_pieces(spark, monkeypatch):
+    draw = np.random.RandomState(6)
+    centres = draw.normal(size=(20, 16))
+    rows = [c + 0.1 * draw.normal(size=16) for c in centres for _ in range(30)]
+    vectors = [[float(x) for x in r] for r in rows]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(hnsw, "PIECE", 4096)
+    made = len(session._made)
+    assert found(df, target=1.0, shards=2, chunk=200) == brute(list(range(len(vectors))), vectors)
+    path = next(p for p in session._made[made:] if "/graphs-" in p)
+    graphs = spark.read.parquet(path).toPandas()
+    assert graphs["graph"].str.len().max() <= 4096 and len(graphs) > 20
+    assert max(len(g) for _, g in graphs.groupby(spark.read.parquet(path).selectExpr("input_file_name() as f").toPandas()["f"])) <= hnsw.PIECES
+
+
+def test_dense_queries_are_asked_by_halves(monkeypatch):
+    draw = np.random.RandomState(7)
+    unit = (np.ones(16) + 0.1 * draw.normal(size=(400, 16))).astype(np.float32)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    monkeypatch.setattr(hnsw, "MOST", 1000)
+    monkeypatch.setattr(hnsw, "SLICE", 4096)
+    held = np.load(io.BytesIO(hnsw.Graph(unit).packed()))
+    graph = hnsw.Graph.unpacked(held, unit)
+    want = set(zip(*(x.tolist() for x in np.nonzero(unit[:50] @ unit.T >= 0.9))))
+    assert len(want) > 15_000
+    for breadth in (32, 400):
+        parts = [*graph.parts(unit[:50], 0.9, breadth)]
+        assert all(len(rows) <= 1000 or len(set(rows.tolist())) == 1 for rows, _ in parts)
+        assert sum(len(rows) for rows, _ in parts) == len(want)
+        assert {(a, b) for rows, nodes in parts for a, b in zip(rows.tolist(), nodes.tolist())} == want
+    assert hnsw.audited(graph, unit[:50], 0.9, 1.0, 32) == (32, 1.0)

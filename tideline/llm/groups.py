@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+def runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """The runs of equal ``keys``, also where one spans several batches; one run at a time is held."""
     held: list[pd.DataFrame] = []
     mark = None
@@ -24,8 +24,9 @@ def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.D
         for at, end in zip(starts, [*starts[1:], len(batch)], strict=True):
             here = tuple(v[at] for v in values)
             if held and here != mark:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
+                whole, held = pd.concat(held) if len(held) > 1 else held[0], []
+                yield whole
+                del whole
             mark = here
             held.append(batch.iloc[at:end])
     if held:
@@ -44,7 +45,7 @@ def map_groups(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready, n = [], 0
-        for group in _runs(batches, names):
+        for group in runs(batches, names):
             out = fn(group)
             if len(out):
                 ready.append(out)

@@ -10,8 +10,9 @@ are held against brute force over the shard, and the beam doubles until the reca
 exact. Where the sample has too few links, vectors turned away from nodes of the shard, up to the threshold, add to it. Every vector then asks every shard. Cosines are verified in double precision, links are counted in the
 tasks, and only a spanning forest of them, a row per vector touched, leaves for the components.
 
-A shard is bounded by bytes, so a task holds one graph and a batch of queries. Asking every shard makes the work grow with
-vectors times shards.
+A shard is bounded by bytes, so a task holds one graph and a batch of queries. Graphs travel in pieces, so no row, Arrow batch
+or file is as large as a graph, and queries that meet very many nodes are asked a few at a time. Asking every shard makes the work
+grow with vectors times shards.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import connected_components, forest
-from tideline.session import materialise
+from tideline.llm.groups import runs
+from tideline.session import bound_batches, fresh_path, materialise
 
 #: Queries that walk a graph side by side.
 BATCH = 256
@@ -34,6 +36,24 @@ BATCH = 256
 #: Single-precision walks take what is this much below the threshold for verification.
 SLACK = 1e-4
 
+#: Bytes of a piece of a graph, and pieces in a file: Parquet's reader and writer hold those of a file side by side.
+PIECE, PIECES = 1 << 20, 16
+
+#: Pairs that queries may meet together; beyond, they are asked by halves.
+MOST = 1 << 20
+
+#: Bytes of vectors that are multiplied pair by pair at a time.
+SLICE = 4 << 20
+
+
+def _products(a: np.ndarray, rows: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The products of ``a[rows]`` and ``b[nodes]``, pair by pair."""
+    out = np.empty(len(rows), dtype=a.dtype)
+    step = max(1, SLICE // (a.itemsize * a.shape[1]))
+    for at in range(0, len(rows), step):
+        out[at : at + step] = np.einsum("ij,ij->i", a[rows[at : at + step]], b[nodes[at : at + step]])
+    return out
+
 
 def diverse(sims: np.ndarray, among: np.ndarray, keep: int) -> np.ndarray:
     """Which candidates become links: by falling similarity, those nearer to the node than to any link taken.
@@ -157,11 +177,12 @@ class Graph:
 
     def _beam(
         self, queries: np.ndarray, entry: np.ndarray, links: np.ndarray, breadth: int, floor: float = np.inf, spread: int = 4
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """The best ``breadth`` nodes of each query with similarities, and all (query, node) met at ``floor`` or above.
 
         All queries take steps together; each opens its ``spread`` best unopened nodes, until the beam
-        has none. Nodes at the floor or above are then opened until no new one turns up.
+        has none. Nodes at the floor or above are then opened until no new one turns up. Several queries that meet
+        over ``MOST`` of them give none.
         """
         count, n = len(queries), len(self.unit)
         ids = np.full((count, breadth), -1, dtype=np.int64)
@@ -188,7 +209,7 @@ class Graph:
             code.sort()
             rows, nodes = code // n, code % n
             seen.ravel()[code] = True
-            value = np.einsum("ij,ij->i", queries[rows], self.unit[nodes])
+            value = _products(queries, rows, self.unit, nodes)
             hit = value >= floor
             met_q.append(rows[hit])
             met_n.append(nodes[hit])
@@ -226,22 +247,62 @@ class Graph:
         if opened is None:
             return ids, sims, np.empty(0, int), np.empty(0, int)
         rows, nodes = np.concatenate(met_q), np.concatenate(met_n)
+        total = len(rows)
         left = ~opened[rows, nodes]
         rows, nodes = rows[left], nodes[left]
-        while len(rows):
+        step = max(1, SLICE // (8 * links.shape[1]))
+        while len(rows) and (total <= MOST or count == 1):
+            before = len(met_q)
             opened[rows, nodes] = True
-            fresh(rows, nodes)
-            rows, nodes = met_q[-1], met_n[-1]
+            for at in range(0, len(rows), step):
+                fresh(rows[at : at + step], nodes[at : at + step])
+            rows, nodes = np.concatenate(met_q[before:]), np.concatenate(met_n[before:])
+            total += len(rows)
+        if total > MOST and count > 1:
+            return ids, sims, None, None
         return ids, sims, np.concatenate(met_q), np.concatenate(met_n)
 
     def within(self, queries: np.ndarray, floor: float, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs at ``floor`` or above that a beam of ``breadth`` leads to; all of them from the shard's size on."""
-        n = len(self.unit)
-        if breadth >= n:
-            return np.nonzero(queries @ self.unit.T >= floor)
-        entry = self._descend(queries)
-        _, _, rows, nodes = self._beam(queries, entry, self.links[-1], breadth, floor)
-        return rows, nodes
+        parts = [*self.parts(queries, floor, breadth)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def parts(self, queries: np.ndarray, floor: float, breadth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of :meth:`within`, at most ``MOST`` at a time unless one query meets more; those of a query together."""
+        left = [(0, len(queries))]
+        while left:
+            low, high = left.pop()
+            rows, nodes = self._pairs(queries[low:high], floor, breadth)
+            if rows is None:
+                left += [((low + high) // 2, high), (low, (low + high) // 2)]
+            else:
+                yield rows + low, nodes
+
+    def _pairs(self, queries: np.ndarray, floor: float, breadth: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+        if breadth < len(self.unit):
+            return self._beam(queries, self._descend(queries), self.links[-1], breadth, floor)[2:]
+        near = queries @ self.unit.T >= floor
+        return np.nonzero(near) if len(queries) == 1 or np.count_nonzero(near) <= MOST else (None, None)
+
+    def packed(self, **more: np.ndarray) -> memoryview:
+        """The graph's links and ``more`` as bytes for :meth:`unpacked`; the vectors should be among ``more``."""
+        out = io.BytesIO()
+        held = {f"nodes{i}": x for i, x in enumerate(self.nodes)}
+        np.savez(out, **more, **held, **{f"links{i}": x[self.nodes[i]] for i, x in enumerate(self.links)})
+        return out.getbuffer()
+
+    @classmethod
+    def unpacked(cls, held: np.lib.npyio.NpzFile, unit: np.ndarray) -> Graph:
+        graph = cls.__new__(cls)
+        graph.unit, graph.nodes, graph.links = unit, [], []
+        for i in range(sum(n.startswith("links") for n in held.files)):
+            graph.nodes.append(held[f"nodes{i}"])
+            own = held[f"links{i}"]
+            links = own if len(own) == len(unit) else np.full((len(unit), own.shape[1]), -1, dtype=np.int32)
+            if links is not own:
+                links[graph.nodes[-1]] = own
+            graph.links.append(links)
+        return graph
 
 
 def turned(unit: np.ndarray, count: int, threshold: float) -> np.ndarray:
@@ -271,9 +332,9 @@ def audited(
     at, before = 0, -1
     while True:
         for at in range(at, len(sample), BATCH):
-            rows, nodes = np.nonzero(sample[at : at + BATCH] @ graph.unit.T >= threshold)
-            expected.append(rows * len(graph.unit) + nodes)
-            true += len(rows)
+            near = sample[at : at + BATCH] @ graph.unit.T >= threshold
+            expected.append(np.packbits(near, axis=1))  # as links, those of a dense shard would take many times its bytes
+            true += int(np.count_nonzero(near))
         if true >= least:
             break
         if true == before:  # no vector can be made to link, as at a threshold of 1: the whole shard is exact
@@ -286,7 +347,7 @@ def audited(
         found = 0
         for i, at in enumerate(range(0, len(sample), BATCH)):
             rows, nodes = graph.within(sample[at : at + BATCH], threshold, breadth)
-            found += len(np.intersect1d(expected[i], rows * len(graph.unit) + nodes))
+            found += int(np.count_nonzero(expected[i][rows, nodes >> 3] >> (7 - (nodes & 7)).astype(np.uint8) & 1))
         recall = found / true if true else 1.0
         if recall >= target or breadth >= len(graph.unit):
             return breadth, recall
@@ -316,8 +377,13 @@ def clean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def _matrix(raws: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.stack([np.frombuffer(x, dtype="<f8") for x in raws])
+    return raw, *_units(raw)
+
+
+def _units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms, and unit vectors in single precision."""
     norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-    return raw, norm, (raw / norm[:, None]).astype(np.float32)
+    return norm, np.divide(raw, norm[:, None], out=np.empty(raw.shape, dtype=np.float32), casting="same_kind")
 
 
 def links(
@@ -346,6 +412,7 @@ def links(
     component. An empty table gives no rows; extra columns are ignored.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     kind = vectors.schema[key].dataType.simpleString()
     rows = materialise(clean(vectors, key, vector), "vectors")
     valid = rows.filter(F.col("digest").isNotNull() & F.col(key).isNotNull())
@@ -378,25 +445,33 @@ def links(
         .join(nodes.select("size", "shard").distinct(), ["size", "shard"], "left_semi")
     )
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        asking, group = group[group["role"] == 1], group[group["role"] == 0]
-        raw, _, unit = _matrix(group["raw"])
-        graph = Graph(unit)
-        size = int(group["size"].iloc[0])
-        sample = _matrix(asking["raw"])[2] if len(asking) else unit[:0]
-        beam, recall = audited(graph, sample, threshold, target, breadth, audit_links)
-        out = io.BytesIO()
-        held = {f"nodes{i}": x for i, x in enumerate(graph.nodes[:1])} | {f"links{i}": x for i, x in enumerate(graph.links)}
-        np.savez(out, raw=raw, ids=group["id"].to_numpy(), copies=group["copies"].to_numpy(), **held)
-        return pd.DataFrame({"size": [size], "shard": [int(group["shard"].iloc[0])], "graph": [out.getvalue()],
-                             "beam": [beam], "recall": [recall]})
-
-    graphs = materialise(
-        nodes.withColumn("role", F.lit(0)).unionByName(probes).groupBy("size", "shard").applyInPandas(
-            build, "size int, shard int, graph binary, beam int, recall double"
-        ),
-        "graphs",
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(batches, ["size", "shard"]):
+            size, shard = int(group["size"].iloc[0]), int(group["shard"].iloc[0])
+            asking, group = group[group["role"] == 1], group[group["role"] == 0]
+            raw, _, unit = _matrix(group["raw"])
+            sample = _matrix(asking["raw"])[2] if len(asking) else unit[:0]
+            own = {"ids": group["id"].to_numpy(copy=True), "copies": group["copies"].to_numpy(copy=True)}
+            del asking, group
+            graph = Graph(unit)
+            beam, recall = audited(graph, sample, threshold, target, breadth, audit_links)
+            packed = graph.packed(raw=raw, **own)
+            del graph, raw, unit, sample
+            for at in range(0, len(packed), PIECE):
+                yield pd.DataFrame({"size": [size], "shard": [shard], "piece": [at // PIECE], "graph": [bytes(packed[at : at + PIECE])],
+                                    "beam": [beam], "recall": [recall]})
+
+    # Shuffled and sorted as for a grouped map, but a graph leaves piece by piece.
+    built = (
+        nodes.withColumn("role", F.lit(0))
+        .unionByName(probes)
+        .repartition("size", "shard")
+        .sortWithinPartitions("size", "shard")
+        .mapInPandas(build, "size int, shard int, piece int, graph binary, beam int, recall double")
     )
+    path = fresh_path(spark, "graphs")
+    built.write.option("maxRecordsPerFile", PIECES).parquet(path)
+    graphs = spark.read.schema(built.schema).parquet(path)
     chunks = {size: -(-n // chunk) for size, n in sizes.items()}
     parts = F.lit(1)
     for size, c in chunks.items():
@@ -409,17 +484,19 @@ def links(
             F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"),
             F.pmod(F.hash("id"), pieces).cast("int").alias("chunk"),
             F.lit(1).alias("role"),
+            F.lit(0).alias("piece"),
             "id",
             "raw",
             F.lit(0).alias("beam"),
         )
-        .join(graphs.select("size", "shard"), ["size", "shard"])  # a shard may have got no vector
+        .join(graphs.filter("piece = 0").select("size", "shard"), ["size", "shard"])  # a shard may have got no vector
     )
     answering = graphs.select(
         "size",
         "shard",
         F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"),
         F.lit(0).alias("role"),
+        "piece",
         F.lit(None).cast(kind).alias("id"),
         F.col("graph").alias("raw"),
         "beam",
@@ -427,19 +504,26 @@ def links(
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: Shard | None = None
+        packed, beam = io.BytesIO(), 0
         for batch in batches:
+            if not len(batch):
+                continue
             roles = batch["role"].to_numpy()
-            for start in np.flatnonzero(np.concatenate([[True], (roles[1:] == 0) | (roles[:-1] == 0)])).tolist():
-                later = np.flatnonzero(roles[start + 1 :] == 0)
+            starts = np.flatnonzero(np.concatenate([[True], roles[1:] != roles[:-1]])).tolist()
+            for start, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+                part = batch.iloc[start:end]
                 if roles[start] == 0:
-                    if state is not None:
-                        yield state.edges()
-                    state = Shard(batch["raw"].iloc[start], int(batch["beam"].iloc[start]), threshold)
+                    for piece, width, content in zip(part["piece"], part["beam"], part["raw"], strict=True):
+                        if piece == 0:
+                            if state is not None:
+                                yield state.edges()
+                            state, packed, beam = None, io.BytesIO(), int(width)
+                        packed.write(content)
                     continue
-                end = start + 1 + int(later[0]) if len(later) else len(batch)
-                part = batch.iloc[start:end]
+                if state is None:
+                    state, packed = Shard(packed, beam, threshold), io.BytesIO()
                 for at in range(0, len(part), BATCH):
-                    yield state.answer(part["id"].iloc[at : at + BATCH].to_numpy(), part["raw"].iloc[at : at + BATCH])
+                    yield from state.answer(part["id"].iloc[at : at + BATCH].to_numpy(), part["raw"].iloc[at : at + BATCH])
         if state is not None:
             yield state.edges()
 
@@ -447,7 +531,7 @@ def links(
     found = materialise(
         answering.unionByName(asked)
         .repartition(*groups)
-        .sortWithinPartitions(*groups, "role")
+        .sortWithinPartitions(*groups, "role", "piece")
         .mapInPandas(ask, f"a {kind}, b {kind}, n long"),
         "links",
     )
@@ -472,29 +556,27 @@ def links(
 class Shard:
     """A loaded graph that answers queries and gathers their links as a forest."""
 
-    def __init__(self, packed: bytes, beam: int, threshold: float):
-        held = np.load(io.BytesIO(packed), allow_pickle=True)
+    def __init__(self, packed: io.BytesIO, beam: int, threshold: float):
+        packed.seek(0)
+        held = np.load(packed, allow_pickle=True)
         self.raw, self.ids, self.copies = held["raw"], held["ids"], held["copies"]
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.raw, self.raw))
-        graph = Graph.__new__(Graph)
-        graph.unit = (self.raw / self.norm[:, None]).astype(np.float32)
-        graph.nodes = [held["nodes0"]]
-        graph.links = [held[f"links{i}"] for i in range(sum(n.startswith("links") for n in held.files))]
-        graph.nodes *= len(graph.links)
-        self.graph, self.beam, self.threshold = graph, beam, threshold
+        self.norm, unit = _units(self.raw)
+        self.graph, self.beam, self.threshold = Graph.unpacked(held, unit), beam, threshold
         self.labels = np.arange(len(self.ids))
         self.touched = np.zeros(len(self.ids), dtype=bool)
         self.entered: list[pd.DataFrame] = []
 
-    def answer(self, ids: np.ndarray, raws: pd.Series) -> pd.DataFrame:
+    def answer(self, ids: np.ndarray, raws: pd.Series) -> Iterator[pd.DataFrame]:
         """(id, null, links) of the queries that have links to other nodes of the shard."""
         raw, norm, unit = _matrix(raws)
-        rows, nodes = self.graph.within(unit, self.threshold - SLACK, self.beam)
-        cosine = np.einsum("ij,ij->i", raw[rows], self.raw[nodes]) / (norm[rows] * self.norm[nodes])
-        other = (cosine >= self.threshold) & (self.ids[nodes] != ids[rows])
-        rows, nodes = rows[other], nodes[other]
-        if not len(rows):
-            return pd.DataFrame({"a": [], "b": [], "n": []})
+        for rows, nodes in self.graph.parts(unit, self.threshold - SLACK, self.beam):
+            cosine = _products(raw, rows, self.raw, nodes) / (norm[rows] * self.norm[nodes])
+            other = (cosine >= self.threshold) & (self.ids[nodes] != ids[rows])
+            rows, nodes = rows[other], nodes[other]
+            if len(rows):
+                yield self._joined(ids, rows, nodes)
+
+    def _joined(self, ids: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
         order = np.argsort(rows, kind="stable")
         rows, nodes = rows[order], nodes[order]
         queries, first, size = np.unique(rows, return_index=True, return_counts=True)
